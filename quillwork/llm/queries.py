@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, links, packing, prefix_counts, quality, sharding
+from . import bpe, chat, decontaminate, links, minhash, packing, prefix_counts, quality, sharding
 from .storage import cut
 
 #: The contract's rules, host and path to verdict.
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = cut(_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
@@ -40,6 +44,11 @@ def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"), prefix_counts.prefix_within(TOKEN_LIMIT).alias("chars_in_limit"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(docs).drop("text")
@@ -62,7 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_shard, op3_chat, op4_prefix_counts, op7_quality, op8_links, op9_pack, op10_bpe)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_shard, op3_chat, op4_prefix_counts, op5_decontaminate, op7_quality, op8_links, op9_pack, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
