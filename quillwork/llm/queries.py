@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, links, minhash, packing, prefix_counts, quality, sharding
+from . import bpe, chat, decontaminate, links, minhash, packing, prefix_counts, quality, sharding, substrings
 from .storage import cut
 
 #: The contract's rules, host and path to verdict.
@@ -49,6 +49,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_passages"), words.alias("repeated_words"), F.array_sort(F.array_distinct("spans.source")).alias("sources"), "spans")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(docs).drop("text")
@@ -71,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_shard, op3_chat, op4_prefix_counts, op5_decontaminate, op7_quality, op8_links, op9_pack, op10_bpe)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_shard, op3_chat, op4_prefix_counts, op5_decontaminate, op6_substrings, op7_quality, op8_links, op9_pack, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
