@@ -7,16 +7,43 @@ tree over room sizes finds it. Documents longer than a row are split; every toke
 
 from __future__ import annotations
 
+import base64
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import fresh
+from .arrowtext import bound_batches, chunks, fresh
 
 SCHEMA = "block long, row int, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, doc_starts array<int>"
 
 
+@lru_cache(2)
+def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_ids(df: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and binary ids (little-endian unsigned 32-bit) of every whole text; a null text has no ids."""
+    bound_batches(df.sparkSession)
+
+    def run(batches):
+        own = tokenizer(path, pattern)
+        for batch in batches:
+            for start, stop in chunks(batch.column(1)):
+                texts = pc.fill_null(batch.column(1).slice(start, stop - start), "").to_pylist()
+                ids = pa.array([np.array(own.encode_ordinary(t), "<u4").tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), ids], names=["doc_id", "ids"])
+
+    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+
+
 class Rooms:
     """A segment tree over 0 to ``length``: which room sizes have open rows."""
 
@@ -67,9 +94,17 @@ def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
     return rows
 
 
-def pack(df: DataFrame, length: int = 2048, *, ids: str = "ids", doc_id: str = "doc_id", pad_id: int = 0, block_tokens: int = 1 << 20) -> DataFrame:
+def blocks_for(df: DataFrame, text: str = "text", block_bytes: int = 2 << 20) -> int:
+    """Blocks of about ``block_bytes`` of text, which is at least as long as its tokens are many."""
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first().n or 0
+    return max(1, -(-total // block_bytes))
+
+
+def pack(df: DataFrame, length: int = 2048, *, ids: str = "ids", doc_id: str = "doc_id", pad_id: int = 0, blocks: int) -> DataFrame:
     """Rows of ``length`` token ids from the documents' binary ``ids`` (little-endian unsigned 32-bit).
 
+    ``blocks`` is how many blocks to deal the documents to, see ``blocks_for``; each is packed in one task.
+
     Per row: ``block`` and ``row`` (its key), ``ids`` (``length`` ids as 32-bit integers, padded with ``pad_id``),
     ``n_tokens``, ``cu_seqlens`` (where segments start, then the end), ``positions`` (16- or 32-bit integers that
     restart at 0 with each segment and in the padding), and for each segment its document and where in the
@@ -78,8 +113,6 @@ def pack(df: DataFrame, length: int = 2048, *, ids: str = "ids", doc_id: str = "
     """
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{ids}`").alias("ids")).where(F.octet_length("ids") > 0)
     hashed = fresh(source, "block")
-    total = source.agg(F.sum(F.octet_length("ids")).alias("n")).first().n or 0
-    blocks = max(1, -(-total // (4 * block_tokens)))
     dealt = source.withColumn(hashed, F.pmod(F.xxhash64("doc_id", "ids"), F.lit(blocks)))
     places = np.uint16 if length <= 1 << 16 else np.uint32
 

@@ -66,8 +66,8 @@ def op8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "ids")
-    return packing.pack(cut(ids))
+    ids = packing.token_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(ids, blocks=packing.blocks_for(docs))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
