@@ -142,52 +142,132 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataF
 
 
 
-def crossing(rows: DataFrame, size: int, least: float, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of members of one bucket (key, rep, n, comp, all, sig) in different components that may overlap enough.
-
-    A bucket is cut into blocks of about ``block`` members and every two blocks meet in some task, so a bucket of any
-    size is compared whole in bounded memory. Signatures decide there: components that agree estimate the similarity,
-    and pairs more than five standard deviations below ``least`` are left out.
-    """
-    need = int(np.floor(size * least - 5 * np.sqrt(size * least * (1 - least))))
-    blocks = F.ceil(F.col("all") / block).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _blocks(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Members of buckets (key, rep, all, ...) cut into blocks of about ``block``, so that every two blocks meet once:
+    one copy of a member for each block of its bucket, with the pair (i, j) and whether it is on the second side."""
+    own = rows.withColumn("blocks", F.ceil(F.col("all") / block).cast("int")).withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("second"), "rep", "n", "comp", "sig")
-    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    met = met.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("second"), *columns)
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _by_key(batches, compare):
+    """Runs ``compare`` on the rows of each (key, i, j), which come together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy() for k in range(3)]
+        new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        for start, stop in zip(new, np.append(new[1:], batch.num_rows), strict=True):
+            key = tuple(k[start] for k in keys)
+            if last is not None and key != last:
+                yield compare(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = key
+    if held:
+        yield compare(pa.Table.from_batches(held))
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Row numbers of the first and second side, and whether they are two blocks or the same one."""
+    second = table["second"].to_numpy(zero_copy_only=False)
+    if table["i"][0].as_py() == table["j"][0].as_py():
+        return np.arange(len(second)), np.arange(len(second)), False
+    return np.flatnonzero(~second), np.flatnonzero(second), True
+
+
+def likely(rows: DataFrame, bands: int, size: int, least: float, block: int = 512) -> DataFrame:
+    """Of buckets' members (key, band, rep, n, comp, all, sig), those (key, rep) that may be ``least`` similar to a member
+    of another component with which this is the first common band.
+
+    Components of the signatures that agree estimate the similarity; more than four standard deviations below
+    ``least`` is ruled out.
+    """
+    need = int(np.floor(size * least - 4 * np.sqrt(size * least * (1 - least))))
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         rep, n, comp = (table[c].to_numpy() for c in ("rep", "n", "comp"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(rep), size)
-        second, apart = table["second"].to_numpy(zero_copy_only=False), table["i"][0].as_py() != table["j"][0].as_py()
-        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if apart else (np.arange(len(rep)),) * 2
-        out = []
+        left, right, apart = _sides(table)
+        band, found = table["band"][0].as_py(), np.zeros(len(rep), bool)
         for k in left:
             rest = right if apart else right[right > k]
             rest = rest[(comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) >= least * np.maximum(n[rest], n[k]))]
-            rest = rest[(sig[rest] == sig[k]).sum(axis=1) >= need]
-            out += [(min(rep[k], r), max(rep[k], r)) for r in rep[rest]]
+            same = sig[rest] == sig[k]
+            rest = rest[(same.sum(axis=1) >= need) & (same.reshape(len(rest), bands, size // bands).all(axis=2).argmax(axis=1) == band)]
+            found[rest] = True
+            found[k] |= len(rest) > 0
+        return table.select(["key", "rep"]).filter(pa.array(found)).combine_chunks().to_batches()[0] if found.any() else pa.RecordBatch.from_pylist([], pa.schema([("key", pa.int64()), ("rep", pa.int64())]))
+
+    return _blocks(rows, ["band", "rep", "n", "comp", "sig"], block).mapInArrow(lambda batches: _by_key(batches, compare), "key long, rep long").distinct()
+
+
+def overlaps(rows: DataFrame, least: float, block: int = 256, strip: int = 64) -> DataFrame:
+    """Edges (a, b) between members of a bucket (key, rep, n, comp, all, bag) in different components whose bags overlap
+    by ``least`` or more: enough of them to join all components that have such a pair.
+
+    A bag is a set of 32-bit numbers, one for each run and repetition. Overlaps of a strip of members with a block
+    are one product of matrices.
+    """
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        rep, n, comp = (table[c].to_numpy() for c in ("rep", "n", "comp"))
+        left, right, apart = _sides(table)
+        bag = [np.frombuffer(x, np.uint32) for x in table["bag"].to_pylist()]
+        theirs, owner = np.concatenate([bag[k] for k in right]), np.repeat(np.arange(len(right)), [len(bag[k]) for k in right])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for at in range(0, len(left), strip):
+            own = left[at : at + strip]
+            words = np.unique(np.concatenate([bag[k] for k in own]))
+            place = np.minimum(np.searchsorted(words, theirs), len(words) - 1)
+            held = words[place] == theirs
+            shared = np.zeros((len(own), len(right)), np.float32)
+            for low in range(0, len(words), 4096):
+                a, b = (np.zeros((m, min(4096, len(words) - low)), np.float32) for m in (len(own), len(right)))
+                for r, k in enumerate(own):
+                    c = np.searchsorted(words, bag[k]) - low
+                    a[r, c[(c >= 0) & (c < a.shape[1])]] = 1
+                c = held & (place >= low) & (place < low + b.shape[1])
+                b[owner[c], place[c] - low] = 1
+                shared += a @ b.T
+            alike = (shared >= least * (n[own][:, None] + n[right][None, :] - shared)) & (comp[own][:, None] != comp[right][None, :])
+            for r, q in zip(*np.nonzero(alike), strict=True):
+                x, y = find(comp[own[r]]), find(comp[right[q]])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((rep[own[r]], rep[right[q]]))
         return pa.RecordBatch.from_arrays([pa.array([x[z] for x in out], pa.int64()) for z in (0, 1)], names=["a", "b"])
 
+    return _blocks(rows, ["rep", "n", "comp", "bag"], block).mapInArrow(lambda batches: _by_key(batches, compare), "a long, b long").distinct()
+
+
+def whole_bags(docs: DataFrame, width: int) -> DataFrame:
+    """rep and bag of ``docs`` (id, text)."""
+    bound_batches(docs.sparkSession)
+
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(k).to_numpy() for k in range(3)]
-            new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
-            for start, stop in zip(new, np.append(new[1:], batch.num_rows), strict=True):
-                key = tuple(k[start] for k in keys)
-                if last is not None and key != last:
-                    yield compare(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(start, stop - start))
-                last = key
-        if held:
-            yield compare(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            for start, stop in chunks(batch.column(1)):
+                g = grid(batch.column(1).slice(start, stop - start))
+                doc, runs, times = bags(g, width)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                with np.errstate(over="ignore"):
+                    marks = (mix(np.repeat(runs, times) + nth.astype(np.uint64) * _GOLDEN) >> np.uint64(32)).astype(np.uint32)
+                cuts = np.searchsorted(np.repeat(doc, times), np.arange(len(g) + 1))
+                held = [marks[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(held, pa.binary())], names=["rep", "bag"])
+
+    return docs.select("id", "text").mapInArrow(run, "rep long, bag binary")
 
 
 def near_duplicates(
@@ -206,8 +286,8 @@ def near_duplicates(
 
     Texts of equal words are one node from the start. In every bucket all members are first compared with the one
     that has the most company over all its buckets, which settles large groups of copies in one comparison each;
-    what is left, members of a bucket in different components, is compared pair by pair in blocks. With 24 bands of
-    4 rows a pair at 0.8 shares a bucket with probability 0.999996.
+    what is left, members of a bucket in different components, is compared pair by pair in blocks: signatures rule
+    out most, bags of runs decide. With 24 bands of 4 rows a pair at 0.8 shares a bucket with probability 0.999996.
 
     Rows that share an id are one document. A null id has a null class and counts as first; a text without words
     (null, empty, white space) is a class of its own; an empty table gives no rows. ``keep_all`` false leaves out
@@ -220,9 +300,9 @@ def near_duplicates(
     members = held.where("copies > 1").select("id", "rep").distinct()
 
     nodes = held.where("id = rep")
-    buckets = nodes.select("rep", "n", F.explode("bands").alias("key"))
+    buckets = nodes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("all"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key", "all")
-    shared = cut(buckets.join(sizes, "key").select("key", "rep", "n", "all"))
+    shared = cut(buckets.join(sizes, "key").select("key", "band", "rep", "n", "all").distinct())
     company = shared.groupBy("rep").agg(F.sum("all").alias("company"))
     ranked = shared.join(company, "rep")
     heads = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"), "n")).alias("head"))
@@ -233,10 +313,12 @@ def near_duplicates(
 
     state = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = state.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = state.join(mixed, "key").join(nodes.select("rep", "sig"), "rep").select("key", "rep", "n", "comp", "all", "sig")
-    pairs = crossing(rest, bands * rows, least)
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(verify(pairs.join(tested, ["a", "b"], "left_anti"), docs, width, least))
+    rest = state.join(mixed, "key").join(nodes.select("rep", "sig").dropDuplicates(["rep"]), "rep").select("key", "band", "rep", "n", "comp", "all", "sig")
+    left = cut(likely(rest, bands, bands * rows, least).join(state.select("key", "rep", "n", "comp"), ["key", "rep"]))
+    wanted = left.select(F.col("rep").alias("id")).distinct()
+    bagged = whole_bags(docs.join(wanted, "id", "left_semi"), width).dropDuplicates(["rep"])
+    again = left.groupBy("key").agg(F.count("*").alias("all"))
+    more = cut(overlaps(left.join(again, "key").join(bagged, "rep"), least))
     labels = components(edges.unionAll(more))
 
     classes = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("class_id"))
