@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import Grid, bound_batches, chunks, grid, mix, shingles
 from .graph import components
-from .storage import cut
+from .storage import cut, holding
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -122,6 +122,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def verify(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """Of pairs (a, b), those whose texts in ``docs`` (id, text) overlap enough."""
     bound_batches(docs.sparkSession, 100)
+    docs = holding(docs, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     left = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -307,7 +308,7 @@ def near_duplicates(
     ranked = shared.join(company, "rep")
     heads = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"), "n")).alias("head"))
     stars = shared.join(heads, "key").select(F.col("rep").alias("a"), (-F.col("head.rep")).alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"))
-    stars = stars.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    stars = cut(stars.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct())
     edges = cut(verify(stars, docs, width, least))
     labels = components(edges)
 
@@ -316,7 +317,7 @@ def near_duplicates(
     rest = state.join(mixed, "key").join(nodes.select("rep", "sig").dropDuplicates(["rep"]), "rep").select("key", "band", "rep", "n", "comp", "all", "sig")
     left = cut(likely(rest, bands, bands * rows, least).join(state.select("key", "rep", "n", "comp"), ["key", "rep"]))
     wanted = left.select(F.col("rep").alias("id")).distinct()
-    bagged = whole_bags(docs.join(wanted, "id", "left_semi"), width).dropDuplicates(["rep"])
+    bagged = whole_bags(holding(docs, "id", wanted, "id").join(wanted, "id", "left_semi"), width).dropDuplicates(["rep"])
     again = left.groupBy("key").agg(F.count("*").alias("all"))
     more = cut(overlaps(left.join(again, "key").join(bagged, "rep"), least))
     labels = components(edges.unionAll(more))

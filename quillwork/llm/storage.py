@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .arrowtext import fresh
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +19,17 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def holding(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 23) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``wanted``: all that are, and few others.
+
+    A bitmap of 2**bits hash values, a fixed size for any input, is sent to all tasks, so that a join with few keys
+    need not shuffle what cannot match.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    part, bit, bitmap = (fresh(df, name) for name in ("_part", "_bit", "_bitmap"))
+    marked = wanted.select(place(wanted_column).alias("p")).groupBy(F.expr("p div 32768").alias(part)).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias(bitmap))
+    placed = df.withColumn(part, F.expr(f"pmod(xxhash64(`{column}`), {1 << bits}L) div 32768")).withColumn(bit, F.expr(f"pmod(xxhash64(`{column}`), {1 << bits}L) % 32768"))
+    joined = placed.join(F.broadcast(marked), part)  # at most 2**bits bits
+    return joined.where(f"getbit(cast(conv(hex(substring(`{bitmap}`, cast(`{bit}` div 8 as int) + 1, 1)), 16, 10) as bigint), cast(`{bit}` % 8 as int)) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
