@@ -111,8 +111,8 @@ def quality(
     window: int = 5,
     max_window_percent: int = 20,
     min_repeat: int = 10,
-    max_covered: float = 0.15,
-    max_longest: int = 100,
+    max_covered: float = 0.2,
+    max_longest: int = 50,
 ) -> DataFrame:
     """``df`` with its counts, ``base_failed`` and ``kept``.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, links, minhash, packing, prefix_counts, quality, sharding, substrings
+from . import bpe, chat, decontaminate, links, minhash, oracles, packing, prefix_counts, quality, sharding, substrings
 from .storage import cut
 
 #: The contract's rules, host and path to verdict.
@@ -57,7 +57,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.quality(docs).drop("text")
+    return quality.quality(docs).drop("text", "longest_repeat")
 
 
 def op8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": oracles.CHAT, "op7_quality": oracles.QUALITY, "op8_links": oracles.url_filter(RULES)}
