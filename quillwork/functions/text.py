@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The stop words of the sparse index.
 STOPWORDS = (
@@ -25,19 +26,19 @@ MAX_ABSTRACT = 2000
 CITATION = r"(?i)arXiv:\s*(\d{4}\.\d{4,5})"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities decoded."""
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding, for keys where lower() is not enough."""
     return text.map(str.casefold, na_action="ignore")
@@ -108,7 +109,7 @@ def citations(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def document_text(title: Column, abstract: Column, between: str = "\n\n") -> Column:
@@ -121,7 +122,7 @@ def primary_category(primary: Column, categories: Column, default: str = "cs.AI"
 
 def ordered_categories(primary: Column, categories: Column) -> Column:
     """Distinct codes, the primary one first."""
-    trimmed = F.filter(F.transform(F.coalesce(categories, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(F.concat(F.filter(F.array(primary), lambda x: x.isNotNull() & (x != "")), trimmed))
 
 

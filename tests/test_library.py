@@ -1,0 +1,223 @@
+"""Functions and operators on small inputs."""
+
+import datetime as dt
+import io
+import urllib.error
+
+import pytest
+from pyspark.sql import functions as F
+from quillwork.functions import dates, text
+from quillwork.operators import concepts, evaluation, fusion, stats, upsert
+from quillwork.plans import ingest, retrieval
+from quillwork.schemas import PAPER_AUTHORS, PAPER_CATEGORIES, PAPERS, cascade, check_dimension
+from quillwork.sources import atom, tables
+from quillwork.streaming import incremental
+
+FEED = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:o="http://a9.com/-/spec/opensearch/1.1/" xmlns:x="http://arxiv.org/schemas/atom">
+<o:totalResults>2</o:totalResults><o:startIndex>0</o:startIndex><o:itemsPerPage>many</o:itemsPerPage>
+<entry><id>http://arxiv.org/abs/2601.01234v3</id><title>A long
+ title</title><summary>
+ We use \\textbf{bold} &amp;amp; $x^2$
+</summary><published>2026-01-02T00:00:00Z</published><updated>2026-01-03T00:00:00Z</updated>
+<author><name> Ada  B </name></author><author><name>Émile C</name></author><author><name> </name></author>
+<x:primary_category term="cs.LG"/><category term="cs.CL"/><category term="cs.LG"/><x:doi> 10.1/x </x:doi><x:journal_ref>J 1</x:journal_ref></entry>
+<entry><id>2601.99999</id><title>Short</title><author><name>ada b</name></author><category term="cs.AI"/></entry></feed>"""
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first().v
+
+
+def test_cleaning(spark):
+    assert value(spark, text.clean_abstract(F.lit("\\textbf{Deep}\u00a0nets &amp;  $x^2$\n \\(a\\) \\[b\\] \\alpha e\u0301 "))) == "Deep nets & [MATH] [MATH] [MATH] é"
+    assert value(spark, text.clean_abstract(F.lit(None).cast("string"))) == ""
+    assert len(value(spark, text.clean_abstract(F.lit("ab " * 2000)))) <= 2000
+    assert value(spark, text.normalize_author(F.lit("  Ada \t B "))) == "ada b"
+    assert value(spark, text.casefold(F.lit("Straße"))) == "strasse"
+
+
+def test_identifiers(spark):
+    for raw, want in (("http://arxiv.org/abs/2601.01234v2", "2601.01234"), ("http://arxiv.org/abs/solv-int/9501001v1", "solv-int/9501001"), ("plain", "plain")):
+        assert value(spark, text.strip_version(F.lit(raw))) == want
+    assert value(spark, text.normalize_identifier(F.lit(" arXiv:2601.01234v2 "))) == "2601.01234"
+    assert value(spark, text.citations(F.lit("see arXiv: 2601.01234 and ARXIV:2601.1111"))) == ["2601.01234", "2601.1111"]
+    assert value(spark, text.split_list(F.lit(" a, ,b "))) == ["a", "b"]
+    assert value(spark, text.ordered_categories(F.lit("b"), F.array(F.lit("a"), F.lit(" b "), F.lit("")))) == ["b", "a"]
+    assert value(spark, text.primary_category(F.lit(""), F.array().cast("array<string>"))) == "cs.AI"
+
+
+def test_tokens_and_mentions(spark):
+    assert value(spark, text.bm25_tokens(F.lit("The Graph of GRAPHS, and 2 nets"))) == ["graph", "graphs", "2", "nets"]
+    assert value(spark, text.exact_match_form(F.lit("Ça, va_bien!"))) == "ça va_bien"
+    assert value(spark, text.mentions(F.lit("deep graph nets"), F.lit("graph nets")))
+    assert not value(spark, text.mentions(F.lit("deep graph nets"), F.lit("rap")))
+
+
+def test_dates(spark):
+    day = F.lit(dt.datetime(2024, 12, 30))
+    assert [value(spark, dates.period(day, g)) for g in ("year", "month", "week")] == ["2024", "2024-12", "2025-W01"]
+    with pytest.raises(ValueError):
+        dates.period(day, "day")
+    span = spark.createDataFrame([("2026-01-01", "2026-01-20")], "date_from string, date_to string")
+    assert [(str(r.win_start), str(r.win_end)) for r in dates.windows(span).collect()] == [("2026-01-01", "2026-01-07"), ("2026-01-08", "2026-01-14"), ("2026-01-15", "2026-01-20")]
+    back = F.lit(dt.datetime(2000, 1, 1))
+    assert value(spark, dates.parse(F.lit("2024-05-01T10:00:00Z"), back)) == dt.datetime(2024, 5, 1, 10)
+    assert value(spark, dates.parse(F.lit("soon"), back)) == dt.datetime(2000, 1, 1)
+
+
+def test_bands_and_fusion(spark):
+    df = spark.createDataFrame([(0.61,), (0.45,), (0.3,), (0.1,), (None,)], "s double")
+    assert [r.b for r in df.select(fusion.confidence(F.col("s")).alias("b")).collect()] == ["high", "medium", "low", "none", "none"]
+    legs = spark.createDataFrame([("q", "dense", 0, "a", 1), ("q", "dense", 0, "b", 2), ("q", "sparse", 1, "b", 1), ("q", "sparse", 1, "c", 2)], "qid string, leg string, leg_order int, doc_id string, rank int")
+    found = fusion.rrf(legs).orderBy("rank").collect()
+    assert [(r.doc_id, r.source) for r in found] == [("b", "sparse"), ("a", "dense"), ("c", "sparse")]
+    assert found[0].rrf == pytest.approx(1 / 62 + 1 / 61)
+
+
+def test_limits_are_checked():
+    with pytest.raises(ValueError):
+        stats._limit(0, 100)
+    with pytest.raises(ValueError):
+        retrieval.ask(" ", None, None)
+
+
+def test_feed(spark, tmp_path):
+    (tmp_path / "page.xml").write_text(FEED)
+    pages = atom.read_files(spark, str(tmp_path))
+    full, sparse = atom.parse(pages).collect()
+    assert (full.arxiv_id, full.title, full.authors, full.primary_category, full.categories) == ("2601.01234", "A long  title", ["Ada  B", "Émile C"], "cs.LG", ["cs.LG", "cs.CL"])
+    assert (full.doi, full.journal_ref, full.abstract) == ("10.1/x", "J 1", "We use \\textbf{bold} &amp; $x^2$")
+    assert (sparse.arxiv_id, sparse.doi, sparse.published, sparse.abstract, sparse.categories) == ("2601.99999", None, None, "", ["cs.AI"])
+    assert atom.feed_meta(pages).first() == (2, 0, 0)
+    with pytest.raises(Exception):  # noqa: B017
+        atom.parse(spark.createDataFrame([("<feed><entry>",)], "body string")).collect()
+
+
+def test_fetching_tries_again():
+    waits, answers = [], [urllib.error.HTTPError("u", 429, "", {"Retry-After": "500"}, None), urllib.error.URLError("down"), io.BytesIO(b"ok")]
+
+    def opener(url):
+        answer = answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+    assert atom.fetch("u", 3.5, opener, waits.append) == b"ok"
+    assert waits == [120.0, 7.0]
+    assert "cat%3Acs.AI+AND+submittedDate%3A%5B202601010000+TO+202601072359%5D" in atom.page_url("http://x", "cs.AI", "2026-01-01", "2026-01-07")
+    with pytest.raises(urllib.error.HTTPError):
+        atom.fetch("u", 1, lambda url: (_ for _ in ()).throw(urllib.error.HTTPError("u", 404, "", {}, None)), waits.append)
+
+
+def test_upsert_versions_and_repeats(spark):
+    schema = "k int, v int, a string, b string"
+    old = spark.createDataFrame([(1, 5, "o", "x"), (2, 5, "o", "x"), (3, 5, "o", "x")], schema)
+    new = spark.createDataFrame([(1, 6, "n", "y"), (1, 7, "m", "z"), (2, 5, "n", "y"), (4, 1, "n", "y")], schema)
+    once = upsert.upsert(old, new, ["k"], "v", fixed=("b",))
+    rows = {r.k: (r.v, r.a, r.b, r.action) for r in once.collect()}
+    assert rows == {1: (7, "m", "x", "update"), 2: (5, "o", "x", "unchanged"), 3: (5, "o", "x", "unchanged"), 4: (1, "n", "y", "insert")}
+    twice = upsert.upsert(once.drop("action"), new, ["k"], "v", fixed=("b",))
+    assert {r.action for r in twice.collect()} == {"unchanged"}
+    assert {r.k: r.a for r in twice.collect()} == {k: v[1] for k, v in rows.items()}
+
+
+def test_seed_and_update(spark):
+    cats = spark.createDataFrame([("cs.AI", None), ("zz", "kept")], "code string, display_name string")
+    seeded = {r.code: r.display_name for r in upsert.seed(cats, tables.seed_categories(spark), "code", "display_name").collect()}
+    assert seeded["cs.AI"] == "Artificial Intelligence" and seeded["zz"] == "kept" and len(seeded) == 49
+    t = spark.createDataFrame([(1, "a", None), (2, "b", None)], "id int, x string, y string")
+    out = {r.id: r.y for r in upsert.update_columns(t, spark.createDataFrame([(1, "new")], "id int, y string"), "id").collect()}
+    assert out == {1: "new", 2: None}
+
+
+def test_ingest_twice_changes_nothing(spark):
+    raw = atom.parse(spark.createDataFrame([(FEED,)], "body string"))
+    empty = {"papers": PAPERS, "authors": "id long, name string, name_normalized string", "paper_authors": PAPER_AUTHORS, "categories": "code string, display_name string", "paper_categories": PAPER_CATEGORIES}
+    now = F.lit(dt.datetime(2026, 2, 1))
+    state = {k: spark.createDataFrame([], v) for k, v in empty.items()}
+    first = ingest.ingest(state, raw, now)
+    rows = {k: sorted(map(str, v.drop("action").collect())) for k, v in first.items()}
+    assert [len(rows[k]) for k in ("papers", "authors", "paper_authors", "categories", "paper_categories")] == [2, 2, 3, 3, 3]
+    held = {k: spark.createDataFrame(v.drop("action").collect(), v.drop("action").schema) for k, v in first.items()}
+    again = ingest.ingest(held, raw, now)
+    assert {k: sorted(map(str, v.drop("action").collect())) for k, v in again.items()} == rows
+    assert {r.action for r in again["papers"].collect()} == {"unchanged"}
+    named = upsert.seed(held["categories"], tables.seed_categories(spark), "code", "display_name")
+    left = ingest.reset(held | {"categories": named}, "t", "t")
+    assert left["papers"].count() == 0 and left["categories"].count() == 48
+    with pytest.raises(ValueError):
+        ingest.reset(held, "wrong", "t")
+    with pytest.raises(RuntimeError):
+        ingest.reset(held, "t", "t", running=True)
+
+
+def test_concept_responses(spark):
+    raw = spark.createDataFrame([('Sure: {"papers":[{"arxiv_id":"1","concepts":[{"name":" Graph  nets ","type":"MODEL"},"graph nets","BERT",{"name":"","type":"task"},{"name":"Odd","type":"zzz"}]},{"arxiv_id":"9","concepts":["x"]}]} done',), ("no json",)], "raw string")
+    got = concepts.parse_response(raw, spark.createDataFrame([("1",)], "paper_id string")).collect()
+    assert [(r.paper_id, [(c.name, c.type) for c in r.concepts]) for r in got] == [("1", [("Graph nets", "model"), ("BERT", "other"), ("Odd", "other")])]
+
+
+def test_traversal(spark):
+    rows = spark.createDataFrame([("p1", 1, "Graph Nets", "model"), ("p1", 2, "BERT", "model"), ("p2", 1, "Graph Nets", "model"), ("p2", 3, "QA", "task"), ("p3", 2, "BERT", "model")], "paper_id string, concept_id long, name string, concept_type string")
+    links = rows.select(F.lower("name").alias("key"), "name", "paper_id")
+    asked = spark.createDataFrame([("q", "about graph-nets and bert")], "qid string, text string")
+    got = concepts.traverse(links, concepts.edges(rows), asked).orderBy("rank").collect()
+    assert [(r.paper_id, r.total, r.direct) for r in got] == [("p1", 2, 2), ("p2", 2, 1)]
+
+
+def test_evaluation(spark):
+    rows = spark.createDataFrame([(1, "The cat sat arXiv:2601.00001", ["the cat", "cat sat the"], ["2601.00001", "2601.00002"]), (2, "", [""], None), (3, "x", [], [])], "qid long, predicted string, golds array<string>, gold_citations array<string>")
+    got = {r.qid: r for r in evaluation.evaluate(rows).collect()}
+    assert got[1].f1 == pytest.approx(2 * (3 / 6) * 1 / (3 / 6 + 1)) and got[1].citation_recall == 0.5
+    assert got[2].f1 == 1.0 and got[2].em and got[2].citation_recall is None
+    assert evaluation.summary(evaluation.evaluate(rows)).first().total == 3
+    assert evaluation.summary(evaluation.evaluate(rows.limit(0))).first().avg_f1 == 0.0
+
+
+def test_asking(spark):
+    found = spark.createDataFrame([("d1", 0.7, 1, "T", "words"), ("d2", 0.1, 2, "U", "more")], "doc_id string, sim double, rank int, title string, text string")
+    said = []
+    answer = retrieval.ask("q", lambda q: found, lambda q, p: said.append(p) or " yes ", faithful=lambda a, p: 1 / 0)
+    assert (answer.answer, [d["doc_id"] for d in answer.docs], answer.confidence, answer.iterations, answer.faithful) == ("yes", ["d1"], "high", 1, None)
+    said.clear()
+    asked = []
+    none = retrieval.ask("q", lambda q: asked.append(q) or found.where("sim < 0.2"), lambda q, p: said.append(p), rewrite=lambda q, last: "other")
+    assert none.answer == retrieval.NO_MATCH and not said and asked == ["q", "other"] and none.iterations == 2
+
+
+def test_checkpoints(spark):
+    c = spark.createDataFrame([((["cs.AI:2026-01-01"], ("cs.CL", "2026-01-08", 500)),)], "c struct<done:array<string>,current:struct<category:string,date_window:string,offset:int>>")
+    offset = lambda cat, day: c.select(incremental.resume_offset(F.col("c"), F.lit(cat), F.lit(day)).alias("o")).first().o
+    assert (offset("cs.CL", "2026-01-08"), offset("cs.AI", "2026-01-08")) == (500, 0)
+    done = c.select(incremental.complete(F.col("c"), F.lit("cs.CL"), F.lit("2026-01-08")).alias("x")).first().x
+    assert done.done == ["cs.AI:2026-01-01", "cs.CL:2026-01-08"] and done.current is None
+
+
+def test_stream_equals_batch(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    weeks = incremental.tumbling(stream, "ts", "7 days", incremental.MONDAY, "1 day", "event_type")
+    run = weeks.writeStream.format("memory").queryName("weeks").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    want = sorted((str(r.window.start), r.event_type, r.n_rows) for r in incremental.tumbling(events, "ts", "7 days", incremental.MONDAY, None, "event_type").collect())
+    assert sorted((str(r.window.start), r.event_type, r.n_rows) for r in spark.table("weeks").collect()) == want
+    seen = []
+    incremental.into_tables(stream, lambda df, n: seen.append(df.count()), f"{tmp_path}/d").awaitTermination(120)
+    assert sum(seen) == events.count()
+
+
+def test_constraints(spark):
+    parent, child = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "pid int, x string")
+    assert [r.x for r in cascade(child, parent, "pid", "id").collect()] == ["a"]
+    vectors = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
+    check_dimension(vectors, "v", 2)
+    with pytest.raises(ValueError):
+        check_dimension(vectors, "v", 3)
+
+
+def test_samples_and_missing_tables(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"id":"1","query":"q","answer":"a","arxiv_ids":["x"]}\n\n{"id":"2","question":"p","answers":["b","c"]}\n')
+    got = tables.samples(spark, f"{tmp_path}/s.jsonl").orderBy("qid").collect()
+    assert [(r.question, r.golds, r.gold_citations) for r in got] == [("q", ["a"], ["x"]), ("p", ["b", "c"], [])]
+    assert tables.read_or_empty(spark, f"{tmp_path}/none", "a int").count() == 0
