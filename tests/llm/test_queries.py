@@ -1,0 +1,90 @@
+"""The registered queries, against SQL where there is some, and the pipeline against a plain version."""
+
+import re
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pytest
+from oracle import compare
+from quillwork.llm import packing, queries
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, small, name):
+    assert compare(queries.queries()[name](spark, small), queries.oracle_sql()[name], small) == ""
+
+
+def test_shard_query(spark, small):
+    rows = queries.op2_shard(spark, small).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    sizes = Counter(r.shard for r in rows)
+    assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+
+
+def grams(t, n):
+    w = WORD.findall(t)
+    return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+
+def alike(a, b):
+    x, y = grams(a, 5), grams(b, 5)
+    shared = sum((x & y).values())
+    return shared >= 0.8 * (sum(x.values()) + sum(y.values()) - shared)
+
+
+def test_pipeline(spark, small, tmp_path):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "substring dedup", "benchmark decontamination", "byte-level BPE encoding and decoding"]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    steps = [{r.doc_id: r for r in docs.collect()}]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, small).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        steps.append({r.doc_id: r for r in docs.collect()})
+    first, kept, single, cut, clean, coded = steps
+
+    def bad(t):
+        n, held, g = len(WORD.findall(t)), {5: set(), 10: set()}, {k: grams(t, k) for k in (5, 10, 51)}
+        w = WORD.findall(t)
+        for k in (5, 10):
+            for i in range(n - k + 1):
+                if g[k][tuple(w[i : i + k])] > 1:
+                    held[k] |= set(range(i, i + k))
+        return n < 10 or len(held[5]) > 0.2 * n or len(held[10]) > 0.2 * n or any(v > 1 for v in g[51].values())
+
+    assert set(kept) == {d for d, r in first.items() if not bad(r.text)}
+    parent = {d: d for d in kept}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(kept)
+    bags = {d: grams(kept[d].text, 5) for d in ids}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if bags[a].keys() & bags[b].keys() and alike(kept[a].text, kept[b].text):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert set(single) == {d for d in ids if find(d) == d}
+    seen = {}
+    for d in sorted(single):
+        for g in grams(single[d].text, 50):
+            seen.setdefault(g, d)
+    for d, r in single.items():
+        again = any(seen[g] < d for g in grams(r.text, 50))
+        assert again or cut[d].text == r.text
+        if d in cut:
+            assert not any(seen.get(g, d) < d for g in grams(cut[d].text, 50)) and cut[d].n_chars == len(cut[d].text)
+    items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    assert all(not any(t in r.text for t in items) for r in clean.values())
+    assert set(clean) <= set(cut) and set(coded) == set(clean)
+    own = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for d, r in coded.items():
+        assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(r.text) and r.n_tokens == len(r.ids) // 4
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, small).collect()) == sorted(coded)
