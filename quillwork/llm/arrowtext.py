@@ -22,9 +22,11 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def bound_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches small enough for workers that share a few hundred MB."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Keep Arrow batches small enough for workers that share a few hundred MB; a smaller setting of the user's stays."""
+    key, own = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.quillwork.userRecordsPerBatch"
+    if not spark.conf.get(own, ""):
+        spark.conf.set(own, spark.conf.get(key, "10000"))
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(own)))))
 
 
 def fresh(df: DataFrame, name: str) -> str:
