@@ -113,7 +113,7 @@ def split_list(text: Column) -> Column:
 
 
 def document_text(title: Column, abstract: Column, between: str = "\n\n") -> Column:
-    return F.trim(F.concat_ws(between, title, abstract))
+    return F.regexp_replace(F.concat_ws(between, title, abstract), r"^\s+|\s+$", "")
 
 
 def primary_category(primary: Column, categories: Column, default: str = "cs.AI") -> Column:

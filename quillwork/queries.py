@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, text, vectors
 from .operators import bm25, concepts, dense, evaluation, fusion, sampling, stats, upsert
-from .plans import retrieval
+from .plans import indexing, retrieval
 from .schemas import duplicate_keys, orphans
 from .streaming import incremental
 
@@ -459,3 +459,30 @@ def events_latest_version(spark, sf_dir):
 def windows_todo(spark, sf_dir):
     cells = table(spark, sf_dir, "events").select(F.col("event_type").alias("category"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("win_start")).distinct()
     return incremental.todo(cells, cells.where("category = 'click' and win_start < '2024-01-15'"))
+
+
+@query("SELECT doc_id, 64 AS dim, 'hashing' AS embedding_model FROM documents WHERE text <> ''")
+def embed_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract_clean"))
+    made = indexing.embed_pending(docs, indexing.hashing_embedder(64), "hashing", 64, key="doc_id")
+    return made.select("doc_id", F.size("embedding").alias("dim"), "embedding_model")
+
+
+@query("WITH found AS (SELECT doc_id, unnest([w FOR w IN ['the', 'und', 'les'] IF contains(lower(substr(text, 1, 1200)), w)]) AS name FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) SELECT name, count(*) AS n_papers FROM found GROUP BY 1")
+def concept_extraction(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("abstract"))
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"))
+    found = indexing.extract_concepts(docs, done, indexing.gazetteer({"the": "task", "und": "model", "les": "other"}))
+    return found.select(F.explode("concepts").alias("c")).groupBy(F.col("c.name").alias("name")).agg(F.count("*").alias("n_papers"))
+
+
+@query("SELECT count(*) AS n_links, count(DISTINCT term) AS n_terms FROM (SELECT doc_id, term, count(*) OVER (PARTITION BY term) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS term FROM (SELECT doc_id, [w FOR w IN regexp_extract_all(lower(text), '[a-z0-9]+') IF NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "], w)] AS ts FROM documents))) WHERE df BETWEEN 5 AND 20")
+def frequent_terms(spark, sf_dir):
+    return indexing.frequent_terms(table(spark, sf_dir, "documents"), 5, 20).agg(F.count("*").alias("n_links"), F.count_distinct("term").alias("n_terms"))
+
+
+@query("SELECT 'tok' AS kind, count(*) AS n_rows FROM (SELECT DISTINCT doc_id FROM documents) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_totalprice > 0 AND o_orderdate >= DATE '1996-01-01'")
+def union_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id").distinct().agg(F.count("*").alias("n_rows")).select(F.lit("tok").alias("kind"), "n_rows")
+    orders = dates.between_days(table(spark, sf_dir, "orders").where("o_totalprice > 0"), "o_orderdate", "1996-01-01", None)
+    return docs.unionByName(orders.agg(F.count("*").alias("n_rows")).select(F.lit("orders").alias("kind"), "n_rows"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillwork.functions import dates, text
 from quillwork.operators import concepts, evaluation, fusion, stats, upsert
-from quillwork.plans import ingest, retrieval
+from quillwork.plans import indexing, ingest, retrieval
 from quillwork.schemas import PAPER_AUTHORS, PAPER_CATEGORIES, PAPERS, cascade, check_dimension
 from quillwork.sources import atom, tables
 from quillwork.streaming import incremental
@@ -221,3 +221,29 @@ def test_samples_and_missing_tables(spark, tmp_path):
     got = tables.samples(spark, f"{tmp_path}/s.jsonl").orderBy("qid").collect()
     assert [(r.question, r.golds, r.gold_citations) for r in got] == [("q", ["a"], ["x"]), ("p", ["b", "c"], [])]
     assert tables.read_or_empty(spark, f"{tmp_path}/none", "a int").count() == 0
+
+
+def test_indexing(spark):
+    papers = spark.createDataFrame([("1", "T", "graph nets", None, None, None, dt.datetime(2026, 1, 1)), ("2", "", "", None, None, None, dt.datetime(2026, 1, 1)), ("3", "U", "BERT", [1.0, 0.0, 0.0, 0.0], "hashing", dt.datetime(2026, 1, 2), dt.datetime(2026, 1, 1))], "arxiv_id string, title string, abstract_clean string, embedding array<float>, embedding_model string, embedding_updated_at timestamp, updated_at timestamp")
+    made = indexing.embed_pending(papers, indexing.hashing_embedder(4), "hashing", 4)
+    assert [r.arxiv_id for r in made.collect()] == ["1"]
+    stored = indexing.store_vectors(papers, made, now=F.lit(dt.datetime(2026, 2, 1)))
+    assert {r.arxiv_id: r.embedding is not None for r in stored.collect()} == {"1": True, "2": False, "3": True}
+    assert indexing.embed_pending(stored, indexing.hashing_embedder(4), "hashing", 4).count() == 0
+    with pytest.raises(Exception, match="must give"):
+        indexing.embed_pending(papers, indexing.hashing_embedder(3), "hashing", 4).collect()
+    rows = papers.select(F.col("arxiv_id").alias("paper_id"), F.col("abstract_clean").alias("abstract"))
+    found = indexing.extract_concepts(rows, spark.createDataFrame([("9",)], "paper_id string"), indexing.gazetteer({"Graph Nets": "model", "nets": "bad"}))
+    got = {r.paper_id: [(c.name, c.type) for c in r.concepts] for r in found.collect()}
+    assert got == {"1": [("Graph Nets", "model"), ("nets", "other")], "3": []}
+    known, links = indexing.store_concepts(spark.createDataFrame([(4, "NETS", "nets")], "id long, name string, key string"), spark.createDataFrame([("1", 4)], "paper_id string, concept_id long"), found)
+    assert {(r.id, r.name) for r in known.collect()} == {(4, "NETS"), (5, "Graph Nets")} and links.count() == 2
+
+
+def test_runs(spark):
+    warnings = indexing.run_stages([("a", lambda: None), ("b", lambda: 1 / 0), ("c", lambda: None)])
+    assert warnings == ["b: division by zero"]
+    runs = spark.createDataFrame([(1, dt.datetime(2026, 1, 1), None, "running", None, (["x"], ("cs.AI", "2026-01-08", 5)))], "id long, started_at timestamp, completed_at timestamp, status string, error_message string, last_checkpoint struct<done:array<string>,current:struct<category:string,date_window:string,offset:int>>")
+    done = indexing.finish(runs, 1, "completed", warnings, F.lit(dt.datetime(2026, 1, 1, 0, 1)))
+    assert done.first().error_message == warnings[0]
+    assert indexing.status(done, F.current_timestamp()).first() == (1, "completed", 60, "2026-01-08")
