@@ -21,15 +21,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def holding(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 23) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be among ``wanted``: all that are, and few others.
+def split(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``column`` may be among ``wanted`` (all that are, and few others), and the rest.
 
     A bitmap of 2**bits hash values, a fixed size for any input, is sent to all tasks, so that a join with few keys
-    need not shuffle what cannot match.
+    need not shuffle what cannot match. Nulls go with the rest. ``wanted`` is read twice: cut it first.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     part, bit, bitmap = (fresh(df, name) for name in ("_part", "_bit", "_bitmap"))
-    marked = wanted.select(place(wanted_column).alias("p")).groupBy(F.expr("p div 32768").alias(part)).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias(bitmap))
-    placed = df.withColumn(part, F.expr(f"pmod(xxhash64(`{column}`), {1 << bits}L) div 32768")).withColumn(bit, F.expr(f"pmod(xxhash64(`{column}`), {1 << bits}L) % 32768"))
-    joined = placed.join(F.broadcast(marked), part)  # at most 2**bits bits
-    return joined.where(f"getbit(cast(conv(hex(substring(`{bitmap}`, cast(`{bit}` div 8 as int) + 1, 1)), 16, 10) as bigint), cast(`{bit}` % 8 as int)) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    hashed = lambda c: f"pmod(xxhash64(`{c}`), {1 << bits}L)"
+    marked = wanted.where(F.col(wanted_column).isNotNull()).select(F.expr(hashed(wanted_column)).alias("p")).groupBy(F.expr("p div 32768").alias(part)).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias(bitmap))
+    placed = df.withColumn(part, F.expr(f"{hashed(column)} div 32768")).withColumn(bit, F.expr(f"{hashed(column)} % 32768"))
+    held = F.expr(f"getbit(cast(conv(hex(substring(`{bitmap}`, cast(`{bit}` div 8 as int) + 1, 1)), 16, 10) as bigint), cast(`{bit}` % 8 as int)) = 1")
+    joined = placed.join(F.broadcast(marked), part, "left").withColumn(bit, F.coalesce(held, F.lit(False)) & F.col(f"`{column}`").isNotNull())  # at most 2**bits bits
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return joined.where(F.col(bit)).select(*columns), joined.where(~F.col(bit)).select(*columns)
+
+
+def holding(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """The rows of ``df`` that may match ``wanted``."""
+    return split(df, column, wanted, wanted_column)[0]
