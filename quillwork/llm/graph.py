@@ -11,7 +11,7 @@ from .storage import cut
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Ties neighbours to the least of a node's neighbourhood: the larger ones, or the node with its smaller ones."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))  # so that the join can split a hub
     tied = both.join(least, "a")
     if large:
         out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -296,17 +296,18 @@ def near_duplicates(
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     coded = cut(sketch(df, doc_id, text, width, bands, rows))
-    firsts = coded.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    # what an aggregate gives is cut before it meets its rows again: only then can Spark split a hot key in the join
+    firsts = cut(coded.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     held = cut(coded.join(firsts, ["c1", "c2"]).select("id", "rep", "copies", "n", "bands", "sig"))
     members = held.where("copies > 1").select("id", "rep").distinct()
 
     nodes = held.where("id = rep")
     buckets = nodes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("all"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key", "all")
+    sizes = cut(buckets.groupBy("key").agg(F.count("*").alias("all"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key", "all"))
     shared = cut(buckets.join(sizes, "key").select("key", "band", "rep", "n", "all").distinct())
     company = shared.groupBy("rep").agg(F.sum("all").alias("company"))
     ranked = shared.join(company, "rep")
-    heads = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"), "n")).alias("head"))
+    heads = cut(ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"), "n")).alias("head")))
     stars = shared.join(heads, "key").select(F.col("rep").alias("a"), (-F.col("head.rep")).alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"))
     stars = cut(stars.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct())
     edges = cut(verify(stars, docs, width, least))
