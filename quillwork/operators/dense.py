@@ -47,8 +47,14 @@ def coarse_index(vectors: DataFrame, lists: int, *, doc_id: str = "doc_id", embe
     return model.transform(rows).select("doc_id", "embedding", "list"), centroids
 
 
-def probe(index: DataFrame, centroids: DataFrame, queries: DataFrame, top_k: int = 20, probes: int = 20, *, embedding: str = "embedding", query_id: str = "qid") -> DataFrame:
-    """As ``search``, but only among the vectors of each query's ``probes`` nearest lists."""
+def probe(index: DataFrame, centroids: DataFrame, queries: DataFrame, top_k: int = 20, probes: int | None = None, *, embedding: str = "embedding", query_id: str = "qid") -> DataFrame:
+    """As ``search``, but only among the vectors of each query's ``probes`` nearest lists.
+
+    By default these are three quarters of the lists: vectors spread evenly in 64 dimensions need so many for a recall
+    of 0.9 (tests measure it); clustered ones need far fewer.
+    """
+    if probes is None:
+        probes = -(-3 * centroids.count() // 4)
     asked = queries.select(F.col(query_id).alias("qid"), F.col(embedding).alias("q"))
     near = rank(asked.crossJoin(F.broadcast(centroids)).select("qid", F.col("list").alias("doc_id"), cosine(F.col("centroid"), F.col("q")).alias("score")), probes)
     lists = near.select("qid", F.col("doc_id").alias("list")).join(asked, "qid")

@@ -31,7 +31,7 @@ def test_probing_all_lists_is_exact_and_some_recall_well(spark, small):
     index, centroids = dense.coarse_index(rows, 22, doc_id="vec_id", sample_rows=400)
     found = {(r.qid, r.doc_id) for r in dense.probe(index, centroids, asked, probes=22).collect()}
     assert found == exact
-    some = {(r.qid, r.doc_id) for r in dense.probe(index, centroids, asked, probes=15).collect()}
+    some = {(r.qid, r.doc_id) for r in dense.probe(index, centroids, asked).collect()}
     assert len(some & exact) >= 0.9 * len(exact)
 
 
