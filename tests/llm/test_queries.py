@@ -78,7 +78,10 @@ def test_pipeline(spark, small, tmp_path):
             seen.setdefault(g, d)
     for d, r in single.items():
         again = any(seen[g] < d for g in grams(r.text, 50))
-        assert again or cut[d].text == r.text
+        if not again and (d not in cut or cut[d].text != r.text):  # nearly equal passages go too
+            gone = grams(r.text, 5) - grams(cut[d].text if d in cut else "", 5)
+            known = [g for g in gone if any(g in bags[e] for e in single if e < d)]
+            assert len(gone) >= 40 and len(known) >= 0.6 * len(gone)  # runs over the cuts go as well
         if d in cut:
             assert not any(seen.get(g, d) < d for g in grams(cut[d].text, 50)) and cut[d].n_chars == len(cut[d].text)
     items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
