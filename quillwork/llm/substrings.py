@@ -4,7 +4,9 @@ Tokens are runs of five words. For each of a few hash functions, the Cartesian t
 gives compact windows (l, p, r): every stretch that starts in l..p and ends in p..r has its min-hash at p. Only
 windows of at least a passage's length are kept, about 2 n / length of them. Windows of equal min-hash meet their
 bucket's first document; documents whose windows meet the same first document for enough hash functions, over one
-stretch, are compared with it word for word, and what repeats there is marked. The first occurrence stays.
+stretch, are compared with it word for word, and what repeats there is marked. Windows that this leaves unmarked are
+compared with the other documents of their bucket in blocks, by the tokens around the min-hash; pairs that share
+enough of them are compared word for word as well. The first occurrence stays.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import bound_batches, chunks, fresh, grid, mix, shingles
+from .minhash import _blocks, _by_key, _sides
 from .storage import cut, holding, split
 
 WIDTH, HASHES, AGREE, WORDS, SIMILARITY = 5, 4, 2, 50, 0.8
@@ -47,9 +50,10 @@ def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[
 
 
 def windows(docs: DataFrame, width: int, hashes: int, tokens: int) -> DataFrame:
-    """id, key and window of the compact windows of ``docs`` (id, text).
+    """id, key, window and place of the compact windows of ``docs`` (id, text).
 
-    ``window`` packs the start (28 bits), the length (28) and the hash function (7); ``key`` also tells functions apart.
+    ``window`` packs the start (28 bits), the length (28) and the hash function (7); ``key`` also tells functions apart;
+    ``place`` is where the least token stands.
     """
     bound_batches(docs.sparkSession)
 
@@ -67,9 +71,9 @@ def windows(docs: DataFrame, width: int, hashes: int, tokens: int) -> DataFrame:
                     l, p, r = compact_windows(own, first, tokens)
                     d = doc[p]
                     window = (l - first[d]) << 35 | (r - l) << 7 | fn
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[start + d]), pa.array(mix(own[p] + salt).view(np.int64)), pa.array(window)], names=["id", "key", "window"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[start + d]), pa.array(mix(own[p] + salt).view(np.int64)), pa.array(window), pa.array((p - first[d]).astype(np.int32))], names=["id", "key", "window", "place"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, key long, window long")
+    return docs.select("id", "text").mapInArrow(run, "id long, key long, window long, place int")
 
 
 def share_stretch(pair: np.ndarray, window: np.ndarray, hashes: int, agree: int, tokens: int) -> np.ndarray:
@@ -118,6 +122,77 @@ def passages(own: np.ndarray, other: np.ndarray, width: int, words: int, least:
     return [(s, e + width - 1) for s, e, _ in out if e - s + width - 1 >= words]
 
 
+def around(wanted: DataFrame, docs: DataFrame, width: int, reach: int) -> DataFrame:
+    """``wanted`` (id, key, fn, place, open) with the tokens at most ``reach`` from the place, 32 bits each.
+
+    A document of several texts gives the windows of each.
+    """
+    bound_batches(docs.sparkSession, 100)
+    listed = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "fn", "place", "open")).alias("windows"))
+    texts = holding(docs, "id", wanted.select("id"), "id").select("id", "text").join(listed, "id")
+
+    def run(batches):
+        for batch in batches:
+            for start, stop in chunks(batch.column(1)):
+                g = grid(batch.column(1).slice(start, stop - start))
+                values, at = shingles(g.words(), g.doc, width)
+                first = np.searchsorted(g.doc[at], np.arange(len(g) + 1))
+                lists = batch.column(2).slice(start, stop - start)
+                flat = lists.flatten()
+                key, fn, place, open_ = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+                p = first[doc] + place
+                mine = p < first[doc + 1]
+                salt = (np.uint64(0x9E3779B97F4A7C15) * (fn + 1).astype(np.uint64))
+                own = mix(mix(values[np.where(mine, p, 0)] ^ salt) + salt) if len(values) else np.zeros(len(p), np.uint64)
+                kept = np.flatnonzero(mine & (own.view(np.int64) == key))
+                low, high = np.maximum(p[kept] - reach, first[doc[kept]]), np.minimum(p[kept] + reach + 1, first[doc[kept] + 1])
+                marks = (values >> np.uint64(32)).astype(np.uint32)
+                held = [marks[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+                ids = batch.column(0).slice(start, stop - start).take(pa.array(doc[kept]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[kept]), ids, pa.array(open_[kept]), pa.array(held, pa.binary())], names=["key", "rep", "open", "bag"])
+
+    return texts.mapInArrow(run, "key long, rep long, open boolean, bag binary")
+
+
+def meeting(rows: DataFrame, need: int, block: int = 256) -> DataFrame:
+    """Pairs (id, head) of documents in a bucket (key, rep, open, all, bag) where the earlier one, the head, has
+    ``need`` tokens of the other one, which is open.
+
+    Of the documents that an open one meets in a block, so many are named that they hold together all tokens it shares
+    with any of them, so that a large group of copies gives one pair for each.
+    """
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        rep, open_ = table["rep"].to_numpy(), table["open"].to_numpy(zero_copy_only=False)
+        left, right, apart = _sides(table)
+        bag = [np.frombuffer(x, np.uint32) for x in table["bag"].to_pylist()]
+        words, word, times = np.unique(np.concatenate(bag), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        common = times[word] > 1
+        member, n = np.repeat(np.arange(len(bag)), [len(x) for x in bag])[common], column[-1] + 1
+        often = np.bincount(member * n + column[word[common]], minlength=len(bag) * n).reshape(len(bag), n).astype(np.float32)
+        held = (often > 0).astype(np.float32)
+        out: set[tuple[int, int]] = set()
+        for own, others in [(left, right), (right, left)][: 1 + apart]:
+            own = own[open_[own]]
+            enough = (often[own] @ held[others].T >= need) & (rep[others][None, :] < rep[own][:, None])
+            for r in np.flatnonzero(enough.any(axis=1)):
+                met = others[enough[r]]
+                met = met[np.argsort(rep[met], kind="stable")]
+                todo = held[own[r]].copy()
+                while True:
+                    gain = held[met] @ todo
+                    best = int(gain.argmax())
+                    if not gain[best]:
+                        break
+                    out.add((int(rep[own[r]]), int(rep[met[best]])))
+                    todo[held[met[best]] > 0] = 0
+        return pa.RecordBatch.from_arrays([pa.array([x[z] for x in out], pa.int64()) for z in (0, 1)], names=["id", "head"])
+
+    return _blocks(rows, ["rep", "open", "bag"], block).mapInArrow(lambda batches: _by_key(batches, compare), "id long, head long").distinct()
+
+
 def _merged(spans: Column) -> Column:
     """Overlapping or touching spans as one; the lowest source stays."""
 
@@ -153,9 +228,38 @@ def repeated_passages(
     docs = df.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), id_.alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
     cuts = windows(docs, width, hashes, tokens)
     heads = cut(cuts.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head"))
-    links = cuts.join(heads, "key").where("id <> head").select("id", "head", "window")
+    links = cut(cuts.join(heads, "key").where("id <> head").select("id", "head", "key", "window", "place"))
     pairs = cut(agreeing(links, hashes, agree, tokens))
-    bound_batches(df.sparkSession, 100)
+    first = cut(verify(pairs, docs, width, words, least, gap))
+
+    rest = cut(unsettled(links, first, docs, width, tokens))
+    counts = rest.groupBy("key").agg(F.count("*").alias("all"))
+    near = around(rest, docs, width, tokens + gap).join(counts, "key")
+    more = cut(meeting(near, int(least * tokens)).join(pairs, ["id", "head"], "left_anti"))
+    found = first.unionAll(verify(more, docs, width, words, least, gap))
+    return found.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans")).select("row", _merged(F.col("spans")).alias("spans"))
+
+
+def unsettled(links: DataFrame, found: DataFrame, docs: DataFrame, width: int, tokens: int) -> DataFrame:
+    """id, key, fn, place and ``open`` of the windows in ``links`` (id, key, window, place) whose buckets have an open one
+    after another document's.
+
+    A window is open unless every word of the stretches of ``tokens`` tokens around its place is in the spans of
+    ``found``. Spans of an id with different texts settle nothing.
+    """
+    single = docs.groupBy("id").agg(F.min("row").alias("row"), F.max("row").alias("other")).where("row = other").select("id", "row")
+    spans = found.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans")).join(single, "row").select("id", _merged(F.col("spans")).alias("spans"))
+    start, length = F.shiftright("window", 35), F.shiftright("window", 7).bitwiseAND((1 << 28) - 1)
+    low, high = F.greatest(start, F.col("place") - tokens + 1), F.least(start + length, F.col("place") + tokens) + width - 1
+    settled = F.coalesce(F.exists("spans", lambda s: (s["start"] <= low) & (s["end"] >= high)), F.lit(False))
+    state = cut(links.join(spans, "id", "left").select("id", "key", F.col("window").bitwiseAND(127).cast("int").alias("fn"), "place", (~settled).alias("open")))
+    held = cut(state.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last")).where("last > least").select("key", "last"))
+    return state.join(held, "key").where("id <= last").drop("last")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, width: int, words: int, least: float, gap: int) -> DataFrame:
+    """row and spans of what documents of ``pairs`` (id, head) have in common with their heads, by the texts in ``docs`` (row, id, text)."""
+    bound_batches(docs.sparkSession, 100)
     texts = holding(docs, "id", pairs.select(F.explode(F.array("id", "head")).alias("id")), "id")
     both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("head"), F.col("text").alias("source")), "head").select("row", "head", "text", "source")
 
@@ -175,8 +279,7 @@ def repeated_passages(
             made = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["row", "spans"]).filter(pc.greater(pc.list_value_length(made), 0))
 
-    found = both.mapInArrow(run, f"row long, spans array<{SPAN}>")
-    return found.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans")).select("row", _merged(F.col("spans")).alias("spans"))
+    return both.mapInArrow(run, f"row long, spans array<{SPAN}>")
 
 
 def mark(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -169,6 +169,31 @@ def test_passages(spark, documents):
     assert substrings.mark(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_with_shared_boilerplate_inside(spark):
+    # runs of the passage first occur in earlier documents with other surroundings: these become the heads of their buckets
+    rows, want = [], set()
+    for c in range(12):
+        line = words(34, 5000 + c)
+        inside = [*words(13, 5100 + c), *line, *words(13, 5200 + c)]
+        rows.append((100 + c, " ".join([*words(80, 5300 + c), *line, *words(80, 5400 + c)])))
+        rows += [(1000 * (k + 1) + c, " ".join([*words(30 + k, 5500 + 9 * c + k), *inside, *words(40, 5700 + 9 * c + k)])) for k in range(3)]
+        want |= {(2000 + c, 31, 91), (3000 + c, 32, 92)}
+    found = {r.doc_id: r.spans for r in substrings.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(any(s.start <= a and s.end >= b for s in found[d]) for d, a, b in want)
+    assert all(found[d] == [] for d in found if d < 2000)
+
+
+def test_blocks_name_enough_sources(spark):
+    bag = lambda *x: np.array(x, np.uint32).tobytes()
+    base = range(100, 140)
+    rows = [(1, k, k >= 5, bag(*base)) for k in range(600)] + [(1, 700, True, bag(*base, *range(40))), (1, 600, False, bag(*range(40))), (1, 701, True, bag(*range(36), *range(900, 980))), (2, 3, True, bag(*[7] * 40)), (2, 1, False, bag(7, 8)), (2, 2, False, bag(*range(50, 90)))]
+    made = spark.createDataFrame([(k, r, o, 606 if k == 1 else 3, b) for k, r, o, b in rows], "key long, rep long, open boolean, all long, bag binary")
+    found = [tuple(r) for r in substrings.meeting(made, 36).collect()]
+    assert {a for a, _ in found} == {*range(5, 600), 700, 701, 3} and all(b < a for a, b in found)
+    assert (700, 600) in found and (701, 600) in found and (3, 1) in found
+    assert len(found) < 600 * 4 + 10
+
+
 def test_compact_windows_cover_every_stretch_once():
     rng = np.random.default_rng(1)
     for n in (1, 2, 9, 30):
