@@ -183,6 +183,22 @@ def test_passages_with_shared_boilerplate_inside(spark):
     assert all(found[d] == [] for d in found if d < 2000)
 
 
+def test_edited_passages(spark):
+    # one word of 50 is another: 41 of 46 runs stay, an overlap of 41 / 51
+    rows = []
+    for c in range(300):
+        shared = words(50, 8000 + c)
+        edited = [*shared]
+        edited[random.Random(c).randrange(5, 45)] = "edited"
+        rows += [(c, " ".join([*words(25, 8400 + c), *shared, *words(25, 8800 + c)])), (1000 + c, " ".join([*words(c % 40, 9200 + c), *edited, *words(30, 9600 + c)]))]
+    runs = {d: [tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)] for d, t in rows}
+    found = {r.doc_id: r.spans for r in substrings.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for c in range(300):
+        at = [i for i, g in enumerate(runs[1000 + c]) if g in set(runs[c])]
+        assert len(at) == 41 and [(s.start, s.end, s.source) for s in found[1000 + c]] == [(at[0], at[-1] + 5, c)], c
+        assert found[c] == []
+
+
 def test_blocks_name_enough_sources(spark):
     bag = lambda *x: np.array(x, np.uint32).tobytes()
     base = range(100, 140)
