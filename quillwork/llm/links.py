@@ -1,7 +1,8 @@
 """URL filter by rules and by trust that spreads over links between hosts (operator 8).
 
 Two personalised PageRanks run over host edges: trust from hosts whose pages the rules allow, along the links,
-and distrust from hosts whose pages the rules block, against them. Scores are long integers in units of
+and distrust from hosts whose pages the rules block, against them. Verdicts take distrust by the share of a host's
+own links that lead to distrusted hosts, which the number of other linkers does not thin out. Scores are long integers in units of
 1/UNIT, rounded down edge by edge, so that the order of summing has no effect.
 """
 
@@ -65,11 +66,33 @@ def spread(hosts: DataFrame, edges: DataFrame, *, keep: float = 0.85, iterations
     return state.select("host", "t", "d")
 
 
+def leading(hosts: DataFrame, edges: DataFrame, *, keep: float = 0.85, iterations: int = 10) -> DataFrame:
+    """host and ``d``: the share, in units, of a host's own links that lead to distrusted hosts, times ``keep`` for each
+    step, or the host's own ``distrust`` (hosts: host, distrust) if that is more.
+
+    What a host gets does not depend on how many others link to the same place.
+    """
+    out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("links").alias("out"))
+    shares = cut(edges.join(out.withColumnRenamed("host", "src"), "src").select("src", F.col("dst").alias("host"), (F.col("links") / F.col("out")).alias("share")))
+    nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
+    state = cut(hosts.select("host", "distrust").join(nodes, "host", "full").select("host", F.coalesce("distrust", F.lit(0)).cast("long").alias("distrust")).withColumn("d", F.col("distrust")))
+    for _ in range(iterations):
+        got = shares.join(state.where("d > 0").select("host", "d"), "host").groupBy(F.col("src").alias("host")).agg(F.sum(F.floor(F.col("d") * F.col("share"))).alias("do"))
+        moved = state.withColumnRenamed("d", "d0").join(got, "host", "left")
+        state = cut(moved.select("host", "distrust", "d0", F.greatest("distrust", F.round(keep * F.coalesce("do", F.lit(0))).cast("long")).alias("d")))
+        same = not state.where("d <> d0").limit(1).count()
+        state = state.drop("d0")
+        if same:
+            break
+    return state.select("host", "d")
+
+
 def judge(pages: DataFrame, rules: dict[str, str], *, url: str = "url", html: str = "html", threshold: float = 0.5, keep: float = 0.85, iterations: int = 10) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the longest fitting one, or null) and ``verdict``.
 
-    A rule decides where one fits. Elsewhere a page is blocked if its host's distrust is at least ``threshold``
-    and more than its trust; a host starts with the share of its pages that rules allow, or block. A null url,
+    A rule decides where one fits. Elsewhere a page is blocked if its host's distrust, by the share of its own links
+    that lead to distrusted hosts, is at least ``threshold`` and more than its trust; a host starts with the share of
+    its pages that rules allow, or block. A null url,
     or one without "://", has an empty host and path. Repeated pages count as often as they come; an empty
     table gives an empty one; input columns named like an output are replaced.
     """
@@ -81,5 +104,6 @@ def judge(pages: DataFrame, rules: dict[str, str], *, url: str = "url", html: st
     share = lambda v: F.floor(F.lit(UNIT) * (F.count_if(by_rule == v) / F.count("*")))
     hosts = ruled.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     edges = cut(host_edges(parsed, "host", html))
-    bad = spread(hosts, edges, keep=keep, iterations=iterations).where((F.col("d") >= int(threshold * UNIT)) & (F.col("d") > F.col("t"))).select("host", F.lit("block").alias("verdict"))
+    trust = spread(hosts, edges, keep=keep, iterations=iterations).select("host", "t")
+    bad = leading(hosts, edges, keep=keep, iterations=iterations).join(trust, "host").where((F.col("d") >= int(threshold * UNIT)) & (F.col("d") > F.col("t"))).select("host", F.lit("block").alias("verdict"))
     return ruled.join(bad, "host", "left").select(*kept, "host", "path", "rule", F.coalesce(by_rule, F.col("verdict"), F.lit("allow")).alias("verdict"))

@@ -97,6 +97,14 @@ def test_url_filter(spark, tmp_path):
     assert links.judge(df.limit(0), queries.RULES).count() == 0
 
 
+def test_many_linkers_of_a_blocked_host(spark):
+    farm = [page(f"http://farm{k}.com/1", "http://bad.net/") for k in range(100)]
+    rest = [page("http://bad.net/1"), page("http://back.com/1", *(f"http://farm{k}.com/" for k in range(40))), page("http://wide.com/1", "http://bad.net/", "http://one.com/", "http://two.com/"), page("http://one.com/1")]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(farm + rest)], "page_id long, url string, html string")
+    found = {r.host: r.verdict for r in links.judge(df, queries.RULES).collect()}
+    assert {h for h, v in found.items() if v == "block"} == {*(f"farm{k}.com" for k in range(100)), "bad.net", "back.com"}
+
+
 def test_trust_and_distrust_spread(spark):
     edges = spark.createDataFrame([("a", "b", 3), ("a", "c", 1), ("b", "c", 2), ("d", "a", 1), ("d", "c", 5)], "src string, dst string, links long")
     hosts = spark.createDataFrame([("a", links.UNIT, 0), ("c", 0, links.UNIT)], "host string, trust long, distrust long")
