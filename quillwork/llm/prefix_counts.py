@@ -4,7 +4,7 @@ For a word of base symbols, the last token of the encoding of every prefix is th
 and stands next to the last token of what precedes it; the prefix's count is one more than that of what
 precedes. One pass so gives the counts of all prefixes, in time linear in the word. Words are independent,
 so a text's prefix counts are running sums over its words. Stored once, they answer how many tokens a prefix
-has and where a budget ends, without encoding again.
+has, without encoding again. Where a budget ends is looked up in them and, inside one piece, by the same pass.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from tokenizers import Tokenizer
 from .arrowtext import bound_batches, chunks
 
 MEMORY = 400_000
+CONTRACTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Counter:
@@ -46,6 +47,8 @@ class Counter:
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         known = kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert")
         self.ascii_words = regex.compile(split["pattern"]["Regex"]).findall if known else None
+        #: For this pattern, a word's prefix of more than three characters is one word too: only 'll and its like are not.
+        self.contracting = known and split["pattern"]["Regex"] == CONTRACTING
         self.specials = [t["content"] for t in spec["added_tokens"]]
         #: Tokens that are what their own symbols encode to, without the suffix: inside a word, at its end.
         stands = {t for t in self.vocab if self.merged(self.symbols(t)) == [t]}
@@ -177,34 +180,97 @@ class Counter:
         start = int(ends[k - 1]) + 1 if k else 0
         return (int(counts[k - 1]) if k else 0) + (self.count(text[start:length]) if length > start else 0)
 
+    def within(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+        """Characters of the longest prefix of at most ``budget`` tokens; ``table`` is the text's own, if at hand.
+
+        Counts at the ends of pieces only grow, so it ends before the end of the first piece that is too much. There,
+        and in its runs without white space, the same holds.
+        """
+        ends, counts = self.table(text) if table is None else table
+        k = int(np.searchsorted(counts, budget, side="right"))
+        if k == len(ends):
+            return len(text)
+        start, left = (int(ends[k - 1]) + 1, budget - int(counts[k - 1])) if k else (0, budget)
+        if left < 0:
+            return 0
+        for run in regex.finditer(r"[^\n\r\t]+|[\n\r\t]+", text[start : int(ends[k])]):
+            n = self.count(run[0])
+            if n > left:
+                return start + run.start() + self._run_within(run[0], left)
+            left -= n
+        return int(ends[k])
+
+    def _run_within(self, run: str, budget: int) -> int:
+        """``within`` for text without spaces that has more than ``budget`` tokens."""
+        at = 0
+        plain = self.contracting and not any(s in run for s in self.specials)
+        if plain:  # a letter after a sign starts a word
+            parts = regex.split(r"(?V1)(?<=[^\s\p{L}\p{N}\p{M}'])(?=\p{L})", run)
+            for part in parts:
+                n = self._plain(part)
+                if n > budget:
+                    run = part
+                    break
+                budget -= n
+                at += len(part)
+        if plain and not regex.search(r"[\s\x1c-\x1f]", run) and "".join(map(self.normalise, run)) == (normal := self.normalise(run)) and len(normal) == len(run):
+            for word in self.ascii_words(normal):
+                n = self._plain(word)
+                if n > budget:
+                    whole = self.words_of(word)[0][0] if len(word) > 3 else ""
+                    counts = self.prefixes(whole) if whole else []
+                    size = np.cumsum([len(c.encode()) for c in word])
+                    for k in range(len(word) - 1, 0, -1):
+                        if (counts[size[k - 1] - 1] if k > 3 else self._plain(word[:k])) <= budget:
+                            return at + k
+                    return at
+                budget -= n
+                at += len(word)
+        # texts that change their length or neighbours when normalised: every prefix on its own
+        return at + next(k for k in range(len(run) - 1, -1, -1) if (self._fresh(run[:k]) if k else 0) <= budget)
+
+    def _fresh(self, piece: str) -> int:
+        """``count`` of a piece that will not come again."""
+        at = [(piece.find(s), -len(s)) for s in self.specials if s in piece]
+        if not at:
+            return self._plain(piece)
+        start, size = min(at)
+        return self._plain(piece[:start]) + 1 + self._fresh(piece[start - size :])
+
 
 @lru_cache(2)
 def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def prefix_counts(df: DataFrame, path: str, text: str = "text", *, ends: str = "prefix_ends", counts: str = "prefix_tokens") -> DataFrame:
+def prefix_counts(df: DataFrame, path: str, text: str = "text", *, ends: str = "prefix_ends", counts: str = "prefix_tokens", budget: int | None = None, within: str = "prefix_within") -> DataFrame:
     """``df`` with the arrays ``ends`` (positions before each space and at the end, in characters) and ``counts``
-    (tokens of the text up to there). ``path`` names the tokenizer file, on every executor.
+    (tokens of the text up to there). ``path`` names the tokenizer file, on every executor. With a ``budget`` there is
+    also ``within``: characters of the longest prefix, at any character, of at most so many tokens.
 
     A null text counts as empty: one end at 0, no tokens. Texts are taken whole and row by row; input columns
     named like an output are replaced.
     """
     bound_batches(df.sparkSession)
-    new = {ends.lower(), counts.lower()}
+    new = {ends.lower(), counts.lower()} | ({within.lower()} if budget is not None else set())
     kept = [c for c in df.columns if c == text or c.lower() not in new]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), f"`{ends}` array<int>", f"`{counts}` array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), f"`{ends}` array<int>", f"`{counts}` array<int>", *([f"`{within}` long"] if budget is not None else [])])
 
     def run(batches):
         own = counter(path)
         for batch in batches:
             column = batch.column(kept.index(text))
             for start, stop in chunks(column):
-                tables = [own.table(t) for t in pc.fill_null(column.slice(start, stop - start), "").to_pylist()]
+                texts = pc.fill_null(column.slice(start, stop - start), "").to_pylist()
+                tables = [own.table(t) for t in texts]
                 at = pa.array(np.cumsum([0, *(len(e) for e, _ in tables)]), pa.int32())
                 made = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([t[k] for t in tables]), pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns), *made], names=[*kept, ends, counts])
+                names = [*kept, ends, counts]
+                if budget is not None:
+                    made.append(pa.array([own.within(t, budget, x) for t, x in zip(texts, tables, strict=True)], pa.int64()))
+                    names.append(within)
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns), *made], names=names)
 
     return source.mapInArrow(run, schema)
 
@@ -214,6 +280,6 @@ def total_tokens(counts: str = "prefix_tokens") -> Column:
 
 
 def prefix_within(budget: int, ends: str = "prefix_ends", counts: str = "prefix_tokens") -> Column:
-    """Characters of the longest stored prefix of at most ``budget`` tokens."""
+    """Characters of the longest stored prefix of at most ``budget`` tokens; ``prefix_counts`` with a budget gives the longest of all."""
     held = F.size(F.filter(F.col(counts), lambda c: c <= budget))
     return F.when(held > 0, F.element_at(F.col(ends), F.greatest(held, F.lit(1)))).otherwise(0).cast("long")

@@ -39,9 +39,9 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = prefix_counts.prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    found = prefix_counts.prefix_counts(docs, public_tokenizers.path("word_bpe_49k.json"), budget=TOKEN_LIMIT)
     n = prefix_counts.total_tokens()
-    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"), prefix_counts.prefix_within(TOKEN_LIMIT).alias("chars_in_limit"))
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"), F.col("prefix_within").alias("chars_in_limit"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,20 @@ def test_every_prefix():
         assert counter.prefixes(word) == [len(own.model.tokenize(word[:k])) for k in range(1, len(word) + 1)]
 
 
+def test_longest_prefix_within_a_budget(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, counter = Tokenizer.from_file(path), prefix_counts.counter(path)
+    spaceless = ["\u6a5f\u68b0\u5b66\u7fd2\u306f\u30c7\u30fc\u30bf\u304b\u3089\u5b66\u3076\u3002" * 4, "one\ntwo\tthree\n\nfour's they'll've\tx'r'rex", "https://example.org/a-b_c?d=e&f=1234567890", "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 3, "e\u0301te\u0301\u0130stanbul", "\u304b\u3099\u3002\u304b\u3000a!b\u0301'll?'re\u00bfx", "ab<|endoftext|>cd<|startoftext|>'ll", "'" * 5 + "lllll'll'd", "a" * 60, "", "\n\n x  y "]
+    for text in [*spaceless, *(t[:70] for t in texts(40))]:
+        n = [0, *(len(own.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1))]
+        for budget in range(max(n) + 2):
+            assert counter.within(text, budget) == max(k for k in range(len(n)) if n[k] <= budget), (text, budget)
+    df = spark.createDataFrame([(0, spaceless[0] * 300), (1, None)], "doc_id long, text string")
+    got = {r.doc_id: r.prefix_within for r in prefix_counts.prefix_counts(df, path, budget=2048).collect()}
+    count = lambda k: len(own.encode((spaceless[0] * 300)[:k], add_special_tokens=False).ids)
+    assert got[1] == 0 and got[0] > 0 and count(got[0]) <= 2048 and all(count(got[0] + k) > 2048 for k in range(1, 50))
+
+
 def plain_best_fit(sizes, length):
     rooms = []
     for n in sorted(sizes, reverse=True):
