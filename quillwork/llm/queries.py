@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, links, minhash, oracles, packing, prefix_counts, quality, sharding, substrings
-from .storage import cut
 
 #: The contract's rules, host and path to verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -27,8 +26,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = cut(_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
-    return sharding.shard(rows, SHARDS).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+    return placed.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

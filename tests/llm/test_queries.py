@@ -26,6 +26,14 @@ def test_shard_query(spark, small):
     assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
 
 
+def test_shard_query_deals_whole_texts(spark, small, monkeypatch):
+    given = []
+    deal = queries.sharding.shard
+    monkeypatch.setattr(queries.sharding, "shard", lambda df, *a, **k: (given.append(df.columns), deal(df, *a, **k))[1])
+    queries.op2_shard(spark, small)
+    assert given == [["doc_id", "text"]]
+
+
 def grams(t, n):
     w = WORD.findall(t)
     return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
