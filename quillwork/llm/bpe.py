@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import bound_batches, chunks
+from .arrowtext import chunks
 
 #: Entries that a worker remembers; beyond it starts afresh, so memory is bounded and results stay the same.
 MEMORY = 200_000
@@ -137,7 +137,6 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", *, ids: s
     into a binary column of that name. A null or empty text has no ids. Rows are encoded one by one, whole;
     input columns named like an output are replaced.
     """
-    bound_batches(df.sparkSession)
     new = [ids, *([decoded] if decoded else [])]
     kept = [c for c in df.columns if c == text or c.lower() not in {x.lower() for x in new}]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
@@ -159,7 +158,6 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", *, ids: s
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", *, decoded: str = "decoded") -> DataFrame:
     """``df`` with binary column ``decoded``: the bytes of the tokens in binary column ``ids``; null stays null."""
-    bound_batches(df.sparkSession)
     kept = [c for c in df.columns if c == ids or c.lower() != decoded.lower()]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), f"`{decoded}` binary"])

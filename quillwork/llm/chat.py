@@ -18,8 +18,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import bound_batches
-
 OPEN, SHUT, ROLE_OPEN, ROLE_SHUT = "<s>", "</s>", "[", "]"
 #: What one attachment expands to, from its own size; all are parameters of ``flatten``.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25.0, 1024
@@ -73,7 +71,6 @@ def flatten(df: DataFrame, parts: str = "parts", *, patch: int = PATCH, audio_ra
 
     No parts and null parts give an empty turn. A kind without a visitor's method is an error.
     """
-    bound_batches(df.sparkSession)
     new = {"flat", "attachments", "attachment_tokens"}
     kept = [c for c in df.columns if c != parts and c.lower() not in new]
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{parts}`").cast(f"array<{PART}>").alias("_parts"))
@@ -140,7 +137,6 @@ def turns_of(formatted: str) -> list[tuple[str, str]]:
 def read_back(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256`` and ``formatted_chars``, all read
     from ``formatted``. The loss mask covers the texts of ``loss_role``."""
-    bound_batches(chats.sparkSession)
     names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):

@@ -6,12 +6,14 @@ free is marked again and again, and what overlaps it is cut down to its free par
 is its coverage: passages count wherever and in whatever order they stand in the text.
 
 The benchmark is a stated query set. It goes to the workers in blocks of at most ``block_bytes``, one pass over the
-texts for each block, so a benchmark of any size is handled in bounded memory.
+texts for each block, so a benchmark of any size is handled in bounded memory. Passes write hashes of contaminated
+texts and their scores, never texts.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import SPACE, bound_batches, chunks, grid, shingles
-from .storage import cut
+from .arrowtext import SPACE, Grid, chunks, fresh, grid, shingles
+from .storage import Scratch, split
 
 #: White space and ASCII punctuation stand between words; letter case is folded.
 BETWEEN = SPACE.copy()
@@ -38,6 +40,9 @@ class Index:
         self.seeds, at = seeds[by], at[by]
         self.item, self.at = g.doc[at], at - g.first[g.doc[at]]
 
+    def counts(self, seeds: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.seeds, seeds, side="right") - np.searchsorted(self.seeds, seeds, side="left")
+
     def matches(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a position in ``seeds`` and one in the index with equal hashes."""
         low = np.searchsorted(self.seeds, seeds, side="left")
@@ -46,52 +51,72 @@ class Index:
         return left, np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
-def tile(runs: list[tuple[int, int, int]], least: int) -> int:
-    """Words marked by greedy string tiling. ``runs``: maximal matches as (start in text, start in item, length)."""
+def tile(runs: list[tuple[int, int, int]], least: int, size: int) -> int:
+    """Words marked by greedy string tiling of an item of ``size`` words. ``runs``: maximal matches as (start in text,
+    start in item, length)."""
     heap = [(-n, i, j) for i, j, n in runs]
     heapq.heapify(heap)
-    text, item = set(), set()
-    while heap:
+    base = min(i for i, _, _ in runs)
+    text, item = np.zeros(max(i + n for i, _, n in runs) - base, bool), np.zeros(size, bool)
+    done = 0
+    while heap and size - done >= least:
         n, i, j = heapq.heappop(heap)
-        free = [i + k not in text and j + k not in item for k in range(-n)]
-        if all(free):
-            text.update(range(i, i - n))
-            item.update(range(j, j - n))
+        n = -n
+        taken = text[i - base : i - base + n] | item[j : j + n]
+        if not taken.any():
+            text[i - base : i - base + n] = item[j : j + n] = True
+            done += n
             continue
-        start = 0
-        for k in range(-n + 1):
-            if k == -n or not free[k]:
-                if k - start >= least:
-                    heapq.heappush(heap, (start - k, i + start, j + start))
-                start = k + 1
-    return len(item)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if end - start >= least:
+                heapq.heappush(heap, (start - end, i + start, j + start))
+    return done
 
 
-def scan(texts: pa.Array, index: Index, threshold: float) -> list[list[tuple[int, float]]]:
-    """For each text, the items that share a seed with it and their coverage."""
-    g = grid(pc.utf8_lower(texts), BETWEEN)
+def diagonals(g: Grid, index: Index, limit: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """Maximal runs of seeds that texts and items share: text, item, starts in both and how many seeds.
+
+    Positions are taken in strips of about ``limit`` pairs, so that texts and items of one repeated word, which meet at
+    every place, cost time but no memory.
+    """
     seeds, at = shingles(g.words(), g.doc, index.width)
-    left, right = index.matches(seeds)
-    doc, item = g.doc[at[left]], index.item[right]
-    i, j = at[left] - g.first[doc], index.at[right]
+    ends = np.cumsum(index.counts(seeds))
+    found = []
+    low = 0
+    while low < len(seeds):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + limit)))
+        left, right = index.matches(seeds[low:high])
+        left += low
+        doc, item = g.doc[at[left]], index.item[right]
+        found.append(_runs(doc, item, at[left] - g.first[doc], index.at[right], np.ones(len(doc), np.int64)))
+        low = high
+    return _runs(*(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(5)))
+
+
+def _runs(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs that follow each other on a diagonal as one, in order."""
     by = np.lexsort((i, i - j, item, doc))
-    doc, item, i, j = doc[by], item[by], i[by], j[by]
+    doc, item, i, j, n = (x[by] for x in (doc, item, i, j, n))
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (i[1:] - j[1:] != i[:-1] - j[:-1]) | (i[1:] != i[:-1] + n[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    return doc[new], item[new], i[new], j[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def scan(texts: pa.Array, index: Index, threshold: float) -> list[list[tuple[int, float]]]:
+    """For each text, the items that share a seed with it and their coverage."""
+    doc, item, i, j, length = diagonals(grid(pc.utf8_lower(texts), BETWEEN), index)
     out: list[list[tuple[int, float]]] = [[] for _ in range(len(texts))]
     if not len(doc):
         return out
-    pair = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
-    run = pair | np.concatenate([[True], (i[1:] - i[:-1] != 1) | (j[1:] - j[:-1] != 1)])
-    starts = np.flatnonzero(run)
-    length = np.diff(np.append(starts, len(doc))) + index.width - 1
-    firsts = np.append(np.searchsorted(starts, np.flatnonzero(pair)), len(starts))
+    length = length + index.width - 1
+    firsts = np.append(np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])), len(doc))
     # no tiling covers more words than its matches have
     for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-        k = starts[a]
-        size = int(index.sizes[item[k]])
+        size = int(index.sizes[item[a]])
         if length[a:b].sum() < threshold * size:
             continue
-        marked = tile([(int(i[s]), int(j[s]), int(n)) for s, n in zip(starts[a:b], length[a:b], strict=True)], index.width)
-        out[doc[k]].append((int(item[k]), marked / size))
+        marked = tile(list(zip(i[a:b].tolist(), j[a:b].tolist(), length[a:b].tolist(), strict=True)), index.width, size)
+        out[doc[a]].append((int(item[a]), marked / size))
     return out
 
 
@@ -106,43 +131,59 @@ def decontaminate(
     threshold: float = 0.5,
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """``df`` with ``n_items`` (benchmark items of which at least ``threshold`` is tiled by the text), ``item_id``
+    """``df`` with ``n_items`` (benchmark items of which at least ``threshold`` is tiled by the text), ``best_item``
     (the one with the highest coverage, the lowest id on ties; null if none), ``coverage`` and ``contaminated``.
 
     Items with fewer than ``min_match`` words are in no text; null texts and null items have no words. Rows are
     judged one by one. An empty benchmark contaminates nothing; an empty table stays empty; columns named like an
     output are replaced.
     """
-    bound_batches(df.sparkSession)
     new = ("n_items", "best_item", "coverage", "contaminated")
     kept = [c for c in df.columns if c == text or c.lower() not in new]
+    docs = df.select(*[F.col(f"`{c}`") for c in kept])
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text is not null and id is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
     blocks = max(1, -(-size // block_bytes))
-    state = df.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("coverage"))
-    schema = state.schema
-
-    for block in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-        index = Index(held["id"].to_pylist(), held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string()), min_match)
-        shared = df.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in batches:
-                column = batch.column(kept.index(text))
-                for start, stop in chunks(column):
-                    part = batch.slice(start, stop - start)
-                    n, best, most = (part.column(len(kept) + k).to_pylist() for k in range(3))
-                    for d, found in enumerate(scan(part.column(kept.index(text)), index, threshold)):
-                        for item, share in found:
-                            if share >= threshold:
-                                n[d] += 1
-                                if (share, -index.ids[item]) > (most[d], -best[d] if best[d] is not None else float("-inf")):
-                                    most[d], best[d] = share, index.ids[item]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(n, pa.int64()), pa.array(best, pa.int64()), pa.array(most, pa.float64())], names=[*kept, *new[:3]])
-
-        state = state.mapInArrow(run, schema)
-        if block + 1 < blocks:
-            state = cut(state)
-    return state.withColumn("contaminated", F.col("n_items") > 0)
+    if blocks == 1:
+        return _pass(docs, text, items, min_match, threshold).withColumn("contaminated", F.col("n_items") > 0)
+
+    h, g = fresh(docs, "_h"), fresh(docs, "_g")
+    hashes = [F.xxhash64(F.col(f"`{text}`")).alias(h), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias(g)]
+    with Scratch(df.sparkSession) as scratch:
+        texts, found = docs.select(F.col(f"`{text}`")), []
+        for block in range(blocks):
+            held = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
+            found.append(scratch.cut(_pass(texts, text, held, min_match, threshold).where("n_items > 0").select(*hashes, *new[:3]).distinct()))
+        every = reduce(DataFrame.unionAll, found)
+        best = F.max_by("best_item", F.struct("coverage", -F.col("best_item")))
+        scores = scratch.keep(scratch.cut(every.groupBy(h, g).agg(F.sum("n_items").alias(new[0]), best.alias(new[1]), F.max("coverage").alias(new[2]))))
+    may, others = split(docs.select("*", *hashes), h, scores, h)
+    judged = may.join(scores, [h, g], "left").select(*[F.col(f"`{c}`") for c in kept], *new[:3])
+    none = others.select(*[F.col(f"`{c}`") for c in kept], *(F.lit(None).cast(t).alias(c) for c, t in zip(new, ("long", "long", "double"), strict=False)))
+    out = judged.unionAll(none).withColumn(new[0], F.coalesce(new[0], F.lit(0).cast("long"))).withColumn(new[2], F.coalesce(new[2], F.lit(0.0)))
+    return out.withColumn("contaminated", F.col("n_items") > 0)
+
+
+def _pass(df: DataFrame, text: str, items: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``df`` with n_items, best_item and coverage for one block of items (id, text)."""
+    kept = df.columns
+    held = items.toArrow().sort_by([("id", "ascending"), ("text", "ascending")])  # a block, of bounded size
+    index = Index(held["id"].to_pylist(), held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string()), width)
+    shared = df.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            column = batch.column(kept.index(text))
+            for start, stop in chunks(column):
+                part = batch.slice(start, stop - start)
+                n, best, most = [0] * part.num_rows, [None] * part.num_rows, [0.0] * part.num_rows
+                for d, found in enumerate(scan(part.column(kept.index(text)), index, threshold)):
+                    held = [(share, -index.ids[item]) for item, share in found if share >= threshold]
+                    if held:
+                        n[d], (most[d], least) = len(held), max(held)
+                        best[d] = -least
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(best, pa.int64()), pa.array(most, pa.float64())], names=[*kept, "n_items", "best_item", "coverage"])
+
+    schema = df.select("*", F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("coverage")).schema
+    return df.mapInArrow(run, schema)

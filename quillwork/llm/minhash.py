@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Grid, bound_batches, chunks, grid, mix, shingles
+from .arrowtext import Grid, chunks, grid, mix, shingles
 from .graph import components
-from .storage import cut, holding
+from .heads import against_heads, slices
+from .storage import Scratch, holding
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -70,16 +71,6 @@ def signatures(doc: np.ndarray, runs: np.ndarray, times: np.ndarray, n_docs: int
     return out.reshape(n_docs, size)
 
 
-def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
-    """(n_docs, bands) bucket numbers."""
-    parts = signature.reshape(len(signature), bands, -1)
-    with np.errstate(over="ignore"):
-        out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2])
-        for k in range(parts.shape[2]):
-            out = mix(out * np.uint64(0xD6E8FEB86659FD93) + parts[:, :, k])
-    return out
-
-
 def contents(g: Grid) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each text's sequence of words."""
     words, out = g.words(), []
@@ -92,24 +83,26 @@ def contents(g: Grid) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(df: DataFrame, doc_id: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """id, content hashes c1 and c2, number of runs, band keys and short signature of every text with a word."""
-    bound_batches(df.sparkSession)
+    """id, content hashes c1 and c2, number of runs and signature of every text with a word.
+
+    Of each component 16 bits are kept; the ``rows`` of a band, 4 at most, make one number of ``sig``.
+    """
+    size = bands * rows
 
     def run(batches):
         for batch in batches:
             for start, stop in chunks(batch.column(1)):
                 g = grid(batch.column(1).slice(start, stop - start))
                 doc, runs, times = bags(g, width)
-                signed = signatures(doc, runs, times, len(g), bands * rows)
-                keys = band_keys(signed, bands)
-                short = pa.array([x.tobytes() for x in (signed & np.uint64(0xFFFF)).astype(np.uint16)], pa.binary())
+                short = np.zeros((len(g), bands, 4), np.uint16)
+                short[:, :, :rows] = (signatures(doc, runs, times, len(g), size) & np.uint64(0xFFFF)).reshape(len(g), bands, rows)
                 n = np.bincount(doc, times, len(g)).astype(np.int64)
                 held = pa.array(np.diff(g.first) > 0)
                 made = [pa.array(x.view(np.int64)) for x in contents(g)]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *made, pa.array(n), lists, short], names=["id", "c1", "c2", "n", "bands", "sig"]).filter(held)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1) * bands, pa.int32()), pa.array(short.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *made, pa.array(n), lists], names=["id", "c1", "c2", "n", "sig"]).filter(held)
 
-    return df.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).where(f"`{doc_id}` is not null and `{text}` is not null").mapInArrow(run, "id long, c1 long, c2 long, n long, bands array<long>, sig binary")
+    return df.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).where(f"`{doc_id}` is not null and `{text}` is not null").mapInArrow(run, "id long, c1 long, c2 long, n long, sig array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -119,28 +112,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Of pairs (a, b), those whose texts in ``docs`` (id, text) overlap enough."""
-    bound_batches(docs.sparkSession, 100)
-    docs = holding(docs, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
-    left = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def _bags(texts: pa.Array, width: int) -> list[tuple[np.ndarray, ...]]:
+    doc, runs, times = bags(grid(texts), width)
+    return slices(doc, len(texts), runs, times)
 
-    def run(batches):
-        for batch in batches:
-            bag: dict[int, list] = {}
-            for k in (2, 3):
-                column, out = batch.column(k), []
-                for start, stop in chunks(column):
-                    doc, runs, times = bags(grid(column.slice(start, stop - start)), width)
-                    cuts = np.searchsorted(doc, np.arange(stop - start + 1))
-                    out += [(runs[i:j], times[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                bag[k] = out
-            kept = [similarity(x, y) >= least for x, y in zip(bag[2], bag[3], strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Of pairs (a, b), those whose texts in ``docs`` (id, text) overlap enough; many a to a b."""
+
+    def alike(own, other):
+        return {"alike": x} if len(own[0]) and len(other[0]) and (x := similarity(own, other)) >= least else None
 
+    found = against_heads(scratch, pairs.select(F.col("a").alias("id"), F.col("b").alias("head")), docs.withColumn("row", F.col("id")), lambda texts: _bags(texts, width), alike, ["alike"])
+    return found.select(F.col("id").alias("a"), F.col("head").alias("b"))
 
 
 def _blocks(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
@@ -152,6 +136,26 @@ def _blocks(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
     return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def across(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """As ``_blocks``, for buckets (key, rep, comp, major, few, many, ...) of which only pairs of different components
+    matter: members of the largest component, ``major`` (there are ``many``), do not meet each other, only the ``few``
+    others. A bucket with few others is copied few times, however large it is."""
+    few, many = (F.ceil(F.col(c) / block).cast("int") for c in ("few", "many"))
+    inside = F.col("comp") == F.col("major")
+    own = rows.withColumn("fb", few).withColumn("mb", many).withColumn("x", F.when(inside, F.col("fb") + F.pmod(F.xxhash64("rep"), F.col("mb"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("fb"))).cast("int"))
+    met = own.withColumn("y", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("fb")).otherwise(F.col("fb") + F.col("mb")) - 1)))
+    met = met.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("second"), *columns)
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def split_sides(scratch: Scratch, state: DataFrame) -> DataFrame:
+    """``state`` (key, rep, comp, ...) of the buckets with several components, with ``major``, ``many`` and ``few``."""
+    counts = state.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    sides = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).where("all > top.c")
+    sides = scratch.cut(sides.select("key", F.col("top.comp").alias("major"), F.col("top.c").alias("many"), (F.col("all") - F.col("top.c")).alias("few")))
+    return state.join(sides, "key")
+
+
 def _by_key(batches, compare):
     """Runs ``compare`` on the rows of each (key, i, j), which come together."""
     held: list[pa.RecordBatch] = []
@@ -180,34 +184,36 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(~second), np.flatnonzero(second), True
 
 
-def likely(rows: DataFrame, bands: int, size: int, least: float, block: int = 512) -> DataFrame:
-    """Of buckets' members (key, band, rep, n, comp, all, sig), those (key, rep) that may be ``least`` similar to a member
-    of another component with which this is the first common band.
+def likely(rows: DataFrame, bands: int, per_band: int, least: float, block: int = 2048) -> DataFrame:
+    """Of buckets' members (key, band, rep, n, comp, sig and the sides), those (key, rep) that may be ``least`` similar to a
+    member of another component with which this is the first common band.
 
     Components of the signatures that agree estimate the similarity; more than four standard deviations below
     ``least`` is ruled out.
     """
+    size = bands * per_band
     need = int(np.floor(size * least - 4 * np.sqrt(size * least * (1 - least))))
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         rep, n, comp = (table[c].to_numpy() for c in ("rep", "n", "comp"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(len(rep), size)
+        whole = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(rep), bands)
+        sig = np.ascontiguousarray(whole).view(np.uint16).reshape(len(rep), bands, 4)[:, :, :per_band].reshape(len(rep), size)
         left, right, apart = _sides(table)
         band, found = table["band"][0].as_py(), np.zeros(len(rep), bool)
         for k in left:
             rest = right if apart else right[right > k]
             rest = rest[(comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) >= least * np.maximum(n[rest], n[k]))]
-            same = sig[rest] == sig[k]
-            rest = rest[(same.sum(axis=1) >= need) & (same.reshape(len(rest), bands, size // bands).all(axis=2).argmax(axis=1) == band)]
+            rest = rest[(sig[rest] == sig[k]).sum(axis=1) >= need]
+            rest = rest[(whole[rest] == whole[k]).argmax(axis=1) == band]
             found[rest] = True
             found[k] |= len(rest) > 0
         return table.select(["key", "rep"]).filter(pa.array(found)).combine_chunks().to_batches()[0] if found.any() else pa.RecordBatch.from_pylist([], pa.schema([("key", pa.int64()), ("rep", pa.int64())]))
 
-    return _blocks(rows, ["band", "rep", "n", "comp", "sig"], block).mapInArrow(lambda batches: _by_key(batches, compare), "key long, rep long").distinct()
+    return across(rows, ["band", "rep", "n", "comp", "sig"], block).mapInArrow(lambda batches: _by_key(batches, compare), "key long, rep long").distinct()
 
 
 def overlaps(rows: DataFrame, least: float, block: int = 256, strip: int = 64) -> DataFrame:
-    """Edges (a, b) between members of a bucket (key, rep, n, comp, all, bag) in different components whose bags overlap
+    """Edges (a, b) between members of a bucket (key, rep, n, comp, bag and the sides) in different components whose bags overlap
     by ``least`` or more: enough of them to join all components that have such a pair.
 
     A bag is a set of 32-bit numbers, one for each run and repetition. Overlaps of a strip of members with a block
@@ -249,12 +255,11 @@ def overlaps(rows: DataFrame, least: float, block: int = 256, strip: int = 64) -
                     out.append((rep[own[r]], rep[right[q]]))
         return pa.RecordBatch.from_arrays([pa.array([x[z] for x in out], pa.int64()) for z in (0, 1)], names=["a", "b"])
 
-    return _blocks(rows, ["rep", "n", "comp", "bag"], block).mapInArrow(lambda batches: _by_key(batches, compare), "a long, b long").distinct()
+    return across(rows, ["rep", "n", "comp", "bag"], block).mapInArrow(lambda batches: _by_key(batches, compare), "a long, b long").distinct()
 
 
 def whole_bags(docs: DataFrame, width: int) -> DataFrame:
     """rep and bag of ``docs`` (id, text)."""
-    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -287,43 +292,52 @@ def near_duplicates(
 
     Texts of equal words are one node from the start. In every bucket all members are first compared with the one
     that has the most company over all its buckets, which settles large groups of copies in one comparison each;
-    what is left, members of a bucket in different components, is compared pair by pair in blocks: signatures rule
-    out most, bags of runs decide. With 24 bands of 4 rows a pair at 0.8 shares a bucket with probability 0.999996.
+    what is left, members of a bucket outside its largest component, is compared with the other components in blocks:
+    signatures rule out most, bags of runs decide. With 24 bands of 4 rows a pair at 0.8 shares a bucket with
+    probability 0.999996.
 
     Rows that share an id are one document. A null id has a null class and counts as first; a text without words
     (null, empty, white space) is a class of its own; an empty table gives no rows. ``keep_all`` false leaves out
     the documents that are alone. Other columns are ignored.
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    with Scratch(df.sparkSession) as scratch:
+        classes = scratch.keep(scratch.cut(_classes(scratch, df, docs, doc_id, text, width, least, bands, rows)))
+    out = docs.select("id").join(classes, "id", "left" if keep_all else "inner").withColumn("class_id", F.coalesce("class_id", "id"))
+    return out.select("id", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_first"))
+
+
+def _classes(scratch: Scratch, df: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, least: float, bands: int, rows: int) -> DataFrame:
+    """id and class_id of the documents that are not alone."""
+    cut = scratch.cut
     coded = cut(sketch(df, doc_id, text, width, bands, rows))
-    # what an aggregate gives is cut before it meets its rows again: only then can Spark split a hot key in the join
-    firsts = cut(coded.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    held = cut(coded.join(firsts, ["c1", "c2"]).select("id", "rep", "copies", "n", "bands", "sig"))
-    members = held.where("copies > 1").select("id", "rep").distinct()
+    # one node for equal texts; what an aggregate gives is cut before it meets its rows again, so that Spark can split a hot key
+    nodes = cut(coded.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("id", "n", "sig")).alias("first")).select("c1", "c2", "copies", F.col("first.id").alias("rep"), "first.n", "first.sig"))
+    members = cut(coded.select("id", "c1", "c2").join(nodes.where("copies > 1").select("c1", "c2", "rep"), ["c1", "c2"]).select("id", "rep").distinct())
+    scratch.drop(coded)
 
-    nodes = held.where("id = rep")
-    buckets = nodes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = nodes.select("rep", "n", F.posexplode("sig").alias("band", "value")).select("rep", "n", "band", F.xxhash64("band", "value").alias("key"))
     sizes = cut(buckets.groupBy("key").agg(F.count("*").alias("all"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key", "all"))
-    shared = cut(buckets.join(sizes, "key").select("key", "band", "rep", "n", "all").distinct())
-    company = shared.groupBy("rep").agg(F.sum("all").alias("company"))
-    ranked = shared.join(company, "rep")
-    heads = cut(ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"), "n")).alias("head")))
+    shared = cut(buckets.join(sizes, "key").select("key", "band", "rep", "n", "all"))
+    company = cut(shared.groupBy("rep").agg(F.sum("all").alias("company")))
+    heads = cut(shared.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("rep"), "n")).alias("head")))
     stars = shared.join(heads, "key").select(F.col("rep").alias("a"), (-F.col("head.rep")).alias("b"), F.col("n").alias("na"), F.col("head.n").alias("nb"))
     stars = cut(stars.where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct())
-    edges = cut(verify(stars, docs, width, least))
-    labels = components(edges)
-
-    state = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = state.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = state.join(mixed, "key").join(nodes.select("rep", "sig").dropDuplicates(["rep"]), "rep").select("key", "band", "rep", "n", "comp", "all", "sig")
-    left = cut(likely(rest, bands, bands * rows, least).join(state.select("key", "rep", "n", "comp"), ["key", "rep"]))
-    wanted = left.select(F.col("rep").alias("id")).distinct()
-    bagged = whole_bags(holding(docs, "id", wanted, "id").join(wanted, "id", "left_semi"), width).dropDuplicates(["rep"])
-    again = left.groupBy("key").agg(F.count("*").alias("all"))
-    more = cut(overlaps(left.join(again, "key").join(bagged, "rep"), least))
-    labels = components(edges.unionAll(more))
+    edges = cut(verify(scratch, stars, docs, width, least))
+    scratch.drop(sizes, company, heads, stars)
+
+    # buckets of two are settled; elsewhere members of different components are still to be compared
+    labels = cut(components(scratch, edges))
+    state = cut(shared.where("all > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+    scratch.drop(shared, labels)
+    mixed = cut(split_sides(scratch, state))
+    rest = mixed.join(nodes.select("rep", "sig"), "rep")
+    left = cut(likely(rest, bands, rows, least).join(state.select("key", "rep", "n", "comp"), ["key", "rep"]))
+    scratch.drop(nodes, mixed, state)
+    wanted = cut(left.select(F.col("rep").alias("id")).distinct())
+    bagged = whole_bags(holding(docs, "id", wanted, "id").join(wanted, "id", "left_semi"), width)
+    more = cut(overlaps(split_sides(scratch, left).join(bagged, "rep"), least))
+    labels = components(scratch, edges.unionAll(more))
 
     classes = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("class_id"))
-    classes = classes.unionAll(labels.select(F.col("node").alias("id"), F.col("comp").alias("class_id"))).groupBy("id").agg(F.min("class_id").alias("class_id"))
-    out = docs.select("id").join(classes, "id", "left" if keep_all else "inner").withColumn("class_id", F.coalesce("class_id", "id"))
-    return out.select("id", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_first"))
+    return classes.unionAll(labels.select(F.col("node").alias("id"), F.col("comp").alias("class_id"))).groupBy("id").agg(F.min("class_id").alias("class_id"))

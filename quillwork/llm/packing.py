@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import bound_batches, chunks, fresh
+from .arrowtext import chunks, fresh
 
 SCHEMA = "block long, row int, n_tokens int, n_segments int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, doc_starts array<int>"
 
@@ -31,7 +31,6 @@ def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
 
 def token_ids(df: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and binary ids (little-endian unsigned 32-bit) of every whole text; a null text has no ids."""
-    bound_batches(df.sparkSession)
 
     def run(batches):
         own = tokenizer(path, pattern)
@@ -113,7 +112,8 @@ def pack(df: DataFrame, length: int = 2048, *, ids: str = "ids", doc_id: str = "
     """
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{ids}`").alias("ids")).where(F.octet_length("ids") > 0)
     hashed = fresh(source, "block")
-    dealt = source.withColumn(hashed, F.pmod(F.xxhash64("doc_id", "ids"), F.lit(blocks)))
+    # with the input's partition, which keeps repeated rows apart and is the same when a task runs again
+    dealt = source.withColumn(hashed, F.pmod(F.xxhash64("doc_id", "ids", F.spark_partition_id()), F.lit(blocks)))
     places = np.uint16 if length <= 1 << 16 else np.uint32
 
     def run(table: pa.Table) -> pa.Table:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .arrowtext import bound_batches, chunks
+from .arrowtext import chunks
 
 MEMORY = 400_000
 CONTRACTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -251,7 +251,6 @@ def prefix_counts(df: DataFrame, path: str, text: str = "text", *, ends: str = "
     A null text counts as empty: one end at 0, no tokens. Texts are taken whole and row by row; input columns
     named like an output are replaced.
     """
-    bound_batches(df.sparkSession)
     new = {ends.lower(), counts.lower()} | ({within.lower()} if budget is not None else set())
     kept = [c for c in df.columns if c == text or c.lower() not in new]
     source = df.select(*[F.col(f"`{c}`") for c in kept])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Grid, bound_batches, chunks, grid, mix
+from .arrowtext import Grid, chunks, grid, mix
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUED = (np.arange(256) & 0xC0) == 0x80
@@ -121,7 +121,6 @@ def quality(
     as one without words and fails. Rows are judged one by one: repeated rows get equal results, an empty table
     gives an empty one, and input columns named like an output are replaced.
     """
-    bound_batches(df.sparkSession)
     kept = [c for c in df.columns if c.lower() not in FIELDS or c == text]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"{c} long" for c in FIELDS)])

@@ -48,20 +48,22 @@ def matrix(blocks: list[int], shards: list[int], seed: int) -> list[list[int]]:
     return out
 
 
-def shard(df: DataFrame, n_shards: int, *, seed: int = 0, block_rows: int = 100_000, least_blocks: int = 256) -> DataFrame:
+def shard(df: DataFrame, n_shards: int, *, seed: int = 0, block_rows: int = 100_000, least_blocks: int = 256, most_blocks: int = 16_384) -> DataFrame:
     """``df`` with int column ``shard`` and long column ``slot``: a random place for every row.
 
     Shard sizes differ by one at most (law ``rows``); slots of a shard run from 0 without gaps. The result is a
     function of the rows and ``seed``. Rows equal in all columns share a block and are placed in any order among
     themselves. Nulls hash like any value; an empty table stays empty; columns named like an output are replaced.
 
-    The driver draws the matrix from one count per block, at least ``least_blocks`` and one for ``block_rows`` rows.
+    The driver draws the matrix from one count per block: one block for ``block_rows`` rows, ``least_blocks`` at least and
+    ``most_blocks`` at most, beyond which blocks grow (they are sorted with spilling). So matrix and broadcast have a
+    bound that the table's size does not move. A column of a map type cannot be hashed and raises Spark's error.
     """
     spark = df.sparkSession
     source = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
     block, first, piece, rank, begins, bases = (fresh(source, f"_{x}") for x in ("block", "first", "piece", "rank", "begins", "bases"))
     total = source.count()
-    n_blocks = max(least_blocks, -(-total // block_rows))
+    n_blocks = min(most_blocks, max(least_blocks, -(-total // block_rows)))
     columns = [F.col(f"`{c}`") for c in source.columns]
     hashed = source.withColumn(first, F.xxhash64(F.lit(seed), F.lit("deal"), *columns))
     hashed = hashed.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), F.col(first)), F.lit(n_blocks)).cast("int"))
@@ -70,7 +72,7 @@ def shard(df: DataFrame, n_shards: int, *, seed: int = 0, block_rows: int = 100_
     ends = [(b, np.cumsum(line).tolist()) for b, line in enumerate(counts)]
     plan = spark.createDataFrame(ends, f"`{block}` int, `{begins}` array<long>")
     ranked = hashed.withColumn(rank, F.row_number().over(Window.partitionBy(block).orderBy(first)) - 1)
-    # blocks x shards numbers: a stated bound
+    # most_blocks x shards numbers at most
     dealt = ranked.join(F.broadcast(plan), block).withColumn("shard", F.size(F.filter(F.col(begins), lambda end: end <= F.col(rank))).cast("int"))
 
     second = fresh(dealt, "_second")

@@ -1,24 +1,57 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Tables between the steps of an operator, in the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import fresh
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only where none is named, its warehouse."""
+    context = spark.sparkContext
+    return context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
 
-    The folder is that of ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one.
+
+class Scratch:
+    """Tables that cut the lineage of a job of many steps, so that a lost executor costs one step.
+
+    As a context it deletes at its end what it wrote, but for the tables that ``keep`` names: those that the result reads.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/quillwork-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(*self.paths.values())
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df``, written as Parquet and read again."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, a table of this scratch that now outlives it."""
+        self.paths.pop(id(df))
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later step reads."""
+        self._delete(*(self.paths.pop(id(t)) for t in tables))
+
+    def _delete(self, *paths: str) -> None:
+        for path in paths:
+            there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
 
 
 def split(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 23) -> tuple[DataFrame, DataFrame]:

@@ -4,9 +4,12 @@ Tokens are runs of five words. For each of a few hash functions, the Cartesian t
 gives compact windows (l, p, r): every stretch that starts in l..p and ends in p..r has its min-hash at p. Only
 windows of at least a passage's length are kept, about 2 n / length of them. Windows of equal min-hash meet their
 bucket's first document; documents whose windows meet the same first document for enough hash functions, over one
-stretch, are compared with it word for word, and what repeats there is marked. Windows that this leaves unmarked are
-compared with the other documents of their bucket in blocks, by the tokens around the min-hash; pairs that share
-enough of them are compared word for word as well. The first occurrence stays.
+stretch, are compared with it word for word, and what repeats there is marked. Windows with words that this leaves
+unmarked are compared with the others of their bucket by the tokens around the min-hash; pairs that share enough of
+them, an unmarked one among them, are compared word for word as well. A window all of whose tokens stand in one
+earlier document needs no comparison: that document is in the bucket. The first occurrence stays.
+
+Equal texts are one document from the start: every later one repeats the first as a whole.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import bound_batches, chunks, fresh, grid, mix, shingles
+from .arrowtext import chunks, fresh, grid, mix, shingles
+from .heads import against_heads, slices
 from .minhash import _blocks, _by_key, _sides
-from .storage import cut, holding, split
+from .storage import Scratch, holding, split
 
-#: Two of ten functions agree on runs that overlap by 0.8 with probability 0.999996.
-WIDTH, HASHES, AGREE, WORDS, SIMILARITY = 5, 10, 2, 50, 0.8
+#: Two of ten functions agree on runs that overlap by 0.8 with probability 0.999996; one of eight, with 0.999997.
+WIDTH, HASHES, AGREE, WORDS, SIMILARITY, AGAIN = 5, 10, 2, 50, 0.8, 8
+#: Members of a bucket that one task compares pair by pair.
+BLOCK = 2048
 SPAN = "struct<start:int,end:int,source:long>"
 #: Stands for a null id: the last of all.
 NULL_ID = (1 << 63) - 1
@@ -31,23 +37,48 @@ NULL_ID = (1 << 63) - 1
 def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """l, p and the end r + 1 of all windows of ``least`` tokens or more; ``first`` bounds the texts in ``values``.
 
-    The trees are taken down level by level, all texts at once: the least token of each stretch is its root and
-    splits it in two. The leftmost of equal tokens is the least.
+    Only the least tokens of stretches of ``least`` tokens have such windows, and the tokens that bound a window have one
+    themselves or end the text: so the trees are built over these few. They are taken down level by level, all texts
+    at once: the least token of each stretch is its root and splits it in two. The leftmost of equal tokens is the least.
     """
-    bits = np.uint64(max(1, int(len(values)).bit_length()))
-    keyed = np.append(values >> bits << bits | np.arange(len(values), dtype=np.uint64), ~np.uint64(0))
-    low, high = first[:-1], first[1:]
-    out = []
+    n = len(values)
+    if n < least:
+        return (np.zeros(0, np.int64),) * 3
+    bits = np.uint64(n.bit_length())
+    keyed = values >> bits << bits | np.arange(n, dtype=np.uint64)
+    rows = np.concatenate([keyed, np.full(-n % least, ~np.uint64(0))]).reshape(-1, least)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    least_of = np.minimum(behind[: n - least + 1], ahead[least - 1 : n])
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    least_of = least_of[text[: n - least + 1] == text[least - 1 :]]
+    chosen = np.zeros(n, bool)
+    chosen[(least_of & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
+    at = np.flatnonzero(chosen)
+    left, right = first[:-1][text[at]], first[1:][text[at]]
+    few, bounds = np.append(keyed[at], ~np.uint64(0)), np.searchsorted(at, first)
+    place = np.append(at, n)
+    low, high = bounds[:-1], bounds[1:]
     while True:
-        long = high - low >= least
-        low, high = low[long], high[long]
+        some = high > low
+        low, high = low[some], high[some]
         if not len(low):
             break
-        least_of = np.minimum.reduceat(keyed, np.stack([low, high], axis=1).ravel())[::2]
-        root = (least_of & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        out.append((low, root, high))
+        root = np.searchsorted(at, (np.minimum.reduceat(few, np.stack([low, high], axis=1).ravel())[::2] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
+        left[root] = np.where(low > bounds[text[at[root]]], place[low - 1] + 1, left[root])
+        right[root] = np.where(high < bounds[text[at[root]] + 1], place[high], right[root])
         low, high = np.stack([low, root + 1], axis=1).ravel(), np.stack([root, high], axis=1).ravel()
-    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+    return left, at, right
+
+
+def hashed(values: np.ndarray, fn: int) -> np.ndarray:
+    """The order of tokens that hash function ``fn`` takes: a multiplication by an odd number of its own."""
+    return values * (mix(np.array([fn + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))
+
+
+def keys_of(own: np.ndarray, fn: np.ndarray | int) -> np.ndarray:
+    """Bucket numbers of min-hashes."""
+    return mix(own + np.asarray(fn).astype(np.uint64)).view(np.int64)
 
 
 def windows(docs: DataFrame, width: int, hashes: int, tokens: int) -> DataFrame:
@@ -56,7 +87,6 @@ def windows(docs: DataFrame, width: int, hashes: int, tokens: int) -> DataFrame:
     ``window`` packs the start (28 bits), the length (28) and the hash function (7); ``key`` also tells functions apart;
     ``place`` is where the least token stands.
     """
-    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -67,12 +97,11 @@ def windows(docs: DataFrame, width: int, hashes: int, tokens: int) -> DataFrame:
                 doc = g.doc[at]
                 first = np.searchsorted(doc, np.arange(len(g) + 1))
                 for fn in range(hashes):
-                    salt = np.uint64((0x9E3779B97F4A7C15 * (fn + 1)) % (1 << 64))
-                    own = mix(values ^ salt)
+                    own = hashed(values, fn)
                     l, p, r = compact_windows(own, first, tokens)
                     d = doc[p]
                     window = (l - first[d]) << 35 | (r - l) << 7 | fn
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[start + d]), pa.array(mix(own[p] + salt).view(np.int64)), pa.array(window), pa.array((p - first[d]).astype(np.int32))], names=["id", "key", "window", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[start + d]), pa.array(keys_of(own[p], fn)), pa.array(window), pa.array((p - first[d]).astype(np.int32))], names=["id", "key", "window", "place"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, key long, window long, place int")
 
@@ -110,8 +139,9 @@ def agreeing(links: DataFrame, hashes: int, agree: int, tokens: int) -> DataFram
     return pairs.select("id", "head", "windows").mapInArrow(run, "id long, head long")
 
 
-def passages(own: np.ndarray, other: np.ndarray, width: int, words: int, least: float, gap: int) -> list[tuple[int, int]]:
-    """Word spans of ``own`` tokens that occur in ``other``, over gaps of up to ``gap`` tokens as long as ``least`` of the span occurs."""
+def passages(own: np.ndarray, other: np.ndarray, width: int, words: int, least: float, gap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Word spans of ``own`` tokens that occur in ``other``, over gaps of up to ``gap`` tokens as long as ``least`` of the span
+    occurs; and the runs of tokens without a gap among them that are as long as a passage."""
     found = np.concatenate([[False], np.isin(own, other), [False]])
     starts, ends = np.flatnonzero(found[1:] & ~found[:-1]), np.flatnonzero(found[:-1] & ~found[1:])
     out: list[list[int]] = []
@@ -120,75 +150,159 @@ def passages(own: np.ndarray, other: np.ndarray, width: int, words: int, least:
             out[-1][1:] = [e, out[-1][2] + e - s]
         else:
             out.append([s, e, e - s])
-    return [(s, e + width - 1) for s, e, _ in out if e - s + width - 1 >= words]
+    exact = [(s, e) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s + width - 1 >= words]
+    return [(s, e + width - 1) for s, e, _ in out if e - s + width - 1 >= words], exact
 
 
 def around(wanted: DataFrame, docs: DataFrame, width: int, reach: int) -> DataFrame:
-    """``wanted`` (id, key, fn, place, open) with the tokens at most ``reach`` from the place, 32 bits each.
+    """key, rep, open and bag of ``wanted`` (id, key, window, place, open, spans): the tokens of the window at most ``reach``
+    from the place. Of a number in ``bag``, 31 bits are the token and the last tells whether a word of it is unmarked.
 
     A document of several texts gives the windows of each.
     """
-    bound_batches(docs.sparkSession, 100)
-    listed = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "fn", "place", "open")).alias("windows"))
+    listed = wanted.groupBy("id").agg(F.first("spans").alias("spans"), F.collect_list(F.struct("key", "window", "place", "open")).alias("windows"))
     texts = holding(docs, "id", wanted.select("id"), "id").select("id", "text").join(listed, "id")
 
     def run(batches):
         for batch in batches:
             for start, stop in chunks(batch.column(1)):
-                g = grid(batch.column(1).slice(start, stop - start))
+                part = batch.slice(start, stop - start)
+                g = grid(part.column(1))
                 values, at = shingles(g.words(), g.doc, width)
                 first = np.searchsorted(g.doc[at], np.arange(len(g) + 1))
-                lists = batch.column(2).slice(start, stop - start)
+                unmarked = np.ones(len(values), bool)
+                for d, spans in enumerate(part.column(2).to_pylist()):
+                    for s in spans or ():
+                        unmarked[first[d] + s["start"] : max(first[d] + s["start"], min(first[d] + s["end"] - width + 1, first[d + 1]))] = False
+                lists = part.column(3)
                 flat = lists.flatten()
-                key, fn, place, open_ = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                key, window, place, open_ = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-                p = first[doc] + place
-                mine = p < first[doc + 1]
-                salt = (np.uint64(0x9E3779B97F4A7C15) * (fn + 1).astype(np.uint64))
-                own = mix(mix(values[np.where(mine, p, 0)] ^ salt) + salt) if len(values) else np.zeros(len(p), np.uint64)
-                kept = np.flatnonzero(mine & (own.view(np.int64) == key))
-                low, high = np.maximum(p[kept] - reach, first[doc[kept]]), np.minimum(p[kept] + reach + 1, first[doc[kept] + 1])
-                marks = (values >> np.uint64(32)).astype(np.uint32)
+                p, left = first[doc] + place, first[doc] + (window >> 35)
+                right = left + (window >> 7 & ((1 << 28) - 1))
+                mine = np.flatnonzero(right <= first[doc + 1])
+                own = np.zeros(len(p), np.int64)
+                for fn in np.unique(window & 127):
+                    k = mine[(window[mine] & 127) == fn]
+                    own[k] = keys_of(hashed(values[p[k]], int(fn)), int(fn))
+                kept = mine[own[mine] == key[mine]]
+                low, high = np.maximum(p[kept] - reach, left[kept]), np.minimum(p[kept] + reach + 1, right[kept])
+                marks = ((values >> np.uint64(33)).astype(np.uint32) << np.uint32(1)) | unmarked
                 held = [marks[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
-                ids = batch.column(0).slice(start, stop - start).take(pa.array(doc[kept]))
+                ids = part.column(0).take(pa.array(doc[kept]))
                 yield pa.RecordBatch.from_arrays([pa.array(key[kept]), ids, pa.array(open_[kept]), pa.array(held, pa.binary())], names=["key", "rep", "open", "bag"])
 
     return texts.mapInArrow(run, "key long, rep long, open boolean, bag binary")
 
 
-def meeting(rows: DataFrame, need: int, block: int = 256) -> DataFrame:
+def sharing(scratch: Scratch, rows: DataFrame, need: int) -> DataFrame:
+    """``rows`` (key, rep, open, bag) with the tokens left out that no other document of the bucket has, without those that
+    have too few left to meet another one. For buckets too large to be compared pair by pair at once: each window is
+    spread out into its tokens, so the work grows with the windows, and a line that all of a bucket share
+    brings nobody together. An open window may repeat a token; as often as one can be repeated (``most``) may a token of the others count."""
+    rows = scratch.cut(rows.withColumn("no", F.xxhash64("key", "rep", "bag")))
+
+    def tokens(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                bag = [np.frombuffer(x, np.uint32) for x in part.column(3).to_pylist()]
+                owner = np.repeat(np.arange(len(bag)), [len(x) for x in bag])
+                flat = np.concatenate(bag) if bag else np.zeros(0, np.uint32)
+                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(owner)) for k in range(3)] + [pa.array((flat >> 1).astype(np.int32)), pa.array(flat & 1 == 1)], names=["key", "rep", "no", "token", "fresh"])
+
+    spread = rows.select("key", "rep", "no", "bag").mapInArrow(tokens, "key long, rep long, no long, token int, fresh boolean")
+    common = scratch.cut(spread.groupBy("key", "token").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key", "token"))
+    left = spread.join(common, ["key", "token"]).groupBy("key", "rep", "no").agg(F.collect_list(F.col("token").cast("long") * 2 + F.col("fresh").cast("int")).alias("held"), F.max("fresh").alias("fresh"))
+    left = left.join(rows.select("key", "rep", "no", "open").distinct(), ["key", "rep", "no"]).withColumn("open", F.col("open") & F.col("fresh") & (F.size("held") >= need))
+    left = scratch.cut(left.withColumn("n", F.size(F.array_distinct("held"))))
+    most = scratch.cut(left.where("open").groupBy("key").agg(F.max(F.size("held") - F.col("n") + 1).alias("most")))
+    left = left.join(most, "key").where(F.col("open") | (F.col("n") * F.col("most") >= need))
+
+    def packed(batches):
+        for batch in batches:
+            held = [np.array(x, np.int64).astype(np.uint32).tobytes() for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(held, pa.binary())], names=["key", "rep", "open", "bag"])
+
+    return left.select("key", "rep", "open", "held").mapInArrow(packed, "key long, rep long, open boolean, bag binary")
+
+
+def meeting(rows: DataFrame, need: int, block: int = BLOCK, strip: int = 64) -> DataFrame:
     """Pairs (id, head) of documents in a bucket (key, rep, open, all, bag) where the earlier one, the head, has
-    ``need`` tokens of the other one, which is open.
+    ``need`` tokens of the other one, which is open, and an unmarked one among them.
 
     Of the documents that an open one meets in a block, so many are named that they hold together all tokens it shares
-    with any of them, so that a large group of copies gives one pair for each.
+    with any of them; documents of the same shared tokens are compared by the first of them. So a large group of
+    copies gives one pair for each.
     """
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         rep, open_ = table["rep"].to_numpy(), table["open"].to_numpy(zero_copy_only=False)
         left, right, apart = _sides(table)
         bag = [np.frombuffer(x, np.uint32) for x in table["bag"].to_pylist()]
-        words, word, times = np.unique(np.concatenate(bag), return_inverse=True, return_counts=True)
-        column = np.cumsum(times > 1) - 1
-        common = times[word] > 1
-        member, n = np.repeat(np.arange(len(bag)), [len(x) for x in bag])[common], column[-1] + 1
-        often = np.bincount(member * n + column[word[common]], minlength=len(bag) * n).reshape(len(bag), n).astype(np.float32)
-        held = (often > 0).astype(np.float32)
+        owner = np.repeat(np.arange(len(bag)), [len(x) for x in bag])
+        flat = np.concatenate(bag)
+        token, fresh_ = flat >> 1, flat & 1 == 1
+        # tokens of one document alone bring nobody together
+        _, word = np.unique(token, return_inverse=True)
+        lowest, highest = np.full(word.max() + 1, NULL_ID), np.zeros(word.max() + 1, np.int64) - NULL_ID
+        np.minimum.at(lowest, word, rep[owner])
+        np.maximum.at(highest, word, rep[owner])
+        common = (lowest < highest)[word]
+        many = np.bincount(owner[common], minlength=len(bag))
+        seeking = open_ & (many >= need) & (np.bincount(owner[common & fresh_], minlength=len(bag)) > 0)
+        different = np.bincount(np.unique(owner[common] * len(lowest) + word[common]) // len(lowest), minlength=len(bag))
+        # an open window may repeat a token, as often as its tokens are more than different ones
+        enough = seeking | (different * ((many - different)[seeking].max(initial=0) + 1) >= need)
         out: set[tuple[int, int]] = set()
-        for own, others in [(left, right), (right, left)][: 1 + apart]:
-            own = own[open_[own]]
-            enough = (often[own] @ held[others].T >= need) & (rep[others][None, :] < rep[own][:, None])
-            for r in np.flatnonzero(enough.any(axis=1)):
-                met = others[enough[r]]
-                met = met[np.argsort(rep[met], kind="stable")]
-                todo = held[own[r]].copy()
-                while True:
-                    gain = held[met] @ todo
-                    best = int(gain.argmax())
-                    if not gain[best]:
-                        break
-                    out.add((int(rep[own[r]]), int(rep[met[best]])))
-                    todo[held[met[best]] > 0] = 0
+        if seeking.any():
+            use = common & enough[owner]
+            cuts = np.searchsorted(owner[use], np.arange(len(bag) + 1))
+            word, fresh_ = word[use], fresh_[use]
+            same: dict[bytes, int] = {}
+            alone = np.zeros(len(bag), bool)
+            for k in np.argsort(rep, kind="stable"):
+                if enough[k]:
+                    first = same.setdefault(word[cuts[k] : cuts[k + 1]].tobytes(), k)
+                    alone[k] = first == k
+                    if first != k and seeking[k] and rep[first] != rep[k]:
+                        out.add((int(rep[k]), int(rep[first])))
+            for own, others in [(left, right), (right, left)][: 1 + apart]:
+                own, others = own[alone[own] & seeking[own]], others[alone[others]]
+                if not len(others):
+                    continue
+                theirs = np.concatenate([word[cuts[k] : cuts[k + 1]] for k in others])
+                whose = np.repeat(np.arange(len(others)), [cuts[k + 1] - cuts[k] for k in others])
+                for at in range(0, len(own), strip):
+                    some = own[at : at + strip]
+                    words = np.unique(np.concatenate([word[cuts[k] : cuts[k + 1]] for k in some]))
+                    place = np.minimum(np.searchsorted(words, theirs), len(words) - 1)
+                    hit = words[place] == theirs
+                    n = np.bincount(whose[hit], minlength=len(others))
+                    met = np.flatnonzero(n > 0)
+                    if not len(met):
+                        continue
+                    row = np.full(len(others), -1)
+                    row[met] = np.arange(len(met))
+                    held = np.zeros((len(met), len(words)), np.float32)
+                    held[row[whose[hit]], place[hit]] = 1
+                    often, news = (np.zeros((len(some), len(words)), np.float32) for _ in range(2))
+                    for r, k in enumerate(some):
+                        c = np.searchsorted(words, word[cuts[k] : cuts[k + 1]])
+                        np.add.at(often[r], c, 1)
+                        news[r, c[fresh_[cuts[k] : cuts[k + 1]]]] = 1
+                    fits = (often @ held.T >= need) & (news @ held.T > 0) & (rep[others[met]][None, :] < rep[some][:, None])
+                    for r in np.flatnonzero(fits.any(axis=1)):
+                        which = np.flatnonzero(fits[r])
+                        which = which[np.argsort(rep[others[met[which]]], kind="stable")]
+                        todo = (often[r] > 0).astype(np.float32)
+                        while True:
+                            gain = held[which] @ todo
+                            best = int(gain.argmax())
+                            if not gain[best]:
+                                break
+                            out.add((int(rep[some[r]]), int(rep[others[met[which[best]]]])))
+                            todo[held[which[best]] > 0] = 0
         return pa.RecordBatch.from_arrays([pa.array([x[z] for x in out], pa.int64()) for z in (0, 1)], names=["id", "head"])
 
     return _blocks(rows, ["rep", "open", "bag"], block).mapInArrow(lambda batches: _by_key(batches, compare), "id long, head long").distinct()
@@ -216,99 +330,118 @@ def repeated_passages(
     agree: int = AGREE,
     least: float = SIMILARITY,
     gap: int = 10,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """row and ``spans`` of the documents that repeat passages of an earlier one.
+    """id, row and ``spans`` of the documents that repeat passages of an earlier one.
 
     ``row`` is ``xxhash64(doc_id, text)``. Spans run from word ``start`` to before word ``end`` and name the lowest
     ``source`` document they were matched with; documents go by id, nulls last. A passage has at least ``words``
     words, and ``least`` of its runs of ``width`` words occur in the source. Rows of one id are one document, so they
     do not repeat each other; null and short texts have no passages; an empty table gives no rows.
     """
-    tokens = words - width + 1
     id_ = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID))
     docs = df.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), id_.alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    with Scratch(df.sparkSession) as scratch:
+        cut = scratch.cut
+        same = docs.select("row", "id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+        firsts = cut(same.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("h", "g", "first"))
+        copies = cut(same.join(firsts, ["h", "g"]).where("id <> first").select("row", "id", "first").distinct())
+        may, others = split(docs, "id", copies, "id")
+        single = may.join(copies, ["row", "id"], "left_anti").select(*docs.columns).unionAll(others)
+        n = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+        whole = may.join(copies, ["row", "id"]).select("id", "row", F.array(F.struct(F.lit(0).alias("start"), n.alias("end"), F.col("first").alias("source"))).cast(f"array<{SPAN}>").alias("spans"))
+        whole = cut(whole.where(F.col("spans")[0]["end"] >= words))
+        found = _found(scratch, single, words, width, hashes, agree, least, gap, block)
+        return scratch.keep(cut(found.unionAll(whole).groupBy("id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans")).select("id", "row", _merged(F.col("spans")).alias("spans"))))
+
+
+def _found(scratch: Scratch, docs: DataFrame, words: int, width: int, hashes: int, agree: int, least: float, gap: int, block: int) -> DataFrame:
+    """id, row and spans of passages in ``docs`` (row, id, text), all of them different texts."""
+    tokens, cut = words - width + 1, scratch.cut
     cuts = windows(docs, width, hashes, tokens)
     heads = cut(cuts.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head"))
-    links = cut(cuts.join(heads, "key").where("id <> head").select("id", "head", "key", "window", "place"))
-    pairs = cut(agreeing(links, hashes, agree, tokens))
-    first = cut(verify(pairs, docs, width, words, least, gap))
-
-    rest = cut(unsettled(links, first, docs, width, tokens))
-    counts = rest.groupBy("key").agg(F.count("*").alias("all"))
-    near = around(rest, docs, width, tokens + gap).join(counts, "key")
-    more = cut(meeting(near, int(least * tokens)).join(pairs, ["id", "head"], "left_anti"))
-    found = first.unionAll(verify(more, docs, width, words, least, gap))
-    return found.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans")).select("row", _merged(F.col("spans")).alias("spans"))
-
-
-def unsettled(links: DataFrame, found: DataFrame, docs: DataFrame, width: int, tokens: int) -> DataFrame:
-    """id, key, fn, place and ``open`` of the windows in ``links`` (id, key, window, place) whose buckets have an open one
-    after another document's.
-
-    A window is open unless every word of the stretches of ``tokens`` tokens around its place is in the spans of
-    ``found``. Spans of an id with different texts settle nothing.
+    shared = cut(cuts.join(heads, "key"))
+    scratch.drop(heads)
+    pairs = cut(agreeing(shared.where("id <> head"), hashes, agree, tokens))
+
+    def compare(own, other):
+        spans, exact = passages(own[0], other[0], width, words, least, gap)
+        runs = lambda found: [{"start": s, "end": e} for s, e in found]
+        return {"spans": runs(spans), "exact": runs(exact)} if spans else None
+
+    def prepare(texts):
+        g = grid(texts)
+        values, at = shingles(g.words(), g.doc, width)
+        return slices(g.doc[at], len(texts), values)
+
+    def verify(some):
+        return against_heads(scratch, some, docs, prepare, compare, ["spans", "exact"])
+
+    first = cut(verify(pairs))
+    ids = docs.groupBy("id").agg(F.min("row").alias("row"), F.max("row").alias("other"))
+    rest = cut(unsettled(scratch, shared.where((F.col("window").bitwiseAND(127) < AGAIN)), first, ids, pairs, width, tokens))
+    scratch.drop(shared)
+    near = cut(around(rest, docs, width, tokens - 1))
+    scratch.drop(rest)
+    need, counts = int(least * tokens), lambda rows: rows.join(cut(rows.groupBy("key").agg(F.count("*").alias("all"))), "key")
+    near = counts(near)
+    hot = sharing(scratch, near.where(F.col("all") > block).drop("all"), need)
+    more = meeting(near.where(F.col("all") <= block), need, block).unionAll(meeting(counts(cut(hot)), need, block)).distinct()
+    second = cut(verify(cut(more.join(pairs, ["id", "head"], "left_anti"))))
+    return first.unionAll(second).select("id", "row", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("head").alias("source"))).alias("spans"))
+
+
+def unsettled(scratch: Scratch, shared: DataFrame, found: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, tokens: int) -> DataFrame:
+    """id, key, window, place, ``open`` and spans of the windows in ``shared`` (id, key, window, place) that are still to be
+    compared: those of buckets that have an open one after another document's.
+
+    A window is settled if all its tokens at most ``tokens`` - 1 from its place are in one run of ``found``, so in one earlier
+    document; else it is open if one of these tokens has an unmarked word. Spans of an id with different texts settle
+    nothing. Buckets of two documents that were compared are left out.
     """
-    single = docs.groupBy("id").agg(F.min("row").alias("row"), F.max("row").alias("other")).where("row = other").select("id", "row")
-    spans = found.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans")).join(single, "row").select("id", _merged(F.col("spans")).alias("spans"))
+    single = ids.where("row = other").select("id", "row")
+    known = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("exact"))).alias("exact"))
+    known = scratch.cut(known.join(single, "row").select("id", "exact", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).cast("long").alias("source"))).alias("spans")).select("id", "exact", _merged(F.col("spans")).alias("spans")))
     start, length = F.shiftright("window", 35), F.shiftright("window", 7).bitwiseAND((1 << 28) - 1)
-    low, high = F.greatest(start, F.col("place") - tokens + 1), F.least(start + length, F.col("place") + tokens) + width - 1
-    settled = F.coalesce(F.exists("spans", lambda s: (s["start"] <= low) & (s["end"] >= high)), F.lit(False))
-    state = cut(links.join(spans, "id", "left").select("id", "key", F.col("window").bitwiseAND(127).cast("int").alias("fn"), "place", (~settled).alias("open")))
-    held = cut(state.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last")).where("last > least").select("key", "last"))
+    low, high = F.greatest(start, F.col("place") - tokens + 1), F.least(start + length, F.col("place") + tokens)
+    within = lambda spans, end: F.coalesce(F.exists(spans, lambda s: (s["start"] <= low) & (s["end"] >= end)), F.lit(False))
+    state = shared.join(known, "id", "left").where(~within("exact", high)).select("id", "key", "window", "place", "spans", (~within("spans", high + width - 1)).alias("open"))
+    state = scratch.cut(state)
+    buckets = state.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"), F.max("id").alias("most"), F.count("*").alias("all")).where("last > least")
+    done = pairs.select(F.col("id").alias("last"), F.col("head").alias("least"), F.lit(True).alias("done"))
+    held = scratch.cut(buckets.join(done, ["last", "least"], "left").where("not (all = 2 and done is not null)").select("key", "last"))
     return state.join(held, "key").where("id <= last").drop("last")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, words: int, least: float, gap: int) -> DataFrame:
-    """row and spans of what documents of ``pairs`` (id, head) have in common with their heads, by the texts in ``docs`` (row, id, text)."""
-    bound_batches(docs.sparkSession, 100)
-    texts = holding(docs, "id", pairs.select(F.explode(F.array("id", "head")).alias("id")), "id")
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("head"), F.col("text").alias("source")), "head").select("row", "head", "text", "source")
-
-    def run(batches):
-        for batch in batches:
-            sides = []
-            for k in (2, 3):
-                column, out = batch.column(k), []
-                for start, stop in chunks(column):
-                    g = grid(column.slice(start, stop - start))
-                    values, at = shingles(g.words(), g.doc, width)
-                    cuts = np.searchsorted(g.doc[at], np.arange(len(g) + 1))
-                    out += [values[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                sides.append(out)
-            ids = batch.column(1).to_pylist()
-            spans = [[{"start": s, "end": e, "source": i} for s, e in passages(a, b, width, words, least, gap)] for a, b, i in zip(*sides, ids, strict=True)]
-            made = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["row", "spans"]).filter(pc.greater(pc.list_value_length(made), 0))
-
-    return both.mapInArrow(run, f"row long, spans array<{SPAN}>")
-
-
 def mark(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``df`` with ``spans`` (an empty array where nothing repeats); a column of that name is replaced."""
-    row = fresh(df, "_row")
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "spans"]).withColumn(row, F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    found = cut(repeated_passages(df, doc_id, text, **options)).withColumnRenamed("row", row)
+    row, id_ = fresh(df, "_row"), fresh(df, "_id")
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "spans"])
+    kept = kept.withColumn(row, F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))).withColumn(id_, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)))
+    found = repeated_passages(df, doc_id, text, **options).withColumnsRenamed({"row": row, "id": id_})
     none = F.array().cast(f"array<{SPAN}>")
     may, cannot = split(kept, row, found, row)
-    return may.join(found, row, "left").withColumn("spans", F.coalesce("spans", none)).drop(row).unionByName(cannot.withColumn("spans", none).drop(row))
+    # by id and hash, so that texts whose hashes collide do not share spans
+    return may.join(found, [row, id_], "left").withColumn("spans", F.coalesce("spans", none)).drop(row, id_).unionByName(cannot.withColumn("spans", none).drop(row, id_))
 
 
 def remove(marked: DataFrame, text: str = "text") -> DataFrame:
     """``marked`` with the words of ``spans`` cut out of the text, each with the white space up to the next word."""
-    bound_batches(marked.sparkSession, 100)
     names = marked.columns
 
     def run(batches):
         for batch in batches:
-            column, spans = batch.column(names.index(text)), batch.column(names.index("spans")).to_pylist()
-            out = column.to_pylist()
-            for d in [d for d, s in enumerate(spans) if s]:
-                g = grid(column.slice(d, 1))
-                raw, left, at = g.data.tobytes(), [], 0
-                for s in spans[d]:
-                    left.append(raw[at : g.starts[s["start"]]])
-                    at = g.starts[s["end"]] if s["end"] < len(g.starts) else len(raw)
-                out[d] = b"".join([*left, raw[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else batch.column(k) for k, c in enumerate(names)], names=names)
+            for start, stop in chunks(batch.column(names.index(text))):
+                part = batch.slice(start, stop - start)
+                column, spans = part.column(names.index(text)), part.column(names.index("spans")).to_pylist()
+                out = column.to_pylist()
+                for d in [d for d, s in enumerate(spans) if s]:
+                    g = grid(column.slice(d, 1))
+                    raw, left, at = g.data.tobytes(), [], 0
+                    for s in spans[d]:
+                        left.append(raw[at : g.starts[s["start"]]])
+                        at = g.starts[s["end"]] if s["end"] < len(g.starts) else len(raw)
+                    out[d] = b"".join([*left, raw[at:]]).decode()
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else part.column(k) for k, c in enumerate(names)], names=names)
 
     return marked.mapInArrow(run, marked.schema)

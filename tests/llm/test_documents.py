@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from quillwork.llm import decontaminate, minhash, quality, substrings
 from quillwork.llm.arrowtext import grid
+from quillwork.llm.storage import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -123,7 +124,7 @@ def test_blocks_find_all_links(spark):
     rng = random.Random(4)
     bags = {k: set(rng.sample(range(200), 60)) | set(range(1000, 1100 - k % 30)) for k in range(40)}
     rows = [(1, k, len(b), k, 40, np.array(sorted(b), np.uint32).tobytes()) for k, b in bags.items()]
-    df = spark.createDataFrame(rows, "key long, rep long, n long, comp long, all long, bag binary")
+    df = spark.createDataFrame([(*r[:4], 0, 1, 39, r[5]) for r in rows], "key long, rep long, n long, comp long, major long, many long, few long, bag binary")
     want = {(a, b) for a in bags for b in bags if a < b and len(bags[a] & bags[b]) / len(bags[a] | bags[b]) >= 0.45}
 
     def classes(edges):
@@ -200,14 +201,32 @@ def test_edited_passages(spark):
 
 
 def test_blocks_name_enough_sources(spark):
-    bag = lambda *x: np.array(x, np.uint32).tobytes()
+    bag = lambda *x, fresh=1: np.array([2 * v + fresh for v in x], np.uint32).tobytes()
     base = range(100, 140)
     rows = [(1, k, k >= 5, bag(*base)) for k in range(600)] + [(1, 700, True, bag(*base, *range(40))), (1, 600, False, bag(*range(40))), (1, 701, True, bag(*range(36), *range(900, 980))), (2, 3, True, bag(*[7] * 40)), (2, 1, False, bag(7, 8)), (2, 2, False, bag(*range(50, 90)))]
-    made = spark.createDataFrame([(k, r, o, 606 if k == 1 else 3, b) for k, r, o, b in rows], "key long, rep long, open boolean, all long, bag binary")
-    found = [tuple(r) for r in substrings.meeting(made, 36).collect()]
-    assert {a for a, _ in found} == {*range(5, 600), 700, 701, 3} and all(b < a for a, b in found)
-    assert (700, 600) in found and (701, 600) in found and (3, 1) in found
-    assert len(found) < 600 * 4 + 10
+    rows += [(3, 1, False, bag(*base)), (3, 2, True, bag(*base, fresh=0)), (3, 4, False, bag(*base))]  # nothing unmarked to find
+    all_ = {1: 606, 2: 3, 3: 3}
+    made = spark.createDataFrame([(k, r, o, all_[k], b) for k, r, o, b in rows], "key long, rep long, open boolean, all long, bag binary")
+    for block in (2048, 200):
+        found = [tuple(r) for r in substrings.meeting(made, 36, block).collect()]
+        assert {a for a, _ in found} == {*range(5, 600), 700, 701, 3} and all(b < a for a, b in found) and (3, 1) in found
+        assert (700, 600) in found and (701, 600) in found
+        assert len(found) < 600 * 10 + 10
+    with Scratch(spark) as scratch:
+        left = {(r.key, r.rep): (r.open, len(r.bag) // 4) for r in substrings.sharing(scratch, made.drop("all"), 36).collect()}
+    assert left[1, 701] == (True, 36) and left[1, 5] == (True, 40) and left[2, 3] == (True, 40) and left[2, 1] == (False, 1) and (2, 2) not in left and not any(k == 3 and o for (k, _), (o, _) in left.items())
+
+
+def test_buckets_of_hot_lines_in_blocks(spark):
+    """With buckets larger than a block the same words are marked."""
+    line, shared = words(20, 1), words(60, 2)
+    rows = [(k, " ".join([*words(60 + k % 7, 100 + k), *line, *words(60, 300 + k)])) for k in range(80)]
+    rows += [(500 + k, " ".join([*words(30, 600 + k), *shared[:30], *line, *shared[30:], *words(30, 700 + k)])) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.spans for r in substrings.mark(df).collect()}
+    split = {r.doc_id: r.spans for r in substrings.mark(df, block=8).collect()}
+    assert whole == split
+    assert all(whole[k] == [] for k in (*range(80), 500)) and all([(s.start, s.end) for s in whole[500 + k]] == [(30, 110)] for k in range(1, 6))
 
 
 def test_compact_windows_cover_every_stretch_once():
@@ -248,6 +267,20 @@ def test_tiling_is_greedy():
         assert (got[0][1] * len(b) if got else 0) == pytest.approx(plain_tiles(a, b, 3))
 
 
+def test_strips_give_the_same_runs():
+    rng = random.Random(6)
+    texts = pa.array([" ".join(rng.choice("ab") for _ in range(n)) for n in (90, 0, 40)])
+    index = decontaminate.Index([0, 1], pa.array(["a b " * 12, "a " * 9]), 3)
+    whole = decontaminate.diagonals(grid(texts), index)
+    for limit in (1, 7, 100):
+        assert all((x == y).all() for x, y in zip(whole, decontaminate.diagonals(grid(texts), index, limit), strict=True))
+
+
+def test_one_word_repeated_in_text_and_item():
+    index = decontaminate.Index([0], pa.array(["w " * 300]), 5)
+    assert decontaminate.scan(pa.array(["w " * 60_000]), index, 0.5) == [[(0, 1.0)]]
+
+
 def test_decontamination(spark, documents):
     item = words(60, 50)
     moved = item[40:] + item[20:40] + item[:20]
