@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import bpe, decontaminate, minhash, quality, substrings
-from quillwork.llm.storage import cut, split
+from quillwork.llm.storage import Scratch, split
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the least id."""
-    later = cut(minhash.near_duplicates(docs, keep_all=False).where("not is_first").select(F.col("id").alias("doc_id")))
+    later = Scratch(spark).cut(minhash.near_duplicates(docs, keep_all=False).where("not is_first").select(F.col("id").alias("doc_id")))
     may, cannot = split(docs.select(*DOCUMENT), "doc_id", later, "doc_id")
     return may.join(later, "doc_id", "left_anti").select(*DOCUMENT).unionByName(cannot)
 
