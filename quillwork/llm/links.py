@@ -1,17 +1,19 @@
 """URL filter by rules and by trust that spreads over links between hosts (operator 8).
 
-Two personalised PageRanks run over host edges: trust from hosts whose pages the rules allow, along the links,
-and distrust from hosts whose pages the rules block, against them. Verdicts take distrust by the share of a host's
-own links that lead to distrusted hosts, which the number of other linkers does not thin out. Scores are long integers in units of
-1/UNIT, rounded down edge by edge, so that the order of summing has no effect.
+Two scores run over host edges. Trust is a personalised PageRank from hosts whose pages the rules allow, along the
+links. Distrust is the reversed one, from hosts whose pages the rules block: the share of a host's own links that
+lead to distrusted hosts, damped at each step, which the number of other linkers does not thin out. Scores are
+long integers in units of 1/UNIT, rounded down edge by edge, so that the order of summing has no effect.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import Scratch
 
 UNIT = 10**12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,64 +39,56 @@ def fitting_rule(rules: dict[str, str], host: str = "host", path: str = "path")
 
 
 def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """src, dst and the number of links between different hosts; links without a host stay on their own."""
-    found = pages.select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), 1)).alias("dst"))
+    """src, dst and the number of links between different hosts. Links without a host stay on their own; pages without one
+    have no links."""
+    found = pages.where(F.col(host) != "").select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), 1)).alias("dst"))
     return found.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(hosts: DataFrame, edges: DataFrame, *, keep: float = 0.85, iterations: int = 10) -> DataFrame:
-    """``hosts`` (host, trust, distrust: seeds in units) with what reaches each host after the iterations.
+def rounds(keep: float, tolerance: float) -> int:
+    """After so many rounds no score is further than ``tolerance`` from its limit."""
+    return math.ceil(math.log(tolerance) / math.log(keep))
+
+
+def spread(scratch: Scratch, hosts: DataFrame, edges: DataFrame, *, keep: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
+    """host, trust ``t`` and distrust ``d`` from ``hosts`` (host, trust, distrust: seeds in units), at most ``tolerance`` off.
 
-    A host without a link onwards keeps what would have left it. Ends early once nothing changes.
+    A host without a link onwards keeps the trust that would have left it; a host's distrust is its own at least.
+    A round shrinks what is missing by ``keep``; rounds end when the last change shows that little enough is missing.
     """
     out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("links").alias("out"))
-    into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("links").alias("in"))
-    seeds = cut(hosts.join(out, "host", "full").join(into, "host", "full").select("host", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("trust", "distrust", "out", "in"))))
-    state = seeds.select("host", "trust", "distrust", "out", "in", F.col("trust").alias("t"), F.col("distrust").alias("d"))
-    for _ in range(iterations):
-        trust = edges.join(state.select(F.col("host").alias("src"), "t", "out"), "src").where("t > 0").select(F.col("dst").alias("host"), F.floor(F.col("t") * (F.col("links") / F.col("out"))).alias("to"), F.lit(0).cast("long").alias("do"))
-        distrust = edges.join(state.select(F.col("host").alias("dst"), "d", "in"), "dst").where("d > 0").select(F.col("src").alias("host"), F.lit(0).cast("long").alias("to"), F.floor(F.col("d") * (F.col("links") / F.col("in"))).alias("do"))
-        got = trust.unionAll(distrust).groupBy("host").agg(F.sum("to").alias("to"), F.sum("do").alias("do"))
+    into = edges.select(F.col("dst").alias("host")).distinct()
+    nodes = hosts.join(out, "host", "full").join(into, "host", "full").select("host", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("trust", "distrust", "out")))
+    state = scratch.cut(nodes.withColumn("t", F.col("trust")).withColumn("d", F.col("distrust")))
+    shares = scratch.cut(edges.join(out.withColumnRenamed("host", "src"), "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")))
+    little = tolerance * (1 - keep) / keep * UNIT
+    for _ in range(rounds(keep, tolerance)):
+        scored = state.where("t > 0 or d > 0").select("host", "t", "d")
+        trust = shares.join(scored.where("t > 0").withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), F.floor(F.col("t") * F.col("share")).alias("a"), F.lit(0).cast("long").alias("b"))
+        distrust = shares.join(scored.where("d > 0").withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), F.lit(0).cast("long").alias("a"), F.floor(F.col("d") * F.col("share")).alias("b"))
+        got = trust.unionAll(distrust).groupBy("host").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        a, b = (F.coalesce(c, F.lit(0)) for c in ("a", "b"))
         moved = state.join(got, "host", "left").select(
-            "host", "trust", "distrust", "out", "in", F.col("t").alias("t0"), F.col("d").alias("d0"),
-            F.round((1 - keep) * F.col("trust") + keep * F.when(F.col("out") > 0, F.coalesce("to", F.lit(0))).otherwise(F.coalesce("to", F.lit(0)) + F.col("t"))).cast("long").alias("t"),
-            F.round((1 - keep) * F.col("distrust") + keep * F.when(F.col("in") > 0, F.coalesce("do", F.lit(0))).otherwise(F.coalesce("do", F.lit(0)) + F.col("d"))).cast("long").alias("d"),
+            "host", "trust", "distrust", "out", F.col("t").alias("t0"), F.col("d").alias("d0"),
+            F.round((1 - keep) * F.col("trust") + keep * F.when(F.col("out") > 0, a).otherwise(a + F.col("t"))).cast("long").alias("t"),
+            F.greatest("distrust", F.round(keep * b).cast("long")).alias("d"),
         )
-        state = cut(moved)
-        if not state.where("t <> t0 or d <> d0").limit(1).count():
+        last, state = state, scratch.cut(moved)
+        scratch.drop(last)
+        change = state.agg(F.sum(F.abs(F.col("t") - F.col("t0"))).alias("t"), F.max(F.abs(F.col("d") - F.col("d0"))).alias("d")).first()
+        if (change.t or 0) <= little and (change.d or 0) <= little:
             break
     return state.select("host", "t", "d")
 
 
-def leading(hosts: DataFrame, edges: DataFrame, *, keep: float = 0.85, iterations: int = 10) -> DataFrame:
-    """host and ``d``: the share, in units, of a host's own links that lead to distrusted hosts, times ``keep`` for each
-    step, or the host's own ``distrust`` (hosts: host, distrust) if that is more.
-
-    What a host gets does not depend on how many others link to the same place.
-    """
-    out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("links").alias("out"))
-    shares = cut(edges.join(out.withColumnRenamed("host", "src"), "src").select("src", F.col("dst").alias("host"), (F.col("links") / F.col("out")).alias("share")))
-    nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
-    state = cut(hosts.select("host", "distrust").join(nodes, "host", "full").select("host", F.coalesce("distrust", F.lit(0)).cast("long").alias("distrust")).withColumn("d", F.col("distrust")))
-    for _ in range(iterations):
-        got = shares.join(state.where("d > 0").select("host", "d"), "host").groupBy(F.col("src").alias("host")).agg(F.sum(F.floor(F.col("d") * F.col("share"))).alias("do"))
-        moved = state.withColumnRenamed("d", "d0").join(got, "host", "left")
-        state = cut(moved.select("host", "distrust", "d0", F.greatest("distrust", F.round(keep * F.coalesce("do", F.lit(0))).cast("long")).alias("d")))
-        same = not state.where("d <> d0").limit(1).count()
-        state = state.drop("d0")
-        if same:
-            break
-    return state.select("host", "d")
-
-
-def judge(pages: DataFrame, rules: dict[str, str], *, url: str = "url", html: str = "html", threshold: float = 0.5, keep: float = 0.85, iterations: int = 10) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], *, url: str = "url", html: str = "html", threshold: float = 0.5, keep: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the longest fitting one, or null) and ``verdict``.
 
-    A rule decides where one fits. Elsewhere a page is blocked if its host's distrust, by the share of its own links
-    that lead to distrusted hosts, is at least ``threshold`` and more than its trust; a host starts with the share of
-    its pages that rules allow, or block. A null url,
-    or one without "://", has an empty host and path. Repeated pages count as often as they come; an empty
-    table gives an empty one; input columns named like an output are replaced.
+    A rule decides where one fits. Elsewhere a page is blocked if its host's distrust is at least ``threshold`` and more
+    than its trust; a host starts with the share of its pages that rules allow, or block. A null url, or one without
+    "://", has an empty host and path; such pages have nothing in common, so they seed and link nothing and are
+    allowed. Repeated pages count as often as they come; an empty table gives an empty one; input columns named like
+    an output are replaced.
     """
     new = {"host", "path", "rule", "verdict"}
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in new]
@@ -102,8 +96,9 @@ def judge(pages: DataFrame, rules: dict[str, str], *, url: str = "url", html: st
     ruled = parsed.withColumn("rule", fitting_rule(rules))
     by_rule = F.coalesce(*(F.when(F.col("rule") == r, v) for r, v in rules.items())) if rules else F.lit(None).cast("string")
     share = lambda v: F.floor(F.lit(UNIT) * (F.count_if(by_rule == v) / F.count("*")))
-    hosts = ruled.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    edges = cut(host_edges(parsed, "host", html))
-    trust = spread(hosts, edges, keep=keep, iterations=iterations).select("host", "t")
-    bad = leading(hosts, edges, keep=keep, iterations=iterations).join(trust, "host").where((F.col("d") >= int(threshold * UNIT)) & (F.col("d") > F.col("t"))).select("host", F.lit("block").alias("verdict"))
+    hosts = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
+    with Scratch(pages.sparkSession) as scratch:
+        edges = scratch.cut(host_edges(parsed, "host", html))
+        scores = spread(scratch, hosts, edges, keep=keep, tolerance=tolerance)
+        bad = scratch.keep(scratch.cut(scores.where((F.col("d") >= int(threshold * UNIT)) & (F.col("d") > F.col("t"))).select("host", F.lit("block").alias("verdict"))))
     return ruled.join(bad, "host", "left").select(*kept, "host", "path", "rule", F.coalesce(by_rule, F.col("verdict"), F.lit("allow")).alias("verdict"))

@@ -30,22 +30,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
 NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND covered_words <= 0.2::DOUBLE * n_words AND NOT long AS kept FROM joined"""
 
 
-def url_filter(rules: dict[str, str], threshold: float = 0.5, keep: float = 0.85, iterations: int = 10) -> str:
-    """The same fixed-point iterations, one common table expression each."""
+def url_filter(rules: dict[str, str], threshold: float = 0.5, keep: float = 0.85, tolerance: float = 1e-3) -> str:
+    """The same fixed-point rounds, one common table expression each, as many as the tolerance may need."""
+    iterations = links.rounds(keep, tolerance)
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     fits = lambda r: f"(host = {quote(r.partition('/')[0])} OR ends_with(host, {quote('.' + r.partition('/')[0])})) AND starts_with(path, {quote('/' + r.partition('/')[2])})"
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN {quote(r)}" for r in sorted(rules, key=lambda r: (-len(r), r))) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN {quote(r)} THEN {quote(v)}" for r, v in rules.items()) + " END"
     out = f"""WITH parsed AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), {quote(links.URL)}, 1), '{links.UPPER}', '{links.LOWER}') AS host, regexp_extract(coalesce(url, ''), {quote(links.URL)}, 2) AS path FROM pages),
 ruled AS (SELECT page_id, host, path, {rule} AS rule FROM parsed), judged AS (SELECT *, {verdict} AS by_rule FROM ruled),
-edges AS MATERIALIZED (SELECT src, dst, count(*) AS links FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, {quote(links.LINK)}, 1)), '{links.UPPER}', '{links.LOWER}') AS dst FROM parsed) WHERE src <> dst GROUP BY 1, 2),
-hosts AS (SELECT host, floor({links.UNIT} * (count_if(by_rule = 'allow') / count(*)::DOUBLE))::BIGINT AS trust, floor({links.UNIT} * (count_if(by_rule = 'block') / count(*)::DOUBLE))::BIGINT AS distrust FROM judged GROUP BY 1),
+edges AS MATERIALIZED (SELECT src, dst, count(*) AS links FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, {quote(links.LINK)}, 1)), '{links.UPPER}', '{links.LOWER}') AS dst FROM parsed) WHERE src <> dst AND src <> '' GROUP BY 1, 2),
+hosts AS (SELECT host, floor({links.UNIT} * (count_if(by_rule = 'allow') / count(*)::DOUBLE))::BIGINT AS trust, floor({links.UNIT} * (count_if(by_rule = 'block') / count(*)::DOUBLE))::BIGINT AS distrust FROM judged WHERE host <> '' GROUP BY 1),
 nodes AS (SELECT host FROM hosts UNION SELECT src FROM edges UNION SELECT dst FROM edges),
-s0 AS MATERIALIZED (SELECT host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in, coalesce(trust, 0) AS t, coalesce(distrust, 0) AS d
-FROM nodes LEFT JOIN hosts USING (host) LEFT JOIN (SELECT src AS host, sum(links) AS n FROM edges GROUP BY 1) o USING (host) LEFT JOIN (SELECT dst AS host, sum(links) AS n FROM edges GROUP BY 1) i USING (host))"""
+s0 AS MATERIALIZED (SELECT host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust, coalesce(n, 0) AS n_out, coalesce(trust, 0) AS t, coalesce(distrust, 0) AS d
+FROM nodes LEFT JOIN hosts USING (host) LEFT JOIN (SELECT src AS host, sum(links) AS n FROM edges GROUP BY 1) USING (host)),
+shares AS MATERIALIZED (SELECT src, dst, links / n_out::DOUBLE AS share FROM edges JOIN s0 ON src = host)"""
     for k in range(iterations):
-        out += f""", got{k} AS (SELECT host, sum(a) AS a, sum(b) AS b FROM (SELECT dst AS host, floor(t * (links / n_out::DOUBLE))::BIGINT AS a, 0 AS b FROM edges JOIN s{k} ON host = src UNION ALL SELECT src, 0, floor(d * (links / n_in::DOUBLE))::BIGINT FROM edges JOIN s{k} ON host = dst) GROUP BY 1),
-s{k + 1} AS MATERIALIZED (SELECT host, trust, distrust, n_out, n_in, round({1 - keep!r}::DOUBLE * trust + {keep}::DOUBLE * CASE WHEN n_out > 0 THEN coalesce(a, 0) ELSE coalesce(a, 0) + t END)::BIGINT AS t,
-round({1 - keep!r}::DOUBLE * distrust + {keep}::DOUBLE * CASE WHEN n_in > 0 THEN coalesce(b, 0) ELSE coalesce(b, 0) + d END)::BIGINT AS d FROM s{k} LEFT JOIN got{k} USING (host))"""
+        out += f""", got{k} AS (SELECT host, sum(a) AS a, sum(b) AS b FROM (SELECT dst AS host, floor(t * share)::BIGINT AS a, 0 AS b FROM shares JOIN s{k} ON host = src UNION ALL SELECT src, 0, floor(d * share)::BIGINT FROM shares JOIN s{k} ON host = dst) GROUP BY 1),
+s{k + 1} AS MATERIALIZED (SELECT host, trust, distrust, n_out, round({1 - keep!r}::DOUBLE * trust + {keep}::DOUBLE * CASE WHEN n_out > 0 THEN coalesce(a, 0) ELSE coalesce(a, 0) + t END)::BIGINT AS t,
+greatest(distrust, round({keep}::DOUBLE * coalesce(b, 0))::BIGINT) AS d FROM s{k} LEFT JOIN got{k} USING (host))"""
     return out + f"""
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN d >= {int(threshold * links.UNIT)} AND d > t THEN 'block' ELSE 'allow' END) AS verdict FROM judged JOIN s{iterations} USING (host)"""
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN d >= {int(threshold * links.UNIT)} AND d > t THEN 'block' ELSE 'allow' END) AS verdict FROM judged LEFT JOIN s{iterations} USING (host)"""
