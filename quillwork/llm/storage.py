@@ -60,16 +60,17 @@ def split(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bit
     A bitmap of 2**bits hash values, a fixed size for any input, is sent to all tasks, so that a join with few keys
     need not shuffle what cannot match. Nulls go with the rest. ``wanted`` is read twice: cut it first.
     """
-    part, bit, bitmap = (fresh(df, name) for name in ("_part", "_bit", "_bitmap"))
+    part, bit, words = (fresh(df, name) for name in ("_part", "_bit", "_words"))
     hashed = lambda c: f"pmod(xxhash64(`{c}`), {1 << bits}L)"
-    marked = wanted.where(F.col(wanted_column).isNotNull()).select(F.expr(hashed(wanted_column)).alias("p")).groupBy(F.expr("p div 32768").alias(part)).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias(bitmap))
-    placed = df.withColumn(part, F.expr(f"{hashed(column)} div 32768")).withColumn(bit, F.expr(f"{hashed(column)} % 32768"))
-    held = F.expr(f"getbit(cast(conv(hex(substring(`{bitmap}`, cast(`{bit}` div 8 as int) + 1, 1)), 16, 10) as bigint), cast(`{bit}` % 8 as int)) = 1")
+    marked = wanted.where(F.col(wanted_column).isNotNull()).select(F.expr(hashed(wanted_column)).alias("p")).groupBy(F.expr("p div 32768").alias(part)).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bitmap"))
+    marked = marked.select(part, F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.conv(F.hex(F.substring("bitmap", i + 1, 1)), 16, 10).cast("smallint")).alias(words))
+    placed = df.withColumn(part, F.expr(f"{hashed(column)} div 32768")).withColumn(bit, F.expr(f"cast({hashed(column)} % 32768 as int)"))
+    held = F.expr(f"(get(`{words}`, shiftright(`{bit}`, 3)) & shiftleft(1, `{bit}` & 7)) <> 0")
     joined = placed.join(F.broadcast(marked), part, "left").withColumn(bit, F.coalesce(held, F.lit(False)) & F.col(f"`{column}`").isNotNull())  # at most 2**bits bits
     columns = [F.col(f"`{c}`") for c in df.columns]
     return joined.where(F.col(bit)).select(*columns), joined.where(~F.col(bit)).select(*columns)
 
 
-def holding(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+def holding(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str, bits: int = 23) -> DataFrame:
     """The rows of ``df`` that may match ``wanted``."""
-    return split(df, column, wanted, wanted_column)[0]
+    return split(df, column, wanted, wanted_column, bits)[0]

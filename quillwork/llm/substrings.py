@@ -25,8 +25,11 @@ from .heads import against_heads, slices
 from .minhash import _blocks, _by_key, _sides
 from .storage import Scratch, holding, split
 
-#: Two of ten functions agree on runs that overlap by 0.8 with probability 0.999996; one of eight, with 0.999997.
-WIDTH, HASHES, AGREE, WORDS, SIMILARITY, AGAIN = 5, 10, 2, 50, 0.8, 8
+#: Runs that overlap by 0.8 agree in one of eight functions with probability 0.999997: so often they share a bucket. Two must
+#: agree for a first look at the bucket's first document; what that leaves unmarked is compared with the rest of the bucket.
+WIDTH, HASHES, AGREE, WORDS, SIMILARITY = 5, 8, 2, 50, 0.8
+#: Bits of the filter that keeps most windows without a partner out of the shuffle, 4 MB whatever the input.
+KEY_BITS = 25
 #: Members of a bucket that one task compares pair by pair.
 BLOCK = 2048
 SPAN = "struct<start:int,end:int,source:long>"
@@ -34,40 +37,59 @@ SPAN = "struct<start:int,end:int,source:long>"
 NULL_ID = (1 << 63) - 1
 
 
+def least_of_stretches(values: np.ndarray, length: int) -> np.ndarray:
+    """The least of every ``length`` neighbouring values, from the least of 2, 4, 8, ... neighbours."""
+    span, out = 1, values
+    while 2 * span <= length:
+        out = np.minimum(out[:-span], out[span:])
+        span *= 2
+    return np.minimum(out[: len(values) - length + 1], out[length - span :])
+
+
+def next_smaller(keys: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """For each key the place of the nearest smaller one before it in its text, plus 1; 0 if there is none. ``alone`` marks the
+    first key of each text. Whatever lies between a key and the place it points to is larger, so all keys can jump on
+    from there at once."""
+    to = np.where(alone, 0, np.arange(len(keys)))
+    padded = np.concatenate([[np.uint64(0)], keys])
+    active = np.flatnonzero(padded[to] > keys)
+    while len(active):
+        to[active] = to[to[active] - 1]
+        active = active[padded[to[active]] > keys[active]]
+    return to
+
+
 def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """l, p and the end r + 1 of all windows of ``least`` tokens or more; ``first`` bounds the texts in ``values``.
 
-    Only the least tokens of stretches of ``least`` tokens have such windows, and the tokens that bound a window have one
-    themselves or end the text: so the trees are built over these few. They are taken down level by level, all texts
-    at once: the least token of each stretch is its root and splits it in two. The leftmost of equal tokens is the least.
+    Only the least tokens of stretches of ``least`` tokens have such windows, and the tokens that bound a window, its
+    parents in the Cartesian tree, have one themselves or end the text: so the trees are built over these few. The
+    leftmost of equal tokens is the least.
     """
     n = len(values)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
-    bits = np.uint64(n.bit_length())
-    keyed = values >> bits << bits | np.arange(n, dtype=np.uint64)
-    rows = np.concatenate([keyed, np.full(-n % least, ~np.uint64(0))]).reshape(-1, least)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least_of = np.minimum(behind[: n - least + 1], ahead[least - 1 : n])
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    least_of = least_of[text[: n - least + 1] == text[least - 1 :]]
-    chosen = np.zeros(n, bool)
-    chosen[(least_of & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = True
-    at = np.flatnonzero(chosen)
-    left, right = first[:-1][text[at]], first[1:][text[at]]
-    few, bounds = np.append(keyed[at], ~np.uint64(0)), np.searchsorted(at, first)
-    place = np.append(at, n)
-    low, high = bounds[:-1], bounds[1:]
-    while True:
-        some = high > low
-        low, high = low[some], high[some]
-        if not len(low):
-            break
-        root = np.searchsorted(at, (np.minimum.reduceat(few, np.stack([low, high], axis=1).ravel())[::2] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
-        left[root] = np.where(low > bounds[text[at[root]]], place[low - 1] + 1, left[root])
-        right[root] = np.where(high < bounds[text[at[root]] + 1], place[high], right[root])
-        low, high = np.stack([low, root + 1], axis=1).ravel(), np.stack([root, high], axis=1).ravel()
+    low = np.uint64((1 << n.bit_length()) - 1)
+    keyed = values & ~low | np.arange(n, dtype=np.uint64)
+    least_of = least_of_stretches(keyed, least)
+    # stretches that reach into the next text do not count
+    whole = np.zeros(len(least_of) + 1, np.int8)
+    long = np.flatnonzero(np.diff(first) >= least)
+    np.add.at(whole, first[long], 1)
+    np.add.at(whole, first[long + 1] - least + 1, -1)
+    new = np.ones(len(least_of), bool)
+    new[1:] = least_of[1:] != least_of[:-1]
+    new[first[long]] = True
+    new &= np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
+    at = np.unique((least_of[new] & low).astype(np.int64))
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    text = np.searchsorted(first, at, side="right") - 1
+    keys, starts = keyed[at], np.concatenate([[True], text[1:] != text[:-1]])
+    before = next_smaller(keys, starts)
+    after = next_smaller(keys[::-1], np.concatenate([starts[1:], [True]])[::-1])[::-1]
+    left = np.where(before > 0, at[before - 1] + 1, first[text])
+    right = np.where(after > 0, at[np.minimum(len(at) - after, len(at) - 1)], first[text + 1])
     return left, at, right
 
 
@@ -360,7 +382,7 @@ def _found(scratch: Scratch, docs: DataFrame, words: int, width: int, hashes: in
     tokens, cut = words - width + 1, scratch.cut
     cuts = windows(docs, width, hashes, tokens)
     heads = cut(cuts.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head"))
-    shared = cut(cuts.join(heads, "key"))
+    shared = cut(holding(cuts, "key", heads, "key", KEY_BITS).join(heads, "key"))
     scratch.drop(heads)
     pairs = cut(agreeing(shared.where("id <> head"), hashes, agree, tokens))
 
@@ -379,7 +401,7 @@ def _found(scratch: Scratch, docs: DataFrame, words: int, width: int, hashes: in
 
     first = cut(verify(pairs))
     ids = docs.groupBy("id").agg(F.min("row").alias("row"), F.max("row").alias("other"))
-    rest = cut(unsettled(scratch, shared.where((F.col("window").bitwiseAND(127) < AGAIN)), first, ids, pairs, width, tokens))
+    rest = cut(unsettled(scratch, shared, first, ids, pairs, width, tokens))
     scratch.drop(shared)
     near = cut(around(rest, docs, width, tokens - 1))
     scratch.drop(rest)
