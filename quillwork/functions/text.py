@@ -44,6 +44,11 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
+def strip(text: Column) -> Column:
+    """No Unicode white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -59,9 +64,14 @@ def truncate(text: Column, limit: int = MAX_ABSTRACT) -> Column:
     return F.substring(text, 1, limit)
 
 
-def clean_abstract(text: Column) -> Column:
-    """Entities, LaTeX, normal form, white space, length, in this order; null gives an empty string."""
-    return truncate(collapse(nfc(strip_latex(unescape(F.coalesce(text, F.lit("")))))))
+def clean_text(text: Column) -> Column:
+    """Entities, LaTeX, normal form, white space, in this order; null gives an empty string."""
+    return collapse(nfc(strip_latex(unescape(F.coalesce(text, F.lit(""))))))
+
+
+def clean_abstract(text: Column, limit: int = MAX_ABSTRACT) -> Column:
+    """A clean text, cut at ``limit`` characters."""
+    return truncate(clean_text(text), limit)
 
 
 def normalize_author(name: Column) -> Column:
@@ -75,7 +85,7 @@ def bm25_tokens(text: Column) -> Column:
 
 
 def answer_tokens(text: Column) -> Column:
-    """Lower-case Unicode words, for scoring answers."""
+    """Lower-case runs of Unicode letters, digits and underscores, for scoring answers; combining marks end a word."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 

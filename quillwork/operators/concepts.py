@@ -1,12 +1,15 @@
-"""The concept graph: nodes, weighted edges and one-hop traversal."""
+"""The concept graph: nodes, weighted edges, storage and one-hop traversal."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import concept_form, mentions
+from ..functions.text import casefold, concept_form, mentions
+from ..sources.tables import Versions
 from .stats import cooccurrence
 
 # What a concept can be.
@@ -15,45 +18,85 @@ PER_PAPER, NEIGHBOURS, MIN_OVERLAP = 8, 3, 2
 
 
 def nodes(rows: DataFrame) -> DataFrame:
-    """key (lower-cased name), name, concept_type and papers from (paper_id, concept_id, name, concept_type); the lowest id names the node."""
-    keyed = rows.withColumn("key", F.lower("name"))
-    first = F.min_by(F.struct("name", "concept_type"), "concept_id")
-    return keyed.groupBy("key").agg(first.alias("f"), F.array_sort(F.collect_set("paper_id")).alias("papers")).select("key", "f.name", "f.concept_type", "papers")
+    """key (case-folded name), name, concept_type and n_papers from (paper_id, concept_id, name, concept_type); the lowest id
+    names the node. The papers of a node, any number of them, are the rows of ``links``."""
+    first = F.min(F.struct("concept_id", "name", F.coalesce("concept_type", F.lit("other")).alias("concept_type")))
+    named = rows.withColumn("key", casefold(F.col("name"))).groupBy("key").agg(first.alias("f"))
+    return named.join(links(rows).groupBy("key").agg(F.count("*").alias("n_papers")), "key").select("key", "f.name", "f.concept_type", "n_papers")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """key, name (the least spelling) and paper_id, each pair of key and paper once."""
+    return rows.groupBy(casefold(F.col("name")).alias("key"), "paper_id").agg(F.min("name").alias("name")).select("key", "name", "paper_id")
 
 
 def edges(rows: DataFrame) -> DataFrame:
     """src < dst and how many papers have both."""
-    keyed = rows.select("paper_id", F.lower("name").alias("key"))
+    keyed = rows.select("paper_id", casefold(F.col("name")).alias("key"))
     return cooccurrence(keyed, None, "paper_id", "key").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("together").alias("weight"))
 
 
-def traverse(links: DataFrame, edges_: DataFrame, queries: DataFrame, top_n: int = 10, min_overlap: int = MIN_OVERLAP, neighbours: int = NEIGHBOURS) -> DataFrame:
+@dataclass
+class Graph:
+    """links (key, name, paper_id) and edges (src, dst, weight)."""
+
+    links: DataFrame
+    edges: DataFrame
+
+    def write(self, root: str) -> int:
+        """A new version under ``root``; readers see it once both tables are whole."""
+        return Versions(self.links.sparkSession, root).write(links=self.links, edges=self.edges)
+
+    @classmethod
+    def read(cls, spark: SparkSession, root: str) -> Graph | None:
+        """The latest version, or None where there is none: the graph leg is then left out."""
+        held = Versions(spark, root).read()
+        return cls(held["links"], held["edges"]) if held else None
+
+
+def graph(rows: DataFrame) -> Graph:
+    """The graph of (paper_id, concept_id, name, concept_type) rows."""
+    return Graph(links(rows), edges(rows))
+
+
+def mentioned(links_: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid and key of the concepts whose names the texts of a query (qid, text) mention.
+
+    A name is looked for only in the places where its first word stands: names and texts meet by an equi-join on
+    words, never name by name.
+    """
+    names = links_.select("key", concept_form(F.col("name")).alias("form")).distinct().where(F.length("form") >= 2)
+    asked = queries.select("qid", concept_form(F.col("text")).alias("hay")).where("hay <> ''")
+    words = asked.select("qid", "hay", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
+    met = words.join(names.withColumn("word", F.split("form", " ")[0]), "word")
+    return met.where(mentions(F.col("hay"), F.col("form"))).select("qid", "key").distinct()
+
+
+def traverse(links_: DataFrame, edges_: DataFrame, queries: DataFrame, top_n: int = 10, min_overlap: int = MIN_OVERLAP, neighbours: int = NEIGHBOURS) -> DataFrame:
     """qid, paper_id, total, direct and rank from links (key, name, paper_id) and queries (qid, text).
 
-    Concepts that a query mentions and the strongest ``neighbours`` of each are looked up; papers with at least
-    ``min_overlap`` of them are ranked by mentioned ones, then all. Queries are few and are sent to every task.
+    Concepts that a query mentions, in any of its texts, and the strongest ``neighbours`` of each are looked up; papers
+    with at least ``min_overlap`` of them are ranked by mentioned ones, then all.
     """
-    names = links.select("key", concept_form(F.col("name")).alias("form")).distinct()
-    asked = queries.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("text")), concept_form), " ").alias("hay"))
-    direct = names.join(F.broadcast(asked), mentions(F.col("hay"), F.col("form"))).select("qid", "key").distinct()
+    direct = mentioned(links_, queries)
     both = edges_.select(F.col("src").alias("key"), F.col("dst").alias("next"), "weight").unionAll(edges_.select(F.col("dst").alias("key"), F.col("src").alias("next"), "weight"))
     order = Window.partitionBy("qid", "key").orderBy(F.desc("weight"), "next")
     around = direct.join(both, "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= neighbours).select("qid", F.col("next").alias("key"))
     expanded = direct.withColumn("own", F.lit(1)).unionAll(around.withColumn("own", F.lit(0))).groupBy("qid", "key").agg(F.max("own").alias("own"))
-    counted = expanded.join(links.select("key", "paper_id").distinct(), "key").groupBy("qid", "paper_id").agg(F.count("*").alias("total"), F.sum("own").alias("direct")).where(F.col("total") >= min_overlap)
+    counted = expanded.join(links_.select("key", "paper_id").distinct(), "key").groupBy("qid", "paper_id").agg(F.count("*").alias("total"), F.sum("own").alias("direct")).where(F.col("total") >= min_overlap)
     best = Window.partitionBy("qid").orderBy(F.desc("direct"), F.desc("total"), "paper_id")
     return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
 
 
-def parse_response(raw: DataFrame, expected: DataFrame, column: str = "raw") -> DataFrame:
-    """paper_id and concepts from model answers: a JSON object, maybe with text around it.
+def parse_response(raw: DataFrame, column: str = "raw", ids: str = "ids") -> DataFrame:
+    """paper_id and concepts from model answers, each with the ``ids`` it was asked for: a JSON object, maybe with text around it.
 
-    Unknown papers, unnamed or overlong concepts and repeats by case are left out, types outside ``TYPES`` become
+    Unknown papers, unnamed or overlong concepts and repeats by case folding are left out, types outside ``TYPES`` become
     "other", and a paper keeps its first ``PER_PAPER`` concepts. Concepts may be objects or plain strings.
     """
     body = F.from_json(F.regexp_extract(column, r"(?s)\{.*\}", 0), "struct<papers:array<struct<arxiv_id:string,concepts:array<string>>>>")
-    papers = raw.select(F.explode(body["papers"]).alias("p")).select(F.col("p.arxiv_id").alias("paper_id"), F.col("p.concepts").alias("cs"))
-    known = papers.join(expected.select("paper_id").distinct(), "paper_id", "left_semi")
+    papers = raw.select(F.col(ids).alias("ids"), F.explode(body["papers"]).alias("p")).where(F.array_contains("ids", F.col("p.arxiv_id")))
+    known = papers.select(F.col("p.arxiv_id").alias("paper_id"), F.col("p.concepts").alias("cs"))
 
     def concept(c):
         parsed = F.from_json(c, "struct<name:string,type:string>")
@@ -62,5 +105,7 @@ def parse_response(raw: DataFrame, expected: DataFrame, column: str = "raw") ->
         return F.struct(name.alias("name"), F.when(kind.isin(*TYPES), kind).otherwise("other").alias("type"))
 
     named = known.select("paper_id", F.filter(F.transform("cs", concept), lambda c: c["name"].isNotNull() & (c["name"] != "") & (F.length(c["name"]) <= 80)).alias("cs"))
-    first = F.filter("cs", lambda c, i: F.array_position(F.transform("cs", lambda x: F.lower(x["name"])), F.lower(c["name"])) == i + 1)
-    return named.select("paper_id", F.slice(first, 1, PER_PAPER).alias("concepts"))
+    folded = named.select("paper_id", F.posexplode("cs").alias("at", "c")).withColumn("key", casefold(F.col("c.name")))
+    first = folded.groupBy("paper_id", "key").agg(F.min(F.struct("at", "c")).alias("f")).groupBy("paper_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    kept = first.select("paper_id", F.slice(F.transform("fs", lambda f: f["c"]), 1, PER_PAPER).alias("concepts"))
+    return known.select("paper_id").distinct().join(kept, "paper_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<struct<name:string,type:string>>")))

@@ -20,6 +20,8 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 20, *, doc_id: s
     Norms are taken once per vector. A set of queries is compared with all rows; a set above ``QUERY_BYTES`` is cut
     into blocks. Zero vectors and nulls are near nothing.
     """
+    if top_k < 1:
+        raise ValueError("top_k must be 1 or more")
     own = vectors.where(F.col(embedding).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(embedding).alias("v"), norm(F.col(embedding)).alias("nv"))
     asked = queries.select(F.col(query_id).alias("qid"), F.col(embedding).alias("q"), norm(F.col(embedding)).alias("nq"))
     size = asked.agg(F.sum(8 * F.size("q") + 64).alias("n")).first().n or 0

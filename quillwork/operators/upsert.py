@@ -18,19 +18,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], version: str,
     """``target`` with the rows of ``source``, and ``action``: insert, update or unchanged.
 
     A row replaces its counterpart only with a higher version; ``fixed`` columns keep their first value. Of rows
-    with the same key in ``source``, the latest counts.
+    with the same key in ``source``, the latest counts. A null version, on either side, is not newer and not older: the
+    stored row stays. Null keys equal each other.
     """
     new = latest(source, keys, version, *ties)
-    t, s = target.alias("t"), new.alias("s")
+    t, s = target.withColumn("_there", F.lit(True)).alias("t"), new.alias("s")
     both = t.join(s, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "full")
-    there, comes = F.col(f"t.{version}").isNotNull(), F.col(f"s.{version}").isNotNull()
-    newer = comes & there & (F.col(f"t.{version}") < F.col(f"s.{version}"))
+    there = F.col("t._there").isNotNull()
+    newer = there & F.coalesce(F.col(f"t.{version}") < F.col(f"s.{version}"), F.lit(False))
     action = F.when(~there, "insert").when(newer, "update").otherwise("unchanged")
 
     def value(c: str) -> Column:
         mine, theirs = F.col(f"t.{c}"), F.col(f"s.{c}")
         if c in keys:
-            return F.coalesce(mine, theirs)
+            return F.when(there, mine).otherwise(theirs)
         return F.when(~there, theirs).otherwise(mine) if c in fixed else F.when(~there | newer, theirs).otherwise(mine)
 
     return both.select(*[value(c).alias(c) for c in target.columns], action.alias("action"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens, casefold, document_text
@@ -16,74 +16,89 @@ from ..operators import concepts, upsert
 Embed = Callable[[list[str]], list[list[float]]]
 
 
-def hashing_embedder(dim: int = 64) -> Embed:
-    """A deterministic stand-in for a model: signed counts of hashed words, of unit length."""
+#: After so many failed batches in a row a task gives up.
+FAILURES = 3
 
-    def embed(texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dim), np.float32)
-        for k, text in enumerate(texts):
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[k, h % dim] += 1 if h >> 63 else -1
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(length == 0, 1, length)).tolist()
 
-    return embed
-
-
-def embed_pending(papers: DataFrame, embed: Embed, model: str, dim: int, *, key: str = "arxiv_id", title: str = "title", abstract: str = "abstract_clean", batch: int = 100) -> DataFrame:
+def embed_pending(papers: DataFrame, embed: Embed, model: str, dim: int, *, key: str = "arxiv_id", title: str = "title", abstract: str = "abstract_clean", batch: int = 100, attempts: int = 3, wait: float = 3.5, skipped: tuple[type[Exception], ...] = (OSError,)) -> DataFrame:
     """key, embedding and embedding_model for the rows of ``papers`` that need a vector and have a text.
 
     The callable gets ``batch`` texts at a time, in order, on the workers; a vector of another length is an error.
-    A failed call fails its task, which Spark tries again; what is stored comes only from whole answers.
+    A call that fails with one of ``skipped`` is tried ``attempts`` times, after ``wait`` seconds and then twice as long each
+    time; a batch that still fails has null vectors, so that its rows stay pending, and after ``FAILURES`` such batches in
+    a row the task fails. Any other error fails it at once.
     """
     rows = upsert.pending(papers, model) if "embedding" in papers.columns else papers
     texts = rows.select(F.col(key), document_text(F.col(title), F.col(abstract)).alias("text")).where("text <> ''")
 
+    def tried(part: list[str]) -> list[list[float]] | Exception:
+        for k in range(attempts):
+            try:
+                return embed(part)
+            except skipped as error:
+                last = error
+                if k + 1 < attempts:
+                    time.sleep(wait * 2**k)
+        return last
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = 0
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
-                vectors = embed(part["text"].tolist())
+                vectors = tried(part["text"].tolist())
+                failed = failed + 1 if isinstance(vectors, Exception) else 0
+                if failed >= FAILURES:
+                    raise RuntimeError(f"{failed} batches in a row failed") from vectors
+                if failed:
+                    yield pd.DataFrame({key: part[key], "embedding": [None] * len(part)})
+                    continue
                 if len(vectors) != len(part) or any(len(v) != dim for v in vectors):
                     raise ValueError(f"the embedder must give {len(part)} vectors of {dim} numbers")
                 yield pd.DataFrame({key: part[key], "embedding": [np.asarray(v, np.float32) for v in vectors]})
 
     kind = papers.schema[key].dataType.simpleString()
-    return texts.mapInPandas(run, f"{key} {kind}, embedding array<float>").withColumn("embedding_model", F.lit(model))
+    return texts.mapInPandas(run, f"{key} {kind}, embedding array<float>").withColumn("embedding_model", F.when(F.col("embedding").isNotNull(), model))
 
 
 def store_vectors(papers: DataFrame, vectors: DataFrame, key: str = "arxiv_id", now=None) -> DataFrame:
-    stamped = vectors.withColumn("embedding_updated_at", F.current_timestamp() if now is None else now)
+    """``papers`` with the vectors that were made; rows of skipped batches stay as they are."""
+    stamped = vectors.where("embedding is not null").withColumn("embedding_updated_at", F.current_timestamp() if now is None else now)
     return upsert.update_columns(papers, stamped, key)
 
 
-def extract_concepts(papers: DataFrame, done: DataFrame, complete: Callable[[list[tuple[str, str]]], str], *, key: str = "paper_id", text: str = "abstract", batch: int = 20, limit: int = 1200) -> DataFrame:
+def pieces(text: Column, size: int, overlap: int) -> Column:
+    """A text in consecutive pieces of ``size`` characters, each with the last ``overlap`` ones of the piece before."""
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(step))
+    return F.transform(starts, lambda at: F.substring(text, at + 1, size))
+
+
+def extract_concepts(papers: DataFrame, done: DataFrame, complete: Callable[[list[tuple[str, str]]], str], *, key: str = "paper_id", text: str = "abstract", batch: int = 20, size: int = 1200, overlap: int = 200, limit: int | None = None) -> DataFrame:
     """paper_id and concepts of the papers that ``done`` (paper_id) lacks.
 
-    ``complete`` gets ``batch`` (id, text) pairs and answers with JSON, as ``concepts.parse_response`` reads it. Papers
-    without an answer come with an empty list, so that they are not asked for again.
+    ``complete`` gets ``batch`` pairs of an id and at most ``size`` characters and answers with JSON, as
+    ``concepts.parse_response`` reads it. Longer texts come in overlapping pieces, whose answers are united in order, so
+    names of up to ``overlap`` characters are seen wherever they stand; with ``limit``, only so many characters are
+    read. Papers without an answer come with an empty list, so that they are not asked for again.
     """
-    todo = papers.where(F.col(text) != "").join(done.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias(key), F.substring(text, 1, limit).alias("text"))
+    whole = F.col(text) if limit is None else F.substring(text, 1, limit)
+    todo = papers.where(F.col(text) != "").join(done.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias(key), F.posexplode(pieces(whole, size, overlap)).alias("piece", "text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
-                yield pd.DataFrame({"raw": [complete(list(zip(part[key], part["text"], strict=True)))]})
-
-    answers = concepts.parse_response(todo.mapInPandas(run, "raw string"), todo.select(F.col(key).alias("paper_id")))
-    return todo.select(F.col(key).alias("paper_id")).join(answers, "paper_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<struct<name:string,type:string>>")))
-
-
-def gazetteer(names: dict[str, str]) -> Callable[[list[tuple[str, str]]], str]:
-    """A stand-in for a model: names (with their types) that occur in the text."""
-    import json
-
-    def complete(rows: list[tuple[str, str]]) -> str:
-        return json.dumps({"papers": [{"arxiv_id": i, "concepts": [{"name": n, "type": t} for n, t in names.items() if n.lower() in text.lower()]} for i, text in rows]})
-
-    return complete
+                ids = [f"{i}#{n}" for i, n in zip(part[key], part["piece"], strict=True)]
+                yield pd.DataFrame({"raw": [complete(list(zip(ids, part["text"], strict=True)))], "ids": [ids]})
+
+    asked = todo.mapInPandas(run, "raw string, ids array<string>")
+    answers = concepts.parse_response(asked)
+    named = answers.select(F.regexp_replace("paper_id", "#\\d+$", "").alias("paper_id"), F.regexp_extract("paper_id", "#(\\d+)$", 1).cast("int").alias("piece"), F.posexplode("concepts").alias("n", "c"))
+    first = named.withColumn("key", casefold(F.col("c.name"))).groupBy("paper_id", "key").agg(F.min(F.struct("piece", "n", "c")).alias("f"))
+    united = first.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["c"]).alias("concepts"))
+    every = papers.where(F.col(text) != "").join(done.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias("paper_id")).distinct()
+    return every.join(united, "paper_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<struct<name:string,type:string>>")))
 
 
 def store_concepts(known: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,19 @@
-"""Ingesting parsed feed rows into the star model."""
+"""Ingesting parsed feed rows into the star model: one batch, and whole runs over windows and categories."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse
+from ..functions.dates import parse, windows
 from ..functions.text import clean_abstract, normalize_author, primary_category
 from ..operators import upsert
+from ..operators.sampling import quota
+from ..sources.tables import Versions
+from ..streaming.incremental import complete, progress, resume_offset, window_key
+from .indexing import finish, run_stages
 
 
 def papers_from(raw: DataFrame, now) -> DataFrame:
@@ -41,6 +47,93 @@ def ingest(tables: dict[str, DataFrame], raw: DataFrame, now=None) -> dict[str,
     }
 
 
+def start_run(runs: DataFrame, run_id: int, categories: list[str], first: str, last: str, now=None) -> DataFrame:
+    """The log (``schemas.RUNS``) with a new running run; a run that is there goes on from its checkpoint."""
+    now = F.current_timestamp() if now is None else now
+    if (going := runs.where((F.col("status") == "running") & (F.col("id") != run_id)).select("id").first()) is not None:
+        raise RuntimeError(f"run {going.id} is in progress")
+    if runs.where(F.col("id") == run_id).limit(1).count():
+        return runs.withColumn("status", F.when(F.col("id") == run_id, "running").otherwise(F.col("status")))
+    day = lambda d: F.lit(d).cast("timestamp")
+    values = {"id": F.lit(run_id), "started_at": now, "status": F.lit("running"), "date_from": day(first), "date_to": day(last), "categories": F.array(*map(F.lit, categories)), **{c: F.lit(0) for c in runs.columns if c.startswith("papers_")}}
+    row = runs.sparkSession.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in runs.schema])
+    return runs.unionAll(row)
+
+
+def counted(runs: DataFrame, run_id: int, **more: int) -> DataFrame:
+    """The log with counters of one run raised, such as ``papers_embedded=20``."""
+    return runs.withColumns({c: F.when(F.col("id") == run_id, (F.coalesce(c, F.lit(0)) + n).cast("int")).otherwise(F.col(c)) for c, n in more.items()})
+
+
+def run(
+    store: Versions,
+    run_id: int,
+    categories: list[str],
+    first: str,
+    last: str,
+    fetch: Callable[[str, str, str, int, int], DataFrame],
+    *,
+    max_papers: int,
+    page: int = 500,
+    stages: Sequence[tuple[str, Callable[[], object]]] = (),
+    now=None,
+) -> DataFrame:
+    """Ingests a date range week by week, in every week category by category, and gives the run's row of the log.
+
+    ``fetch(category, win_start, win_end, offset, size)`` gives rows of ``schemas.RAW_PAPERS``, in feed order. Every category
+    of every week has the same quota, so that ``max_papers``, the most rows fetched in a run, samples the whole range.
+    After every page the tables, the counters and the checkpoint are one new version of ``store``: whatever fails,
+    the next call with the same ``run_id`` goes on at that offset, and no page counts twice. A failed fetch ends the run as
+    failed. ``stages`` run at the end; their failures are warnings in the log.
+    """
+    spark, stamp = store.spark, F.current_timestamp() if now is None else now
+    span = spark.range(1).select(F.lit(first).alias("date_from"), F.lit(last).alias("date_to"))
+    weeks = [(str(w.win_start), str(w.win_end)) for w in windows(span).orderBy("win_start").collect()]  # the weeks of a range
+    quota_ = quota(max_papers, len(weeks), len(categories))
+
+    def save(change: Callable[[DataFrame], DataFrame], **tables: DataFrame) -> dict[str, DataFrame]:
+        store.write(keep=2, **tables, runs=change(store.read()["runs"]))
+        return store.read()
+
+    def mark(column, **more: int) -> Callable[[DataFrame], DataFrame]:
+        mine = F.col("id") == run_id
+        return lambda runs: counted(runs, run_id, **more).withColumn("last_checkpoint", F.when(mine, column).otherwise(F.col("last_checkpoint")))
+
+    tables = save(lambda runs: start_run(runs, run_id, categories, first, last, now))
+    for win_start, win_end in weeks:
+        for category in categories:
+            cell = F.lit(category), F.lit(win_start)
+            point = F.col("last_checkpoint")
+            at = tables["runs"].where(F.col("id") == run_id).select(
+                F.array_contains(F.coalesce(point["done"], F.array().cast("array<string>")), window_key(*cell)).alias("done"), resume_offset(point, *cell).alias("offset"), F.coalesce("papers_fetched", F.lit(0)).alias("fetched")
+            ).first()
+            offset, fetched = at.offset, at.fetched
+            if at.done or fetched >= max_papers:
+                continue
+            while (size := min(max_papers - fetched, quota_ - offset, page)) > 0:
+                try:
+                    landed = f"{store.root}/landed/{run_id}/{category}/{win_start}/{offset}"
+                    fetch(category, win_start, win_end, offset, size).write.mode("overwrite").parquet(landed)
+                except Exception as error:
+                    save(lambda runs, offset=offset, cell=cell, error=error: finish(mark(progress(point, *cell, F.lit(offset)))(runs), run_id, "failed", [str(error)], stamp))
+                    raise
+                raw = spark.read.parquet(landed)
+                n = raw.count()
+                if not n:
+                    break
+                new = ingest({k: v for k, v in tables.items() if k != "runs"}, raw, now)
+                done = {r.action: r.n_rows for r in upsert.actions(new["papers"]).collect()}
+                new["papers"] = new["papers"].drop("action")
+                offset, fetched = offset + n, fetched + n
+                tables = save(mark(progress(point, *cell, F.lit(offset)), papers_fetched=n, papers_inserted=done.get("insert", 0), papers_updated=done.get("update", 0)), **new)
+                if n < size:
+                    break
+            tables = save(mark(complete(point, *cell)))
+    warnings = run_stages(list(stages))
+    tables = save(lambda runs: finish(runs, run_id, "completed", warnings, stamp))
+    return tables["runs"].where(F.col("id") == run_id)
+
+
 def reset(tables: dict[str, DataFrame], token: str, expected: str, running: bool = False) -> dict[str, DataFrame]:
     """All tables empty, but for categories that have a name."""
     if token != expected:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import text
 from ..functions.vectors import cosine
 from ..operators import bm25, concepts, dense, fusion
 
@@ -18,13 +21,13 @@ MAX_QUERY = 2000
 
 @dataclass
 class Corpus:
-    """What retrieval reads: documents (doc_id, title, text, ...), vectors, a sparse index and the concept graph."""
+    """What retrieval reads: documents (doc_id, title, text, ...), vectors, a sparse index and the concept graph. Without an
+    index or a graph their legs are left out."""
 
     docs: DataFrame
     vectors: DataFrame
-    sparse: bm25.Index
-    links: DataFrame | None = None
-    edges: DataFrame | None = None
+    sparse: bm25.Index | None = None
+    graph: concepts.Graph | None = None
 
 
 def _leg(found: DataFrame, leg: str, order: int, doc_id: str = "doc_id") -> DataFrame:
@@ -34,21 +37,24 @@ def _leg(found: DataFrame, leg: str, order: int, doc_id: str = "doc_id") -> Data
 def hybrid(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None, per_leg: int = 20, graph_top: int = 10, top_n: int = 20) -> DataFrame:
     """qid, doc_id, rrf, source, rank, sim and overlap for queries given as texts (qid, query) and vectors (qid, embedding).
 
-    A query may have several texts and vectors (its variants); a document's best score counts. Without vectors, or
-    without a concept graph, the other legs carry on. Ids first, attributes later: no text goes through the ranking.
+    A query may have several texts and vectors (its variants, the first of each leads); a document's best score counts.
+    Without vectors, index or concept graph the other legs carry on. Ids first, attributes later: no text goes through the ranking.
     """
     texts = texts.select("qid", F.substring("query", 1, MAX_QUERY).alias("query"))
-    variants = texts.withColumn("variant", F.concat_ws("\x1f", F.col("qid").cast("string"), F.xxhash64("query").cast("string")))
-    sparse = bm25.search(corpus.sparse, variants, per_leg, "variant").select(F.split("qid", "\x1f")[0].alias("qid"), "doc_id", "score")
-    legs = _leg(bm25.best_of_variants(sparse, per_leg), "sparse", 1)
+    spark = texts.sparkSession
+    legs = spark.createDataFrame([], LEG)
+    if corpus.sparse is not None:
+        variants = texts.withColumn("variant", F.concat_ws("\x1f", F.col("qid").cast("string"), F.xxhash64("query").cast("string")))
+        sparse = bm25.search(corpus.sparse, variants, per_leg, "variant").select(F.split("qid", "\x1f")[0].alias("qid"), "doc_id", "score")
+        legs = legs.unionByName(_leg(bm25.best_of_variants(sparse, per_leg), "sparse", 1))
     sims = None
     if vectors is not None:
         many = vectors.withColumn("variant", F.concat_ws("\x1f", F.col("qid").cast("string"), F.xxhash64("embedding").cast("string")))
         near = dense.search(corpus.vectors, many, per_leg, query_id="variant").select(F.split("qid", "\x1f")[0].alias("qid"), "doc_id", "score")
         legs = legs.unionByName(_leg(bm25.best_of_variants(near, per_leg), "dense", 0))
     overlap = None
-    if corpus.links is not None:
-        walked = concepts.traverse(corpus.links, corpus.edges, texts.select("qid", F.col("query").alias("text")), graph_top)
+    if corpus.graph is not None:
+        walked = concepts.traverse(corpus.graph.links, corpus.graph.edges, texts.select("qid", F.col("query").alias("text")), graph_top)
         legs = legs.unionByName(_leg(walked, "graph", 2, "paper_id"))
         overlap = walked.select(F.col("qid").cast("string").alias("qid"), F.col("paper_id").cast("string").alias("doc_id"), F.col("total").alias("overlap"))
     fused = fusion.rrf(legs, top_n)
@@ -63,8 +69,19 @@ def hybrid(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None, per_leg:
 
 
 def hydrate(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Attributes of found documents; those that are gone drop out."""
-    return found.join(docs.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
+    """Attributes of found documents; those that are gone drop out. An attribute named like a column of ``found`` gets ``doc_`` in front."""
+    taken = {c.lower() for c in found.columns} - {"doc_id"}
+    own = docs.select(*[F.col(f"`{c}`").alias(f"doc_{c}" if c.lower() in taken else c) for c in docs.columns])
+    return found.join(own.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
+
+
+def search(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None = None, top_k: int = 10) -> DataFrame:
+    """Retrieval alone: the ``top_k`` documents of each query with their attributes, ranked anew from 1 without gaps."""
+    if top_k < 1:
+        raise ValueError("top_k must be 1 or more")
+    found = hydrate(hybrid(corpus, texts, vectors), corpus.docs)
+    order = Window.partitionBy("qid").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
 @dataclass
@@ -74,17 +91,43 @@ class Answer:
     confidence: str
     iterations: int
     faithful: bool | None = None
-    steps: list[str] = field(default_factory=list)
+    #: Identifiers of kept documents that the answer cites.
+    cited: list[str] = field(default_factory=list)
+
+
+def prompt(docs: list, contexts: list[str] | None = None) -> str:
+    """Numbered blocks of title and text, or of the shortened texts in ``contexts``."""
+    said = contexts or [d["text"] for d in docs]
+    return "\n\n".join(f"[{k}] {d['title']}\n{t}" for k, (d, t) in enumerate(zip(docs, said, strict=True), 1))
+
 
+def rewrite_prompt(question: str, last: str) -> str:
+    """Asks for another search query after one that found nothing."""
+    return f"Question: {question}\nA search for this found nothing: {last}\nAnother search query, in other words:"
 
-def prompt(docs: list) -> str:
-    return "\n\n".join(f"[{k}] {d['title']}\n{d['text']}" for k, d in enumerate(docs, 1))
+
+def check_prompt(answer: str, docs: list) -> str:
+    """Asks whether the documents support an answer."""
+    return f"Answer: {answer}\n\nDocuments:\n{prompt(docs)}\n\nWhich claims of the answer do the documents not support?"
+
+
+def generated(raw: str | dict, docs: list) -> tuple[str, list[str]]:
+    """The text of an answer and the kept documents that it cites.
+
+    A structured answer (``answer`` and ``cited``) names them; a plain text, or one with an empty ``answer``, cites them inline.
+    """
+    said = raw if isinstance(raw, dict) else {"answer": raw}
+    answer = (said.get("answer") or "").strip()
+    named = said.get("cited") or re.findall(text.CITATION, answer)
+    known = {str(d["doc_id"]) for d in docs}
+    ids = [m.group(0) if (m := re.search(r"\d{4}\.\d{4,5}", x)) and x not in known else x.strip() for x in map(str, named)]
+    return answer, [i for i in dict.fromkeys(ids) if i in known]
 
 
 def ask(
     question: str,
     retrieve: Callable[[str], DataFrame],
-    generate: Callable[[str, str], str],
+    generate: Callable[[str, str], str | dict],
     *,
     rewrite: Callable[[str, str], str] | None = None,
     faithful: Callable[[str, str], bool] | None = None,
@@ -94,7 +137,8 @@ def ask(
 ) -> Answer:
     """One question: retrieve, rewrite the query once if nothing is near, keep what clears the threshold, answer.
 
-    ``retrieve`` gives a frame of at most a few dozen rows with sim, rank, title and text. Without a document above the
+    ``retrieve`` gives a frame of at most a few dozen rows with doc_id, sim, rank, title and text; steps before and after it are
+    functions that the caller wraps around these callables. Without a document above the
     threshold the generator is not called. A failing check of faithfulness leaves None.
     """
     if not question.strip():
@@ -115,10 +159,10 @@ def ask(
     kept = [d for d in found if (d["sim"] or 0.0) >= threshold][:top_k]
     if not kept:
         return Answer(NO_MATCH, [], "none", n)
-    text = generate(question, prompt(kept)).strip()
+    answer, cited = generated(generate(question, prompt(kept)), kept)
     try:
-        held = faithful(text, prompt(kept)) if faithful else None
+        held = faithful(answer, prompt(kept)) if faithful else None
     except Exception:  # noqa: BLE001  the check is best effort
         held = None
     top = max(d["sim"] for d in kept)
-    return Answer(text, kept, "high" if top >= fusion.HIGH else "medium" if top >= fusion.MEDIUM else "low", n, held)
+    return Answer(answer, kept, "high" if top >= fusion.HIGH else "medium" if top >= fusion.MEDIUM else "low", n, held, cited)

@@ -6,6 +6,8 @@ and their labels, embeddings, events, pages and the benchmark serve the text, ve
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from .functions import dates, text, vectors
 from .operators import bm25, concepts, dense, evaluation, fusion, sampling, stats, upsert
 from .plans import indexing, retrieval
 from .schemas import duplicate_keys, orphans
+from .sources.tables import shared_folder
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,6 +174,17 @@ def upsert_actions(spark, sf_dir):
     return upsert.actions(_upserted(spark, sf_dir))
 
 
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN ts::TIMESTAMP END AS v, event_type FROM events WHERE event_id % 2 = 0 OR event_id % 5 = 0),
+s AS (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN ts::TIMESTAMP + INTERVAL 1 DAY END AS v, 'new' AS event_type FROM events WHERE event_id % 2 = 1 OR event_id % 7 = 0)
+SELECT coalesce(t.event_id, s.event_id) AS event_id, CASE WHEN t.event_id IS NULL THEN 'insert' WHEN t.v < s.v THEN 'update' ELSE 'unchanged' END AS action,
+CASE WHEN t.event_id IS NULL OR t.v < s.v THEN s.event_type ELSE t.event_type END AS event_type FROM t FULL JOIN s ON t.event_id = s.event_id""")
+def upsert_null_version(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("v"), "event_type")
+    old = rows.where("event_id % 2 = 0 or event_id % 5 = 0").withColumn("v", F.when(F.col("event_id") % 3 > 0, F.col("v")))
+    new = rows.where("event_id % 2 = 1 or event_id % 7 = 0").select("event_id", F.when(F.col("event_id") % 4 > 0, F.col("v") + F.expr("interval 1 day")).alias("v"), F.lit("new").alias("event_type"))
+    return upsert.upsert(old, new, ["event_id"], "v").select("event_id", "action", "event_type")
+
+
 @query("SELECT lower(c_mktsegment) AS key, arg_min(c_mktsegment, c_custkey) AS name FROM customer GROUP BY 1 UNION ALL SELECT 'books', 'Books'")
 def insert_ignore_names(spark, sf_dir):
     there = spark.createDataFrame([("books", "Books")], "key string, name string")
@@ -186,19 +200,30 @@ def surrogate_ids(spark, sf_dir):
     return new.agg(F.count("*").alias("n_rows"), F.count_distinct("name_normalized").alias("n_names"), F.min("id").cast("int").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@query(STAR_SQL + "SELECT paper_id, author_id, position::BIGINT AS position FROM paper_authors")
+def _lists(spark, sf_dir):
+    """Papers with their authors and categories as lists, in line order."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    listed = lines.groupBy(F.col("l_orderkey").alias("arxiv_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_brand", "s_name"))).alias("x"))
+    return listed.select("arxiv_id", F.col("x.s_name").alias("authors"), F.col("x.p_brand").alias("categories"), F.lit("").alias("primary_category"))
+
+
+LISTS_SQL = "WITH lines AS (SELECT l_orderkey, s_suppkey, p_brand, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_brand, s_name) - 1 AS position FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"
+
+
+@query(LISTS_SQL + " SELECT l_orderkey AS paper_id, s_suppkey AS author_id, min(position)::SMALLINT AS position FROM lines GROUP BY 1, 2")
 def link_authors_position(spark, sf_dir):
-    return Star(spark, sf_dir).paper_authors.select("paper_id", "author_id", F.col("position").cast("long").alias("position"))
+    authors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.normalize_author(F.col("s_name")).alias("name_normalized"))
+    return upsert.author_links(_lists(spark, sf_dir), authors, text.normalize_author)
 
 
-@query(STAR_SQL + "SELECT paper_id, category_code, is_primary FROM paper_categories")
+@query(LISTS_SQL + " SELECT DISTINCT l_orderkey AS paper_id, p_brand AS category_code, p_brand = first(p_brand) OVER (PARTITION BY l_orderkey ORDER BY position) AS is_primary FROM lines")
 def link_categories_primary(spark, sf_dir):
-    return Star(spark, sf_dir).paper_categories
+    return upsert.category_links(_lists(spark, sf_dir))
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48)")
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_linenumber = 1 AND l_suppkey % 3 > 0)")
 def orphan_check(spark, sf_dir):
-    heavy = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 48")
+    heavy = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 49 and l_linenumber = 1 and l_suppkey % 3 > 0")
     return orphans(table(spark, sf_dir, "supplier"), heavy, "s_suppkey", "l_suppkey").select("s_suppkey", "s_name")
 
 
@@ -245,7 +270,7 @@ def latex_clean(spark, sf_dir):
 
 @query()
 def entity_decode(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.clean_abstract(F.col("html")).alias("cleaned"))
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("cleaned"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(u, 'arxiv\\.org/abs/\\S+') THEN regexp_replace(regexp_extract(u, 'arxiv\\.org/abs/(\\S+)', 1), 'v\\d+$', '') ELSE u END AS identifier FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE 'http://arxiv.org/abs/2401.' || (10000 + page_id) || 'v2' END AS u FROM pages)")
@@ -260,12 +285,12 @@ def citation_extract(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.citations(said), ",").alias("cited"))
 
 
-@query("SELECT o_orderkey, coalesce(try_cast(CASE WHEN o_orderkey % 5 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS TIMESTAMPTZ), TIMESTAMPTZ '2000-01-01 00:00:00+00')::TIMESTAMPTZ AT TIME ZONE 'UTC' = CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '2000-01-01' ELSE o_orderdate END AS parsed FROM orders")
+@query("SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '2000-01-01' WHEN o_orderkey % 5 = 1 THEN o_orderdate + INTERVAL 150 MINUTE ELSE o_orderdate END, '%Y-%m-%d %H:%M:%S') AS parsed FROM orders")
 def iso_parse_fallback(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    said = F.when(F.col("o_orderkey") % 5 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    expected = F.when(F.col("o_orderkey") % 5 == 0, F.lit("2000-01-01").cast("timestamp")).otherwise(F.col("o_orderdate").cast("timestamp"))
-    return orders.select("o_orderkey", (dates.parse(said, F.lit("2000-01-01").cast("timestamp")) == expected).alias("parsed"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(F.col("o_orderkey") % 5 == 0, "soon").when(F.col("o_orderkey") % 5 == 1, F.concat(day, F.lit("-02:30"))).otherwise(F.concat(day, F.lit("Z")))
+    parsed = dates.parse(said, F.lit("2000-01-01").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
 @query("WITH " + WORDS_SQL + " SELECT doc_id, len(ts)::BIGINT AS n_tokens, md5(array_to_string(ts, ' ')) AS tokens FROM tokens")
@@ -276,7 +301,7 @@ def bm25_tokenize(spark, sf_dir):
 
 @query("WITH " + WORDS_SQL + " SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_term_stats(spark, sf_dir):
-    return bm25.build(table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _stored(spark, table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 SEARCH_SQL = """, asked AS (SELECT item_id AS qid, term, count(*) AS times FROM (SELECT item_id, unnest([w FOR w IN regexp_extract_all(lower(text), '[a-z0-9]+') IF NOT list_contains([{stop}], w)]) AS term FROM benchmark) GROUP BY 1, 2),
@@ -284,19 +309,24 @@ scored AS (SELECT qid, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::D
 sparse AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 20)""".format(stop=", ".join(f"'{w}'" for w in text.STOPWORDS))
 
 
+def _stored(spark, docs):
+    """An index of ``docs`` in a new place of the shared folder."""
+    return bm25.store(docs, f"{shared_folder(spark)}/quillwork-bm25-{uuid.uuid4().hex}")
+
+
 def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
 @query("WITH " + WORDS_SQL + SEARCH_SQL + " SELECT qid, doc_id, round(score, 6) AS score FROM sparse WHERE score > 0")
 def bm25_search(spark, sf_dir):
-    found = bm25.search(bm25.build(table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
+    found = bm25.search(_stored(spark, table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH " + WORDS_SQL + SEARCH_SQL + " SELECT g AS qid, doc_id, round(best, 6) AS score FROM (SELECT qid % 10 AS g, doc_id, max(score) AS best, row_number() OVER (PARTITION BY qid % 10 ORDER BY round(max(score), 9) DESC, doc_id) AS r FROM sparse WHERE score > 0 GROUP BY 1, 2) WHERE r <= 20")
 def bm25_multi_query(spark, sf_dir):
-    found = bm25.search(bm25.build(table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
+    found = bm25.search(_stored(spark, table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
     best = bm25.best_of_variants(found.select((F.col("qid") % 10).alias("qid"), "doc_id", "score"))
     return best.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
@@ -336,7 +366,7 @@ fused AS (SELECT qid, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, arg_min(leg
 
 
 def _fused(spark, sf_dir):
-    sparse = bm25.search(bm25.build(table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
+    sparse = bm25.search(_stored(spark, table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
     leg = lambda found, name, order: found.select(F.col("qid").cast("long").alias("qid"), F.lit(name).alias("leg"), F.lit(order).alias("leg_order"), "doc_id", "rank")
     return fusion.rrf(leg(sparse, "sparse", 1).unionByName(leg(_near(spark, sf_dir), "dense", 0)))
 
@@ -364,9 +394,9 @@ def _concepts(spark, sf_dir):
     return joined.select(F.col("l_orderkey").alias("paper_id"), F.xxhash64("p_name", "p_type").alias("concept_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.lit("other").alias("concept_type")).distinct()
 
 
-@query(CONCEPT_SQL[:-2] + " SELECT key, min(name) AS name, 'other' AS concept_type, count(DISTINCT paper_id) AS n_papers, min(paper_id) AS first_paper FROM rows_ GROUP BY 1")
+@query(CONCEPT_SQL[:-2] + " SELECT key, min(name) AS name, 'other' AS concept_type, count(DISTINCT paper_id) AS n_papers FROM rows_ GROUP BY 1")
 def concept_nodes(spark, sf_dir):
-    return concepts.nodes(_concepts(spark, sf_dir)).select("key", "name", "concept_type", F.size("papers").cast("long").alias("n_papers"), F.element_at("papers", 1).alias("first_paper"))
+    return concepts.nodes(_concepts(spark, sf_dir)).select("key", "name", "concept_type", "n_papers")
 
 
 @query(CONCEPT_SQL[:-2] + " SELECT a.key AS src, b.key AS dst, count(*) AS weight FROM (SELECT DISTINCT paper_id, key FROM rows_) a JOIN (SELECT DISTINCT paper_id, key FROM rows_) b ON a.paper_id = b.paper_id AND a.key < b.key GROUP BY 1, 2")
@@ -376,7 +406,7 @@ def concept_edges(spark, sf_dir):
 
 @query(
     CONCEPT_SQL
-    + """asked AS (SELECT p_partkey AS qid, lower(p_name || ' ' || p_type) AS key FROM part WHERE p_partkey % 20 = 0 AND p_partkey < 400),
+    + """asked AS (SELECT p_partkey AS qid, lower(p_name || ' ' || p_type) AS key FROM part WHERE p_partkey % 20 = 0),
 edges AS (SELECT a.key AS src, b.key AS dst, count(*) AS weight FROM (SELECT DISTINCT paper_id, key FROM rows_) a JOIN (SELECT DISTINCT paper_id, key FROM rows_) b ON a.paper_id = b.paper_id AND a.key <> b.key GROUP BY 1, 2),
 near AS (SELECT qid, dst AS key FROM (SELECT qid, dst, row_number() OVER (PARTITION BY qid, key ORDER BY weight DESC, dst) AS n FROM asked JOIN edges ON key = src) WHERE n <= 3),
 expanded AS (SELECT qid, key, max(own) AS own FROM (SELECT qid, key, 1 AS own FROM asked UNION ALL SELECT qid, key, 0 FROM near) GROUP BY 1, 2),
@@ -385,18 +415,46 @@ SELECT qid, paper_id, total, direct FROM counted QUALIFY row_number() OVER (PART
 )
 def concept_traverse(spark, sf_dir):
     rows = _concepts(spark, sf_dir)
-    links = rows.select(F.lower("name").alias("key"), "name", "paper_id")
-    asked = table(spark, sf_dir, "part").where("p_partkey % 20 = 0 and p_partkey < 400").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return concepts.traverse(links, concepts.edges(rows), asked).select("qid", "paper_id", "total", "direct")
+    asked = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return concepts.traverse(concepts.links(rows), concepts.edges(rows), asked).select("qid", "paper_id", "total", "direct")
+
+
+GRAPH_SQL = """, held AS (SELECT DISTINCT doc_id, unnest(ts) AS term FROM tokens), band AS (SELECT term FROM held GROUP BY 1 HAVING count(*) BETWEEN 5 AND 8),
+linked AS MATERIALIZED (SELECT doc_id, term FROM held SEMI JOIN band USING (term)),
+edges AS MATERIALIZED (SELECT a.term AS src, b.term AS dst, count(*) AS weight FROM linked a JOIN linked b ON a.doc_id = b.doc_id AND a.term <> b.term GROUP BY 1, 2),
+direct AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) SEMI JOIN band USING (term) WHERE length(term) >= 2),
+near AS (SELECT qid, dst AS term FROM (SELECT qid, dst, row_number() OVER (PARTITION BY qid, term ORDER BY weight DESC, dst) AS n FROM direct JOIN edges ON term = src) WHERE n <= 3),
+expanded AS (SELECT qid, term, max(own) AS own FROM (SELECT qid, term, 1 AS own FROM direct UNION ALL SELECT qid, term, 0 FROM near) GROUP BY 1, 2),
+graph AS (SELECT qid, doc_id, count(*) AS overlap, row_number() OVER (PARTITION BY qid ORDER BY sum(own) DESC, count(*) DESC, doc_id) AS rank FROM expanded JOIN linked USING (term) GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY rank <= 10)"""
+HYBRID_SQL = (
+    FUSED_SQL.replace(", legs AS", GRAPH_SQL + ", legs AS").replace("FROM dense)", "FROM dense UNION ALL SELECT qid, 'graph', 2, doc_id, rank FROM graph)")
+    .replace("FROM benchmark", "FROM (SELECT * FROM benchmark WHERE item_id % 20 = 0)")
+    .replace("FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0", "FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)")
+    + """, best AS (SELECT qid, doc_id, rrf, source, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id::VARCHAR) AS rank FROM fused QUALIFY rank <= 20),
+full_ AS (SELECT b.qid::VARCHAR AS qid, b.doc_id::VARCHAR AS doc_id, round(rrf, 6) AS rrf, source, b.rank, round(coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 0), 6) AS sim, overlap
+FROM best b LEFT JOIN embeddings e ON e.vec_id = b.doc_id LEFT JOIN embeddings q ON q.vec_id = b.qid LEFT JOIN graph g ON g.qid = b.qid AND g.doc_id = b.doc_id)"""
+)
 
 
-@query(FUSED_SQL.replace("benchmark", "(SELECT * FROM benchmark WHERE item_id % 20 = 0)").replace("FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0", "FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)") + " SELECT qid::VARCHAR AS qid, doc_id::VARCHAR AS doc_id, round(rrf, 6) AS rrf, source FROM fused QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id::VARCHAR) <= 20")
-def hybrid_search(spark, sf_dir):
+def _corpus(spark, sf_dir):
+    """The corpus with frequent terms as concepts, and the queries: every twentieth benchmark item."""
     docs, rows = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     asked = _asked(spark, sf_dir).where("qid % 20 = 0")
     near = asked.join(rows.withColumnRenamed("doc_id", "qid"), "qid").select("qid", "embedding")
-    corpus = retrieval.Corpus(docs, rows, bm25.build(docs))
-    return retrieval.hybrid(corpus, asked, near).select("qid", "doc_id", F.round("rrf", 6).alias("rrf"), "source")
+    terms = indexing.frequent_terms(docs, 5, 8).select("paper_id", F.xxhash64("term").alias("concept_id"), F.col("term").alias("name"), F.lit("other").alias("concept_type"))
+    root = f"{shared_folder(spark)}/quillwork-graph-{uuid.uuid4().hex}"
+    concepts.graph(terms).write(root)
+    return retrieval.Corpus(docs, rows, _stored(spark, docs), concepts.Graph.read(spark, root)), asked, near
+
+
+@query(HYBRID_SQL + " SELECT qid, doc_id, rrf, source, sim, overlap FROM full_")
+def hybrid_search(spark, sf_dir):
+    return retrieval.hybrid(*_corpus(spark, sf_dir)).select("qid", "doc_id", F.round("rrf", 6).alias("rrf"), "source", F.round("sim", 6).alias("sim"), "overlap")
+
+
+@query(HYBRID_SQL + " SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY full_.rank) AS rank, source, lang, n_chars FROM full_ JOIN documents d ON d.doc_id::VARCHAR = full_.doc_id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY full_.rank) <= 10".replace("SELECT qid, doc_id", "SELECT qid, full_.doc_id AS doc_id").replace("source, lang", "full_.source AS source, lang"))
+def search(spark, sf_dir):
+    return retrieval.search(*_corpus(spark, sf_dir)).select("qid", "doc_id", "rank", "source", "lang", "n_chars")
 
 
 PAIRS_SQL = """WITH pairs AS (SELECT u.conv_id * 1000 + u.turn AS qid, a.text AS predicted, u.text AS gold FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
@@ -461,19 +519,34 @@ def windows_todo(spark, sf_dir):
     return incremental.todo(cells, cells.where("category = 'click' and win_start < '2024-01-15'"))
 
 
-@query("SELECT doc_id, 64 AS dim, 'hashing' AS embedding_model FROM documents WHERE text <> ''")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    return [[float(t.count(c)) for c in LETTERS] for t in texts]
+
+
+@query("SELECT doc_id, [len(string_split(text, c)) - 1 FOR c IN " + str(list(LETTERS)) + "]::VARCHAR AS vector FROM documents WHERE regexp_matches(text, '[^\\s]')")
 def embed_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("abstract_clean"))
-    made = indexing.embed_pending(docs, indexing.hashing_embedder(64), "hashing", 64, key="doc_id")
-    return made.select("doc_id", F.size("embedding").alias("dim"), "embedding_model")
+    made = indexing.embed_pending(docs, _letters, "letters", len(LETTERS), key="doc_id")
+    return made.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ", "), F.lit("]")).alias("vector"))
+
+
+#: Names that the stand-in for a model finds; as many as a paper keeps.
+NAMES = ("the", "und", "les", "que", "estion", "license", "ein", "con")
+
+
+def _named(rows: list[tuple[str, str]]) -> str:
+    return json.dumps({"papers": [{"arxiv_id": i, "concepts": [n for n in NAMES if n in t.lower()]} for i, t in rows]})
 
 
-@query("WITH found AS (SELECT doc_id, unnest([w FOR w IN ['the', 'und', 'les'] IF contains(lower(substr(text, 1, 1200)), w)]) AS name FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) SELECT name, count(*) AS n_papers FROM found GROUP BY 1")
+@query("SELECT doc_id::VARCHAR AS paper_id, array_to_string(list_sort([w FOR w IN " + str(list(NAMES)) + " IF contains(lower(text), w)]), ',') AS names FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def concept_extraction(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("abstract"))
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"))
-    found = indexing.extract_concepts(docs, done, indexing.gazetteer({"the": "task", "und": "model", "les": "other"}))
-    return found.select(F.explode("concepts").alias("c")).groupBy(F.col("c.name").alias("name")).agg(F.count("*").alias("n_papers"))
+    found = indexing.extract_concepts(docs, done, _named)
+    return found.select("paper_id", F.array_join(F.array_sort(F.transform("concepts", lambda c: c["name"])), ",").alias("names"))
 
 
 @query("SELECT count(*) AS n_links, count(DISTINCT term) AS n_terms FROM (SELECT doc_id, term, count(*) OVER (PARTITION BY term) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS term FROM (SELECT doc_id, [w FOR w IN regexp_extract_all(lower(text), '[a-z0-9]+') IF NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "], w)] AS ts FROM documents))) WHERE df BETWEEN 5 AND 20")

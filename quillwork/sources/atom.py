@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import ordered_categories, strip_version
+from ..functions.text import ordered_categories, strip, strip_version
 
 RETRIED, ATTEMPTS, LONGEST_WAIT = {429, 503}, 5, 120.0
 ENTRY = "struct<id:string,title:string,summary:string,published:string,updated:string,author:array<struct<name:string>>,primary_category:struct<_term:string>,category:array<struct<_term:string>>,doi:string,journal_ref:string>"
@@ -62,6 +62,8 @@ class FeedReader(DataSourceReader):
         self.quota = int(options.get("quota", "1000000"))
         self.windows = [Window(c, *w.split(":")) for w in options["windows"].split(",") for c in options["categories"].split(",")]
         self.serial = options.get("serial", "true") == "true"
+        if not self.serial and self.gap > 0:
+            raise ValueError("tasks cannot keep a gap between each other's requests: serial=false needs gap=0, as for a mirror of one's own")
 
     def partitions(self):
         return [InputPartition(self.windows)] if self.serial else [InputPartition([w]) for w in self.windows]
@@ -104,16 +106,16 @@ def parse(pages: DataFrame, body: str = "body") -> DataFrame:
     rest = [c for c in pages.columns if c != body]
     feed = F.from_xml(F.col(body), FEED, {"ignoreNamespace": "true", "mode": "FAILFAST"})
     e = F.col("e")
-    none = lambda c: F.nullif(F.trim(c), F.lit(""))
+    none = lambda c: F.nullif(strip(c), F.lit(""))
     primary = e["primary_category"]["_term"]
     return pages.select(*rest, F.explode(feed["entry"]).alias("e")).select(
         *rest,
         strip_version(F.coalesce(e["id"], F.lit(""))).alias("arxiv_id"),
-        F.trim(F.replace(F.coalesce(e["title"], F.lit("")), F.lit("\n"), F.lit(" "))).alias("title"),
-        F.regexp_replace(F.coalesce(e["summary"], F.lit("")), r"^\s+|\s+$", "").alias("abstract"),
+        strip(F.replace(F.coalesce(e["title"], F.lit("")), F.lit("\n"), F.lit(" "))).alias("title"),
+        strip(F.coalesce(e["summary"], F.lit(""))).alias("abstract"),
         e["published"].alias("published"),
         e["updated"].alias("updated"),
-        F.filter(F.transform(F.coalesce(e["author"], F.array().cast("array<struct<name:string>>")), lambda a: F.trim(a["name"])), lambda n: n != "").alias("authors"),
+        F.filter(F.transform(F.coalesce(e["author"], F.array().cast("array<struct<name:string>>")), lambda a: strip(a["name"])), lambda n: n != "").alias("authors"),
         primary.alias("primary_category"),
         ordered_categories(primary, F.transform(e["category"], lambda c: c["_term"])).alias("categories"),
         none(e["doi"]).alias("doi"),

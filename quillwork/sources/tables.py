@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,5 +63,71 @@ def replace_table(df: DataFrame, root: str, version: int) -> str:
     return path
 
 
+class Versions:
+    """Tables that belong together, in versions under a root, for one writer and any readers.
+
+    A version is a small file that names the folder of each table. It is renamed into place once all its tables are
+    written, so readers never see half of one, nor parts of two. Tables that a write leaves out are carried over.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.hadoop = spark, root, spark._jvm.org.apache
+        self.folder = self._path()
+        self.fs = self.folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _path(self, *parts: str):
+        return self.hadoop.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def numbers(self) -> list[int]:
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.folder)] if self.fs.exists(self.folder) else []
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+    def _tables(self, number: int) -> dict[str, str]:
+        """The folder of each table of a version, below the root."""
+        stream = self.fs.open(self._path(f"v={number}"))
+        try:
+            return json.loads(self.hadoop.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def write(self, keep: int | None = None, **tables: DataFrame | Callable[[dict[str, DataFrame]], DataFrame]) -> int:
+        """The number of the new version. A table may be a function of the tables written before it. With ``keep``, only so
+        many versions stay: enough for readers that still hold an older one."""
+        numbers = self.numbers()
+        number, held, done = max(numbers, default=0) + 1, self._tables(numbers[-1]) if numbers else {}, {}
+        for name, table in tables.items():
+            held[name] = f"{name}/{number}-{uuid.uuid4().hex}"
+            (table(done) if callable(table) else table).write.parquet(f"{self.root}/{held[name]}")
+            done[name] = self.spark.read.parquet(f"{self.root}/{held[name]}")
+        draft = self._path(f".{uuid.uuid4().hex}")
+        stream = self.fs.create(draft)
+        stream.write(bytearray(json.dumps(held).encode()))
+        stream.close()
+        self.fs.rename(draft, self._path(f"v={number}"))
+        if keep:
+            self._clean(keep)
+        return number
+
+    def _clean(self, keep: int) -> None:
+        """Deletes older versions, and the folders that only they name."""
+        numbers = self.numbers()
+        named = [set(self._tables(n).values()) for n in numbers]
+        for n in numbers[:-keep]:
+            self.fs.delete(self._path(f"v={n}"), False)
+        for path in set().union(*named[:-keep]) - set().union(*named[-keep:]):
+            self.fs.delete(self._path(path), True)
+
+    def read(self) -> dict[str, DataFrame] | None:
+        """The tables of the last version, or None."""
+        numbers = self.numbers()
+        return {name: self.spark.read.parquet(f"{self.root}/{path}") for name, path in self._tables(numbers[-1]).items()} if numbers else None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only where none is named, its warehouse. All executors see both."""
+    context = spark.sparkContext
+    return context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

@@ -44,9 +44,15 @@ def complete(checkpoint: Column, category: Column, start: Column) -> Column:
     return F.struct(done.alias("done"), F.lit(None).cast("struct<category:string,date_window:string,offset:int>").alias("current"))
 
 
+def progress(checkpoint: Column, category: Column, start: Column, offset: Column) -> Column:
+    """A checkpoint with one window under way, ``offset`` rows of it done."""
+    current = F.struct(category.cast("string").alias("category"), start.cast("string").alias("date_window"), offset.cast("int").alias("offset"))
+    return F.struct(F.coalesce(checkpoint["done"], F.array().cast("array<string>")).alias("done"), current.alias("current"))
+
+
 def resume_offset(checkpoint: Column, category: Column, start: Column) -> Column:
     now = checkpoint["current"]
-    return F.when((now["category"] == category) & (now["date_window"] == start), now["offset"]).otherwise(F.lit(0))
+    return F.coalesce(F.when((now["category"] == category) & (now["date_window"] == start), now["offset"]), F.lit(0))
 
 
 def into_tables(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):

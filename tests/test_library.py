@@ -1,15 +1,23 @@
 """Functions and operators on small inputs."""
 
 import datetime as dt
+import html
 import io
+import json
+import os
+import re
+import shutil
+import subprocess
+import sys
+import unicodedata
 import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
 from quillwork.functions import dates, text
-from quillwork.operators import concepts, evaluation, fusion, stats, upsert
+from quillwork.operators import bm25, concepts, evaluation, fusion, stats, upsert
 from quillwork.plans import indexing, ingest, retrieval
-from quillwork.schemas import PAPER_AUTHORS, PAPER_CATEGORIES, PAPERS, cascade, check_dimension
+from quillwork.schemas import AUTHORS, CATEGORIES, PAPER_AUTHORS, PAPER_CATEGORIES, PAPERS, RAW_PAPERS, RUNS, cascade, check_dimension
 from quillwork.sources import atom, tables
 from quillwork.streaming import incremental
 
@@ -19,8 +27,11 @@ FEED = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:o="http://a9.com/-/spe
  title</title><summary>
  We use \\textbf{bold} &amp;amp; $x^2$
 </summary><published>2026-01-02T00:00:00Z</published><updated>2026-01-03T00:00:00Z</updated>
-<author><name> Ada  B </name></author><author><name>Émile C</name></author><author><name> </name></author>
-<x:primary_category term="cs.LG"/><category term="cs.CL"/><category term="cs.LG"/><x:doi> 10.1/x </x:doi><x:journal_ref>J 1</x:journal_ref></entry>
+<author><name>
+	Ada  B </name></author><author><name>Émile C</name></author><author><name> 
+	  </name></author>
+<x:primary_category term="cs.LG"/><category term="cs.CL"/><category term="cs.LG"/><x:doi>
+ 10.1/x	</x:doi><x:journal_ref>J 1</x:journal_ref></entry>
 <entry><id>2601.99999</id><title>Short</title><author><name>ada b</name></author><category term="cs.AI"/></entry></feed>"""
 
 
@@ -32,6 +43,7 @@ def test_cleaning(spark):
     assert value(spark, text.clean_abstract(F.lit("\\textbf{Deep}\u00a0nets &amp;  $x^2$\n \\(a\\) \\[b\\] \\alpha e\u0301 "))) == "Deep nets & [MATH] [MATH] [MATH] é"
     assert value(spark, text.clean_abstract(F.lit(None).cast("string"))) == ""
     assert len(value(spark, text.clean_abstract(F.lit("ab " * 2000)))) <= 2000
+    assert len(value(spark, text.clean_text(F.lit("ab " * 2000)))) == 5999
     assert value(spark, text.normalize_author(F.lit("  Ada \t B "))) == "ada b"
     assert value(spark, text.casefold(F.lit("Straße"))) == "strasse"
 
@@ -109,6 +121,20 @@ def test_fetching_tries_again():
         atom.fetch("u", 1, lambda url: (_ for _ in ()).throw(urllib.error.HTTPError("u", 404, "", {}, None)), waits.append)
 
 
+def test_feed_source_reads_windows_page_by_page(monkeypatch):
+    pages = {("cs.AI", 0): 2, ("cs.AI", 2): 1, ("cs.CL", 0): 0}
+    waits = []
+    monkeypatch.setattr(atom.time, "sleep", waits.append)
+    monkeypatch.setattr(atom, "fetch", lambda url, gap: url.encode())
+    monkeypatch.setattr(atom, "page_url", lambda base, category, first, last, start, size: "<entry>" * pages[category, start])
+    reader = atom.FeedReader({"url": "u", "gap": "2", "pageSize": "2", "quota": "5", "categories": "cs.AI,cs.CL", "windows": "2026-01-01:2026-01-07"})
+    (one,) = reader.partitions()
+    assert [(c, first, start) for c, first, _, start, _ in reader.read(one)] == [("cs.AI", "2026-01-01", 0), ("cs.AI", "2026-01-01", 2), ("cs.CL", "2026-01-01", 0)]
+    assert waits == [2.0, 2.0]
+    with pytest.raises(ValueError):
+        atom.FeedReader({"url": "u", "serial": "false", "categories": "a", "windows": "x:y"})
+
+
 def test_upsert_versions_and_repeats(spark):
     schema = "k int, v int, a string, b string"
     old = spark.createDataFrame([(1, 5, "o", "x"), (2, 5, "o", "x"), (3, 5, "o", "x")], schema)
@@ -121,6 +147,14 @@ def test_upsert_versions_and_repeats(spark):
     assert {r.k: r.a for r in twice.collect()} == {k: v[1] for k, v in rows.items()}
 
 
+def test_upsert_with_null_versions_and_keys(spark):
+    schema = "k int, v int, a string"
+    old = spark.createDataFrame([(1, None, "keep"), (2, 5, "keep"), (3, None, "keep"), (None, 1, "keep")], schema)
+    new = spark.createDataFrame([(2, None, "n"), (3, 4, "n"), (4, None, "n"), (None, 2, "n")], schema)
+    rows = {r.k: (r.v, r.a, r.action) for r in upsert.upsert(old, new, ["k"], "v").collect()}
+    assert rows == {1: (None, "keep", "unchanged"), 2: (5, "keep", "unchanged"), 3: (None, "keep", "unchanged"), 4: (None, "n", "insert"), None: (2, "n", "update")}
+
+
 def test_seed_and_update(spark):
     cats = spark.createDataFrame([("cs.AI", None), ("zz", "kept")], "code string, display_name string")
     seeded = {r.code: r.display_name for r in upsert.seed(cats, tables.seed_categories(spark), "code", "display_name").collect()}
@@ -152,17 +186,49 @@ def test_ingest_twice_changes_nothing(spark):
 
 
 def test_concept_responses(spark):
-    raw = spark.createDataFrame([('Sure: {"papers":[{"arxiv_id":"1","concepts":[{"name":" Graph  nets ","type":"MODEL"},"graph nets","BERT",{"name":"","type":"task"},{"name":"Odd","type":"zzz"}]},{"arxiv_id":"9","concepts":["x"]}]} done',), ("no json",)], "raw string")
-    got = concepts.parse_response(raw, spark.createDataFrame([("1",)], "paper_id string")).collect()
-    assert [(r.paper_id, [(c.name, c.type) for c in r.concepts]) for r in got] == [("1", [("Graph nets", "model"), ("BERT", "other"), ("Odd", "other")])]
-
-
-def test_traversal(spark):
-    rows = spark.createDataFrame([("p1", 1, "Graph Nets", "model"), ("p1", 2, "BERT", "model"), ("p2", 1, "Graph Nets", "model"), ("p2", 3, "QA", "task"), ("p3", 2, "BERT", "model")], "paper_id string, concept_id long, name string, concept_type string")
-    links = rows.select(F.lower("name").alias("key"), "name", "paper_id")
-    asked = spark.createDataFrame([("q", "about graph-nets and bert")], "qid string, text string")
-    got = concepts.traverse(links, concepts.edges(rows), asked).orderBy("rank").collect()
-    assert [(r.paper_id, r.total, r.direct) for r in got] == [("p1", 2, 2), ("p2", 2, 1)]
+    raw = spark.createDataFrame([('Sure: {"papers":[{"arxiv_id":"1","concepts":[{"name":" Graph  nets ","type":"MODEL"},"graph nets","BERT",{"name":"","type":"task"},{"name":"Stra\u00dfe","type":"zzz"},"STRASSE"]},{"arxiv_id":"9","concepts":["x"]},{"arxiv_id":"2","concepts":[]}]} done', ["1", "2"]), ("no json", ["3"])], "raw string, ids array<string>")
+    got = {r.paper_id: [(c.name, c.type) for c in r.concepts] for r in concepts.parse_response(raw).collect()}
+    assert got == {"1": [("Graph nets", "model"), ("BERT", "other"), ("Stra\u00dfe", "other")], "2": []}
+
+
+GRAPH = [("p1", 1, "Graph Nets", "model"), ("p1", 2, "BERT", "model"), ("p2", 1, "Graph Nets", "model"), ("p2", 3, "QA", "task"), ("p3", 2, "bert", "model"), ("p3", 4, "Stra\u00dfe", None), ("p1", 5, "STRASSE", None)]
+
+
+def test_traversal(spark, tmp_path):
+    rows = spark.createDataFrame(GRAPH, "paper_id string, concept_id long, name string, concept_type string")
+    nodes = {r.key: (r.name, r.concept_type, r.n_papers) for r in concepts.nodes(rows).collect()}
+    assert nodes == {"graph nets": ("Graph Nets", "model", 2), "bert": ("BERT", "model", 2), "qa": ("QA", "task", 1), "strasse": ("Stra\u00dfe", "other", 2)}
+    assert {(r.src, r.dst): r.weight for r in concepts.edges(rows).collect()}["bert", "strasse"] == 2
+    assert concepts.Graph.read(spark, f"{tmp_path}/graph") is None
+    concepts.graph(rows).write(f"{tmp_path}/graph")
+    graph = concepts.Graph.read(spark, f"{tmp_path}/graph")
+    asked = spark.createDataFrame([("q", "about graph-nets"), ("q", "and bert"), ("r", "q a bertha graph"), ("s", "")], "qid string, text string")
+    got = concepts.traverse(graph.links, graph.edges, asked).orderBy("rank").collect()
+    assert [(r.qid, r.paper_id, r.total, r.direct) for r in got] == [("q", "p1", 3, 2), ("q", "p2", 2, 1), ("q", "p3", 2, 1)]
+
+
+def test_versions(spark, tmp_path):
+    store = tables.Versions(spark, f"{tmp_path}/t")
+    assert store.read() is None and store.numbers() == []
+    assert store.write(a=spark.range(3), b=lambda done: done["a"].where("id > 0")) == 1
+    assert {k: v.count() for k, v in store.read().items()} == {"a": 3, "b": 2}
+    with pytest.raises(ZeroDivisionError):
+        store.write(a=spark.range(5), b=lambda done: 1 / 0)
+    assert store.numbers() == [1] and store.read()["a"].count() == 3  # half a version is none
+    old = store.read()["a"]
+    assert [store.write(keep=2, a=spark.range(7)), old.count(), store.write(keep=2, a=spark.range(8))] == [2, 3, 3] and store.numbers() == [2, 3]
+    assert {k: v.count() for k, v in store.read().items()} == {"a": 8, "b": 2} and not os.path.exists(old.inputFiles()[0].removeprefix("file://"))
+
+
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "graph nets and graphs"), (2, "nets"), (3, None), (4, "the")], "doc_id long, text string")
+    assert bm25.Index.read(spark, f"{tmp_path}/i") is None
+    stored, lazy = bm25.store(docs, f"{tmp_path}/i"), bm25.build(docs)
+    for name in ("postings", "terms", "corpus"):
+        assert sorted(map(str, getattr(stored, name).select(*getattr(lazy, name).columns).collect())) == sorted(map(str, getattr(lazy, name).collect()))
+    assert stored.corpus.first() == (4, 1.0)
+    with pytest.raises(ValueError):
+        bm25.search(stored, docs, 0)
 
 
 def test_evaluation(spark):
@@ -185,12 +251,37 @@ def test_asking(spark):
     assert none.answer == retrieval.NO_MATCH and not said and asked == ["q", "other"] and none.iterations == 2
 
 
+def test_answers_cite(spark):
+    kept = [{"doc_id": "2601.00001", "title": "T", "text": "x"}, {"doc_id": "d2", "title": "U", "text": "y"}]
+    assert retrieval.generated({"answer": " yes ", "cited": ["arXiv:2601.00001v2", "d2", "d2", "2601.99999"]}, kept) == ("yes", ["2601.00001", "d2"])
+    assert retrieval.generated("see [arXiv:2601.00001] and arXiv:2601.12345", kept)[1] == ["2601.00001"]
+    assert retrieval.generated({"answer": None, "cited": None}, kept) == ("", [])
+    assert retrieval.prompt(kept) == "[1] T\nx\n\n[2] U\ny" and "found nothing: b" in retrieval.rewrite_prompt("a", "b") and "[2] U" in retrieval.check_prompt("z", kept)
+
+
+def test_retrieval_without_some_legs(spark):
+    docs = spark.createDataFrame([("1", "graph nets", "own"), ("2", "graph", "own"), ("3", "other", "own")], "doc_id string, text string, source string")
+    vectors_ = spark.createDataFrame([("1", [1.0, 0.0]), ("3", [0.8, 0.6])], "doc_id string, embedding array<double>")
+    texts = spark.createDataFrame([("q", "graph nets")], "qid string, query string")
+    near = spark.createDataFrame([("q", [1.0, 0.0])], "qid string, embedding array<double>")
+    index = bm25.build(docs)
+    found = lambda corpus, *x: [(r.doc_id, r.rank, r.source, r.doc_source, r.sim) for r in retrieval.search(corpus, texts, *x).orderBy("rank").collect()]
+    assert found(retrieval.Corpus(docs, vectors_, index)) == [("1", 1, "sparse", "own", 0.0), ("2", 2, "sparse", "own", 0.0)]
+    assert found(retrieval.Corpus(docs, vectors_), near) == [("1", 1, "dense", "own", 1.0), ("3", 2, "dense", "own", pytest.approx(0.8))]
+    assert found(retrieval.Corpus(docs.where("doc_id <> '1'"), vectors_, index), near) == [("2", 1, "sparse", "own", 0.0), ("3", 2, "dense", "own", pytest.approx(0.8))]
+    assert found(retrieval.Corpus(docs, vectors_)) == []
+    with pytest.raises(ValueError):
+        retrieval.search(retrieval.Corpus(docs, vectors_), texts, top_k=0)
+
+
 def test_checkpoints(spark):
     c = spark.createDataFrame([((["cs.AI:2026-01-01"], ("cs.CL", "2026-01-08", 500)),)], "c struct<done:array<string>,current:struct<category:string,date_window:string,offset:int>>")
     offset = lambda cat, day: c.select(incremental.resume_offset(F.col("c"), F.lit(cat), F.lit(day)).alias("o")).first().o
     assert (offset("cs.CL", "2026-01-08"), offset("cs.AI", "2026-01-08")) == (500, 0)
     done = c.select(incremental.complete(F.col("c"), F.lit("cs.CL"), F.lit("2026-01-08")).alias("x")).first().x
     assert done.done == ["cs.AI:2026-01-01", "cs.CL:2026-01-08"] and done.current is None
+    under = spark.range(1).select(F.lit(None).cast("struct<done:array<string>,current:struct<category:string,date_window:string,offset:int>>").alias("c")).select(incremental.progress(F.col("c"), F.lit("cs.CL"), F.lit("2026-01-08"), F.lit(40)).alias("x")).first().x
+    assert under.done == [] and tuple(under.current) == ("cs.CL", "2026-01-08", 40)
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
@@ -223,23 +314,59 @@ def test_samples_and_missing_tables(spark, tmp_path):
     assert tables.read_or_empty(spark, f"{tmp_path}/none", "a int").count() == 0
 
 
+def embedder(dim):
+    return lambda texts: [[float(len(t) % (k + 2)) for k in range(dim)] for t in texts]
+
+
+def gazetteer(names):
+    return lambda rows: json.dumps({"papers": [{"arxiv_id": i, "concepts": [{"name": n, "type": t} for n, t in names.items() if n.lower() in text.lower()]} for i, text in rows]})
+
+
 def test_indexing(spark):
     papers = spark.createDataFrame([("1", "T", "graph nets", None, None, None, dt.datetime(2026, 1, 1)), ("2", "", "", None, None, None, dt.datetime(2026, 1, 1)), ("3", "U", "BERT", [1.0, 0.0, 0.0, 0.0], "hashing", dt.datetime(2026, 1, 2), dt.datetime(2026, 1, 1))], "arxiv_id string, title string, abstract_clean string, embedding array<float>, embedding_model string, embedding_updated_at timestamp, updated_at timestamp")
-    made = indexing.embed_pending(papers, indexing.hashing_embedder(4), "hashing", 4)
+    made = indexing.embed_pending(papers, embedder(4), "hashing", 4)
     assert [r.arxiv_id for r in made.collect()] == ["1"]
     stored = indexing.store_vectors(papers, made, now=F.lit(dt.datetime(2026, 2, 1)))
     assert {r.arxiv_id: r.embedding is not None for r in stored.collect()} == {"1": True, "2": False, "3": True}
-    assert indexing.embed_pending(stored, indexing.hashing_embedder(4), "hashing", 4).count() == 0
+    assert indexing.embed_pending(stored, embedder(4), "hashing", 4).count() == 0
     with pytest.raises(Exception, match="must give"):
-        indexing.embed_pending(papers, indexing.hashing_embedder(3), "hashing", 4).collect()
+        indexing.embed_pending(papers, embedder(3), "hashing", 4).collect()
     rows = papers.select(F.col("arxiv_id").alias("paper_id"), F.col("abstract_clean").alias("abstract"))
-    found = indexing.extract_concepts(rows, spark.createDataFrame([("9",)], "paper_id string"), indexing.gazetteer({"Graph Nets": "model", "nets": "bad"}))
+    found = indexing.extract_concepts(rows, spark.createDataFrame([("9",)], "paper_id string"), gazetteer({"Graph Nets": "model", "nets": "bad"}))
     got = {r.paper_id: [(c.name, c.type) for c in r.concepts] for r in found.collect()}
     assert got == {"1": [("Graph Nets", "model"), ("nets", "other")], "3": []}
     known, links = indexing.store_concepts(spark.createDataFrame([(4, "NETS", "nets")], "id long, name string, key string"), spark.createDataFrame([("1", 4)], "paper_id string, concept_id long"), found)
     assert {(r.id, r.name) for r in known.collect()} == {(4, "NETS"), (5, "Graph Nets")} and links.count() == 2
 
 
+def test_long_texts_in_pieces(spark):
+    said = "x" * 1150 + " Graph Nets " + "y" * 3000 + " nets " + "z" * 1300 + " BERT"
+    rows = spark.createDataFrame([("1", said), ("2", "BERT"), ("3", "")], "paper_id string, abstract string")
+    none = spark.createDataFrame([], "paper_id string")
+    get = lambda **o: {r.paper_id: [c.name for c in r.concepts] for r in indexing.extract_concepts(rows, none, gazetteer({"Graph Nets": "model", "nets": "task", "BERT": "model"}), **o).collect()}
+    assert get() == {"1": ["Graph Nets", "nets", "BERT"], "2": ["BERT"]}
+    assert get(limit=1200)["1"] == ["Graph Nets", "nets"]
+    assert value(spark, indexing.pieces(F.lit("abcdefgh"), 4, 2)) == ["abcd", "cdef", "efgh"] and value(spark, indexing.pieces(F.lit("a"), 4, 2)) == ["a"]
+
+
+def test_failing_embedders(spark):
+    papers = spark.createDataFrame([(str(k), "t", "w" * (k + 1)) for k in range(12)], "arxiv_id string, title string, abstract_clean string").coalesce(1)
+
+    def fails(texts):
+        if any(len(t) in (6, 7) for t in texts):
+            raise OSError("down")
+        return [[1.0, 0.0] for _ in texts]
+
+    made = {r.arxiv_id: (r.embedding is not None, r.embedding_model) for r in indexing.embed_pending(papers, fails, "m", 2, batch=2, wait=0.0).collect()}
+    assert len(made) == 12 and {k for k, v in made.items() if v == (False, None)} and all(v in ((True, "m"), (False, None)) for v in made.values())
+
+    def down(texts):
+        raise OSError("down")
+
+    with pytest.raises(Exception, match="3 batches in a row"):
+        indexing.embed_pending(papers, down, "m", 2, batch=2, wait=0.0).collect()
+
+
 def test_runs(spark):
     warnings = indexing.run_stages([("a", lambda: None), ("b", lambda: 1 / 0), ("c", lambda: None)])
     assert warnings == ["b: division by zero"]
@@ -247,3 +374,86 @@ def test_runs(spark):
     done = indexing.finish(runs, 1, "completed", warnings, F.lit(dt.datetime(2026, 1, 1, 0, 1)))
     assert done.first().error_message == warnings[0]
     assert indexing.status(done, F.current_timestamp()).first() == (1, "completed", 60, "2026-01-08")
+
+
+def feed(n, down_at=None):
+    """A feed of n papers for each category and week; the page at ``down_at`` fails once."""
+    calls = []
+
+    def fetch(spark, category, first, last, offset, size):
+        calls.append((category, first, offset, size))
+        if down_at == (category, first, offset) and calls.count(calls[-1]) == 1:
+            raise OSError("down")
+        rows = [(f"{category}-{first}-{k}" if k % 3 else f"both-{first}-{k}", f"T{k}", "abstract", f"{first}T00:00:00Z", f"{first}T0{'cs.CL' == category:d}:00:00Z", [f"Author {k % 4}", "Someone"], category, [category, "cs.LG"], None, None) for k in range(offset, min(n, offset + size))]
+        return spark.createDataFrame(rows, RAW_PAPERS)
+
+    return fetch, calls
+
+
+def test_a_run_goes_on_where_it_stopped(spark, tmp_path):
+    empty = {"papers": PAPERS, "authors": AUTHORS, "paper_authors": PAPER_AUTHORS, "categories": CATEGORIES, "paper_categories": PAPER_CATEGORIES, "runs": RUNS}
+    now = F.lit(dt.datetime(2026, 2, 1))
+
+    def outcome(root, down_at=None):
+        store = tables.Versions(spark, root)
+        store.write(**{k: spark.createDataFrame([], v) for k, v in empty.items()})
+        fetch, calls = feed(7, down_at)
+        go = lambda run_id: ingest.run(store, run_id, ["cs.AI", "cs.CL"], "2026-01-01", "2026-01-07", lambda *a: fetch(spark, *a), max_papers=7, page=3, stages=[("x", lambda: 1 / 0)], now=now).first()
+        if down_at:
+            with pytest.raises(OSError):
+                go(1)
+            half = store.read()["runs"].first()
+            assert half.status == "failed" and tuple(half.last_checkpoint.current) == down_at
+        done = go(1)
+        return done, {k: sorted(map(str, v.collect())) for k, v in store.read().items() if k != "runs"}, calls
+
+    plain, held, calls = outcome(f"{tmp_path}/a")
+    # 7 papers over two categories: 4 each, and no more than 7 in all; one paper is in both, and newer in the second
+    assert [c[3] for c in calls] == [3, 1, 3] and (plain.papers_fetched, plain.papers_inserted, plain.papers_updated) == (7, 6, 1)
+    assert (plain.status, plain.error_message, plain.last_checkpoint.done) == ("completed", "x: division by zero", ["cs.AI:2026-01-01", "cs.CL:2026-01-01"])
+    assert len(held["papers"]) == 6
+    again, same, more = outcome(f"{tmp_path}/b", ("cs.AI", "2026-01-01", 3))
+    assert same == held and (again.papers_fetched, again.papers_inserted, again.papers_updated) == (7, 6, 1) and len(more) == len(calls) + 1
+    store = tables.Versions(spark, f"{tmp_path}/a")
+    store.write(runs=store.read()["runs"].withColumn("status", F.lit("running")))
+    with pytest.raises(RuntimeError):
+        ingest.run(store, 2, ["cs.AI"], "2026-01-01", "2026-01-07", None, max_papers=1)
+    assert ingest.counted(store.read()["runs"], 1, papers_embedded=5).first().papers_embedded == 5
+
+
+def test_a_stream_into_keyed_tables(spark, tmp_path):
+    empty = {"papers": PAPERS, "authors": AUTHORS, "paper_authors": PAPER_AUTHORS, "categories": CATEGORIES, "paper_categories": PAPER_CATEGORIES}
+    store = tables.Versions(spark, f"{tmp_path}/t")
+    store.write(**{k: spark.createDataFrame([], v) for k, v in empty.items()})
+    spark.createDataFrame([(FEED,)], "body string").write.parquet(f"{tmp_path}/in")
+    now = F.lit(dt.datetime(2026, 2, 1))
+
+    def apply(df, n):
+        new = ingest.ingest(store.read(), atom.parse(df), now)
+        store.write(keep=2, **(new | {"papers": new["papers"].drop("action")}))
+
+    stream = lambda: spark.readStream.schema("body string").parquet(f"{tmp_path}/in")
+    incremental.into_tables(stream(), apply, f"{tmp_path}/c").awaitTermination(120)
+    rows = {k: sorted(map(str, v.collect())) for k, v in store.read().items()}
+    assert len(rows["papers"]) == 2
+    incremental.into_tables(stream(), apply, f"{tmp_path}/other").awaitTermination(120)  # the same files once more
+    assert {k: sorted(map(str, v.collect())) for k, v in store.read().items()} == rows
+
+
+def test_entities_of_whole_texts(spark, small):
+    rows = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r.cleaned for r in rows.select("page_id", text.clean_text(F.col("html")).alias("cleaned")).collect()}
+    for r in rows.collect():
+        said = html.unescape(r.html or "")
+        for pattern, new in text.LATEX_RULES:
+            said = re.sub(pattern, new.replace("$1", r"\1"), said)
+        assert got[r.page_id] == re.sub(r"\s+", " ", unicodedata.normalize("NFC", said)).strip(), r.page_id
+
+
+def test_the_rest_works_without_the_llm_folders(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for gone in (["corpus_pipeline.py"], []):
+        copy = tmp_path / f"copy{len(gone)}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", "*.json", "spark-warehouse", *gone))
+        said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q.startswith('op') or q == 'pipeline'])"], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=100)
+        assert said.stdout.split(" ", 1)[1].strip() == "[]", said.stderr[-500:]
