@@ -29,9 +29,9 @@ def against_heads(
     """
     sizes = scratch.cut(pairs.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     placed = scratch.cut(pairs.join(sizes, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
-    texts = holding(docs, "id", placed.select(F.explode(F.array("id", "head")).alias("id")), "id").select("row", "id", "text")
-    members = placed.join(texts, "id").select("head", "block", F.lit(True).alias("member"), "id", "row", "text")
-    heads = placed.select(F.col("head").alias("id"), "block").distinct().join(texts, "id").select(F.col("id").alias("head"), "block", F.lit(False).alias("member"), "id", "row", "text")
+    heads = placed.select(F.col("head").alias("id"), "head", "block", F.lit(False).alias("member")).distinct()
+    wanted = scratch.cut(placed.withColumn("member", F.lit(True)).unionAll(heads.select("id", "head", "block", "member")))
+    dealt = holding(docs, "id", wanted, "id").join(wanted, "id").select("head", "block", "member", "id", "row", "text")
     schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("head", pa.int64()), *((c, TYPES[c][1]) for c in columns)])
 
     def run(batches):
@@ -55,8 +55,7 @@ def against_heads(
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    dealt = members.unionAll(heads).repartition("head", "block").sortWithinPartitions("head", "block", "member")
-    return dealt.mapInArrow(run, ", ".join(["id long", "row long", "head long", *(f"{c} {TYPES[c][0]}" for c in columns)]))
+    return dealt.repartition("head", "block").sortWithinPartitions("head", "block", "member").mapInArrow(run, ", ".join(["id long", "row long", "head long", *(f"{c} {TYPES[c][0]}" for c in columns)]))
 
 
 def slices(doc: np.ndarray, n: int, *columns: np.ndarray) -> list[tuple[np.ndarray, ...]]:

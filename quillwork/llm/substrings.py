@@ -14,6 +14,8 @@ Equal texts are one document from the start: every later one repeats the first a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import chunks, fresh, grid, mix, shingles
 from .heads import against_heads, slices
-from .minhash import _blocks, _by_key, _sides
+from .minhash import _blocks
 from .storage import Scratch, holding, split
 
 #: Runs that overlap by 0.8 agree in one of eight functions with probability 0.999997: so often they share a bucket. Two must
@@ -30,8 +32,8 @@ from .storage import Scratch, holding, split
 WIDTH, HASHES, AGREE, WORDS, SIMILARITY = 5, 8, 2, 50, 0.8
 #: Bits of the filter that keeps most windows without a partner out of the shuffle, 4 MB whatever the input.
 KEY_BITS = 25
-#: Members of a bucket that one task compares pair by pair.
-BLOCK = 2048
+#: Members of a bucket that one task compares pair by pair; some 2 MB of tokens.
+BLOCK = 8192
 SPAN = "struct<start:int,end:int,source:long>"
 #: Stands for a null id: the last of all.
 NULL_ID = (1 << 63) - 1
@@ -53,9 +55,11 @@ def next_smaller(keys: np.ndarray, alone: np.ndarray) -> np.ndarray:
     to = np.where(alone, 0, np.arange(len(keys)))
     padded = np.concatenate([[np.uint64(0)], keys])
     active = np.flatnonzero(padded[to] > keys)
+    own, at = keys[active], to[active]
     while len(active):
-        to[active] = to[to[active] - 1]
-        active = active[padded[to[active]] > keys[active]]
+        to[active] = at = to[at - 1]
+        more = padded[at] > own
+        active, own, at = active[more], own[more], at[more]
     return to
 
 
@@ -81,7 +85,7 @@ def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[
     new[1:] = least_of[1:] != least_of[:-1]
     new[first[long]] = True
     new &= np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
-    at = np.unique((least_of[new] & low).astype(np.int64))
+    at = (least_of[new] & low).astype(np.int64)  # a least token stands nowhere before that of an earlier stretch
     if not len(at):
         return (np.zeros(0, np.int64),) * 3
     text = np.searchsorted(first, at, side="right") - 1
@@ -176,14 +180,15 @@ def passages(own: np.ndarray, other: np.ndarray, width: int, words: int, least:
     return [(s, e + width - 1) for s, e, _ in out if e - s + width - 1 >= words], exact
 
 
-def around(wanted: DataFrame, docs: DataFrame, width: int, reach: int) -> DataFrame:
-    """key, rep, open and bag of ``wanted`` (id, key, window, place, open, spans): the tokens of the window at most ``reach``
-    from the place. Of a number in ``bag``, 31 bits are the token and the last tells whether a word of it is unmarked.
+def around(wanted: DataFrame, known: DataFrame, docs: DataFrame, width: int, reach: int) -> DataFrame:
+    """key, all, rep, open and bag of ``wanted`` (id, key, window, place, open, all): the tokens of the window at most ``reach``
+    from the place. Of a number in ``bag``, 31 bits are the token and the last tells whether a word of it is outside the
+    spans of ``known`` (id, spans).
 
     A document of several texts gives the windows of each.
     """
-    listed = wanted.groupBy("id").agg(F.first("spans").alias("spans"), F.collect_list(F.struct("key", "window", "place", "open")).alias("windows"))
-    texts = holding(docs, "id", wanted.select("id"), "id").select("id", "text").join(listed, "id")
+    listed = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "window", "place", "open", "all")).alias("windows")).join(known.select("id", "spans"), "id", "left")
+    texts = holding(docs, "id", wanted.select("id"), "id").select("id", "text").join(listed, "id").select("id", "text", "spans", "windows")
 
     def run(batches):
         for batch in batches:
@@ -198,7 +203,7 @@ def around(wanted: DataFrame, docs: DataFrame, width: int, reach: int) -> DataFr
                         unmarked[first[d] + s["start"] : max(first[d] + s["start"], min(first[d] + s["end"] - width + 1, first[d + 1]))] = False
                 lists = part.column(3)
                 flat = lists.flatten()
-                key, window, place, open_ = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                key, window, place, open_, all_ = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
                 doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
                 p, left = first[doc] + place, first[doc] + (window >> 35)
                 right = left + (window >> 7 & ((1 << 28) - 1))
@@ -212,9 +217,9 @@ def around(wanted: DataFrame, docs: DataFrame, width: int, reach: int) -> DataFr
                 marks = ((values >> np.uint64(33)).astype(np.uint32) << np.uint32(1)) | unmarked
                 held = [marks[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
                 ids = part.column(0).take(pa.array(doc[kept]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[kept]), ids, pa.array(open_[kept]), pa.array(held, pa.binary())], names=["key", "rep", "open", "bag"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(all_[kept]), ids, pa.array(open_[kept]), pa.array(held, pa.binary())], names=["key", "all", "rep", "open", "bag"])
 
-    return texts.mapInArrow(run, "key long, rep long, open boolean, bag binary")
+    return texts.mapInArrow(run, "key long, all long, rep long, open boolean, bag binary")
 
 
 def sharing(scratch: Scratch, rows: DataFrame, need: int) -> DataFrame:
@@ -222,7 +227,7 @@ def sharing(scratch: Scratch, rows: DataFrame, need: int) -> DataFrame:
     have too few left to meet another one. For buckets too large to be compared pair by pair at once: each window is
     spread out into its tokens, so the work grows with the windows, and a line that all of a bucket share
     brings nobody together. An open window may repeat a token; as often as one can be repeated (``most``) may a token of the others count."""
-    rows = scratch.cut(rows.withColumn("no", F.xxhash64("key", "rep", "bag")))
+    rows = scratch.cut(rows.select("key", "rep", "open", "bag").withColumn("no", F.xxhash64("key", "rep", "bag")))
 
     def tokens(batches):
         for batch in batches:
@@ -258,76 +263,121 @@ def meeting(rows: DataFrame, need: int, block: int = BLOCK, strip: int = 64) ->
     copies gives one pair for each.
     """
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
+    def promising(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """For all groups of rows (key, i, j) at once: of each row its group and whether it takes part and seeks, then owner,
+        token and flag of the tokens that bring somebody together: those of several documents of a group."""
         rep, open_ = table["rep"].to_numpy(), table["open"].to_numpy(zero_copy_only=False)
-        left, right, apart = _sides(table)
-        bag = [np.frombuffer(x, np.uint32) for x in table["bag"].to_pylist()]
-        owner = np.repeat(np.arange(len(bag)), [len(x) for x in bag])
-        flat = np.concatenate(bag)
-        token, fresh_ = flat >> 1, flat & 1 == 1
-        # tokens of one document alone bring nobody together
-        _, word = np.unique(token, return_inverse=True)
-        lowest, highest = np.full(word.max() + 1, NULL_ID), np.zeros(word.max() + 1, np.int64) - NULL_ID
-        np.minimum.at(lowest, word, rep[owner])
-        np.maximum.at(highest, word, rep[owner])
-        common = (lowest < highest)[word]
-        many = np.bincount(owner[common], minlength=len(bag))
-        seeking = open_ & (many >= need) & (np.bincount(owner[common & fresh_], minlength=len(bag)) > 0)
-        different = np.bincount(np.unique(owner[common] * len(lowest) + word[common]) // len(lowest), minlength=len(bag))
+        ends = [table[c].to_numpy() for c in ("key", "i", "j")]
+        group = np.cumsum(np.concatenate([[False], np.any([k[1:] != k[:-1] for k in ends], axis=0)]))
+        bag = table["bag"].combine_chunks()
+        owner = np.repeat(np.arange(len(rep)), pc.binary_length(bag).to_numpy() // 4)
+        flat = np.frombuffer(b"".join(bag.to_pylist()), np.uint32)
+        code = group[owner].astype(np.uint64) << np.uint64(31) | (flat >> 1).astype(np.uint64)
+        by = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], code[by][1:] != code[by][:-1]])) if len(code) else np.zeros(0, np.int64)
+        held = rep[owner[by]]
+        several = np.minimum.reduceat(held, first) < np.maximum.reduceat(held, first) if len(first) else np.zeros(0, bool)
+        common = np.zeros(len(code), bool)
+        common[by] = np.repeat(several, np.diff(np.append(first, len(code))))
+        owner, flat = owner[common], flat[common]
+        many = np.bincount(owner, minlength=len(rep))
+        seeking = open_ & (many >= need) & (np.bincount(owner[flat & 1 == 1], minlength=len(rep)) > 0)
+        different = np.bincount((np.unique(owner.astype(np.uint64) << np.uint64(31) | (flat >> 1)) >> np.uint64(31)).astype(np.int64), minlength=len(rep))
         # an open window may repeat a token, as often as its tokens are more than different ones
-        enough = seeking | (different * ((many - different)[seeking].max(initial=0) + 1) >= need)
+        most = np.zeros(group[-1] + 1, np.int64)
+        np.maximum.at(most, group[seeking], (many - different)[seeking] + 1)
+        return group, seeking | (different * most[group] >= need), seeking, owner, flat
+
+    def compare(batches):
+        for table in _whole_keys(batches):
+            group, enough, seeking, owner, flat = promising(table)
+            use = enough[owner]
+            owner, flat = owner[use], flat[use]
+            cuts = np.searchsorted(owner, np.arange(len(group) + 1))
+            bounds = np.searchsorted(group, np.arange(group[-1] + 2))
+            sides = [table[c].to_numpy(zero_copy_only=False) for c in ("rep", "second")] + [table[c].to_numpy() for c in ("i", "j")]
+            for g in np.unique(group[seeking]):
+                low, high = bounds[g], bounds[g + 1]
+                tokens = slice(cuts[low], cuts[high])
+                yield within(*(x[low:high] for x in sides), seeking[low:high], enough[low:high], owner[tokens] - low, flat[tokens])
+
+    def within(rep, second, i, j, seeking, enough, owner, flat) -> pa.RecordBatch:
+        """The pairs of one group."""
+        left, right, apart = (np.flatnonzero(~second), np.flatnonzero(second), True) if i[0] != j[0] else (np.arange(len(rep)), np.arange(len(rep)), False)
+        fresh_ = flat & 1 == 1
+        _, word = np.unique(flat >> 1, return_inverse=True)
+        cuts = np.searchsorted(owner, np.arange(len(rep) + 1))
         out: set[tuple[int, int]] = set()
-        if seeking.any():
-            use = common & enough[owner]
-            cuts = np.searchsorted(owner[use], np.arange(len(bag) + 1))
-            word, fresh_ = word[use], fresh_[use]
-            same: dict[bytes, int] = {}
-            alone = np.zeros(len(bag), bool)
-            for k in np.argsort(rep, kind="stable"):
-                if enough[k]:
-                    first = same.setdefault(word[cuts[k] : cuts[k + 1]].tobytes(), k)
-                    alone[k] = first == k
-                    if first != k and seeking[k] and rep[first] != rep[k]:
-                        out.add((int(rep[k]), int(rep[first])))
-            for own, others in [(left, right), (right, left)][: 1 + apart]:
-                own, others = own[alone[own] & seeking[own]], others[alone[others]]
-                if not len(others):
+        same: dict[bytes, int] = {}
+        alone = np.zeros(len(rep), bool)
+        for k in np.argsort(rep, kind="stable"):
+            if enough[k]:
+                first = same.setdefault(word[cuts[k] : cuts[k + 1]].tobytes(), k)
+                alone[k] = first == k
+                if first != k and seeking[k] and rep[first] != rep[k]:
+                    out.add((int(rep[k]), int(rep[first])))
+        for own, others in [(left, right), (right, left)][: 1 + apart]:
+            own, others = own[alone[own] & seeking[own]], others[alone[others]]
+            if not len(others):
+                continue
+            theirs = np.concatenate([word[cuts[k] : cuts[k + 1]] for k in others])
+            whose = np.repeat(np.arange(len(others)), [cuts[k + 1] - cuts[k] for k in others])
+            for at in range(0, len(own), strip):
+                some = own[at : at + strip]
+                words = np.unique(np.concatenate([word[cuts[k] : cuts[k + 1]] for k in some]))
+                place = np.minimum(np.searchsorted(words, theirs), len(words) - 1)
+                hit = words[place] == theirs
+                n = np.bincount(whose[hit], minlength=len(others))
+                met = np.flatnonzero(n > 0)
+                if not len(met):
                     continue
-                theirs = np.concatenate([word[cuts[k] : cuts[k + 1]] for k in others])
-                whose = np.repeat(np.arange(len(others)), [cuts[k + 1] - cuts[k] for k in others])
-                for at in range(0, len(own), strip):
-                    some = own[at : at + strip]
-                    words = np.unique(np.concatenate([word[cuts[k] : cuts[k + 1]] for k in some]))
-                    place = np.minimum(np.searchsorted(words, theirs), len(words) - 1)
-                    hit = words[place] == theirs
-                    n = np.bincount(whose[hit], minlength=len(others))
-                    met = np.flatnonzero(n > 0)
-                    if not len(met):
-                        continue
-                    row = np.full(len(others), -1)
-                    row[met] = np.arange(len(met))
-                    held = np.zeros((len(met), len(words)), np.float32)
-                    held[row[whose[hit]], place[hit]] = 1
-                    often, news = (np.zeros((len(some), len(words)), np.float32) for _ in range(2))
-                    for r, k in enumerate(some):
-                        c = np.searchsorted(words, word[cuts[k] : cuts[k + 1]])
-                        np.add.at(often[r], c, 1)
-                        news[r, c[fresh_[cuts[k] : cuts[k + 1]]]] = 1
-                    fits = (often @ held.T >= need) & (news @ held.T > 0) & (rep[others[met]][None, :] < rep[some][:, None])
-                    for r in np.flatnonzero(fits.any(axis=1)):
-                        which = np.flatnonzero(fits[r])
-                        which = which[np.argsort(rep[others[met[which]]], kind="stable")]
-                        todo = (often[r] > 0).astype(np.float32)
-                        while True:
-                            gain = held[which] @ todo
-                            best = int(gain.argmax())
-                            if not gain[best]:
-                                break
-                            out.add((int(rep[some[r]]), int(rep[others[met[which[best]]]])))
-                            todo[held[which[best]] > 0] = 0
+                row = np.full(len(others), -1)
+                row[met] = np.arange(len(met))
+                held = np.zeros((len(met), len(words)), np.float32)
+                held[row[whose[hit]], place[hit]] = 1
+                often, news = (np.zeros((len(some), len(words)), np.float32) for _ in range(2))
+                for r, k in enumerate(some):
+                    c = np.searchsorted(words, word[cuts[k] : cuts[k + 1]])
+                    np.add.at(often[r], c, 1)
+                    news[r, c[fresh_[cuts[k] : cuts[k + 1]]]] = 1
+                fits = (often @ held.T >= need) & (news @ held.T > 0) & (rep[others[met]][None, :] < rep[some][:, None])
+                for r in np.flatnonzero(fits.any(axis=1)):
+                    which = np.flatnonzero(fits[r])
+                    which = which[np.argsort(rep[others[met[which]]], kind="stable")]
+                    todo = (often[r] > 0).astype(np.float32)
+                    while True:
+                        gain = held[which] @ todo
+                        best = int(gain.argmax())
+                        if not gain[best]:
+                            break
+                        out.add((int(rep[some[r]]), int(rep[others[met[which[best]]]])))
+                        todo[held[which[best]] > 0] = 0
         return pa.RecordBatch.from_arrays([pa.array([x[z] for x in out], pa.int64()) for z in (0, 1)], names=["id", "head"])
 
-    return _blocks(rows, ["rep", "open", "bag"], block).mapInArrow(lambda batches: _by_key(batches, compare), "id long, head long").distinct()
+    return _blocks(rows, ["rep", "open", "bag"], block).mapInArrow(compare, "id long, head long").distinct()
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
+    """The rows of sorted batches in tables of about ``rows`` rows, or of one group (key, i, j) that is larger."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        while batch.num_rows:
+            if n < rows:
+                take = min(rows - n, batch.num_rows)
+            else:  # up to the next group
+                last = [held[-1].column(k)[-1].as_py() for k in range(3)]
+                other = np.flatnonzero(np.any([batch.column(k).to_numpy() != last[k] for k in range(3)], axis=0))
+                take = int(other[0]) if len(other) else batch.num_rows
+            if take:
+                held.append(batch.slice(0, take))
+                n += take
+                batch = batch.slice(take)
+            elif n:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def _merged(spans: Column) -> Column:
@@ -400,39 +450,59 @@ def _found(scratch: Scratch, docs: DataFrame, words: int, width: int, hashes: in
         return against_heads(scratch, some, docs, prepare, compare, ["spans", "exact"])
 
     first = cut(verify(pairs))
-    ids = docs.groupBy("id").agg(F.min("row").alias("row"), F.max("row").alias("other"))
-    rest = cut(unsettled(scratch, shared, first, ids, pairs, width, tokens))
+    single = docs.groupBy("id").agg(F.min("row").alias("row"), F.max("row").alias("other")).where("row = other").select("id", "row")  # spans of an id with several texts settle nothing
+    lists = first.groupBy("id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("exact"))).alias("exact"))
+    known = lists.join(single, ["id", "row"]).select("id", "exact", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).cast("long").alias("source"))).alias("spans"))
+    known = cut(known.select("id", "exact", _merged(F.col("spans")).alias("spans")))
+    rest = unsettled(scratch, shared, known, pairs, width, tokens)
     scratch.drop(shared)
-    near = cut(around(rest, docs, width, tokens - 1))
+    near = cut(around(rest, known, docs, width, tokens - 1))
     scratch.drop(rest)
-    need, counts = int(least * tokens), lambda rows: rows.join(cut(rows.groupBy("key").agg(F.count("*").alias("all"))), "key")
-    near = counts(near)
-    hot = sharing(scratch, near.where(F.col("all") > block).drop("all"), need)
-    more = meeting(near.where(F.col("all") <= block), need, block).unionAll(meeting(counts(cut(hot)), need, block)).distinct()
+    need = int(least * tokens)
+    hot = cut(sharing(scratch, near.where(F.col("all") > block).drop("all"), need))
+    again = cut(hot.groupBy("key").agg(F.count("*").alias("all")))
+    more = meeting(near.where(F.col("all") <= block), need, block).unionAll(meeting(hot.join(again, "key"), need, block)).distinct()
     second = cut(verify(cut(more.join(pairs, ["id", "head"], "left_anti"))))
     return first.unionAll(second).select("id", "row", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("head").alias("source"))).alias("spans"))
 
 
-def unsettled(scratch: Scratch, shared: DataFrame, found: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, tokens: int) -> DataFrame:
-    """id, key, window, place, ``open`` and spans of the windows in ``shared`` (id, key, window, place) that are still to be
-    compared: those of buckets that have an open one after another document's.
+def unsettled(scratch: Scratch, shared: DataFrame, known: DataFrame, pairs: DataFrame, width: int, tokens: int) -> DataFrame:
+    """id, key, window, place, ``open`` and ``all`` of the windows in ``shared`` (id, key, window, place) that are still to be
+    compared: those of buckets that have an open one after another document's; ``all`` counts a bucket's unsettled ones.
 
-    A window is settled if all its tokens at most ``tokens`` - 1 from its place are in one run of ``found``, so in one earlier
-    document; else it is open if one of these tokens has an unmarked word. Spans of an id with different texts settle
-    nothing. Buckets of two documents that were compared are left out.
+    A window is settled if all its tokens at most ``tokens`` - 1 from its place are in one of the exact runs of ``known`` (id,
+    spans, exact), so in one earlier document; else it is open if one of these tokens has a word outside the spans.
+    Buckets of two documents that were compared are left out.
     """
-    single = ids.where("row = other").select("id", "row")
-    known = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("exact"))).alias("exact"))
-    known = scratch.cut(known.join(single, "row").select("id", "exact", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).cast("long").alias("source"))).alias("spans")).select("id", "exact", _merged(F.col("spans")).alias("spans")))
-    start, length = F.shiftright("window", 35), F.shiftright("window", 7).bitwiseAND((1 << 28) - 1)
-    low, high = F.greatest(start, F.col("place") - tokens + 1), F.least(start + length, F.col("place") + tokens)
-    within = lambda spans, end: F.coalesce(F.exists(spans, lambda s: (s["start"] <= low) & (s["end"] >= end)), F.lit(False))
-    state = shared.join(known, "id", "left").where(~within("exact", high)).select("id", "key", "window", "place", "spans", (~within("spans", high + width - 1)).alias("open"))
-    state = scratch.cut(state)
-    buckets = state.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"), F.max("id").alias("most"), F.count("*").alias("all")).where("last > least")
+
+    def within(lists: pa.ListArray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which of the ranges lie in a run of their row's list."""
+        n, flat = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), lists.flatten()
+        owner = np.repeat(np.arange(len(lists)), n)
+        start, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+        return np.bincount(owner[(start <= low[owner]) & (end >= high[owner])], minlength=len(lists)) > 0
+
+    def settle(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                window, place = part.column(2).to_numpy(), part.column(3).to_numpy().astype(np.int64)
+                start = window >> 35
+                low = np.maximum(start, place - tokens + 1)
+                high = np.minimum(start + (window >> 7 & ((1 << 28) - 1)), place + tokens)
+                rows = np.arange(len(window))
+                left = ~within(part.column(5), rows, low, high)
+                open_ = ~within(part.column(4), rows, low, high + width - 1)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(open_)], names=["id", "key", "window", "place", "open"]).filter(pa.array(left))
+
+    state = shared.select("id", "key", "window", "place").join(known, "id", "left").select("id", "key", "window", "place", "spans", "exact")
+    state = scratch.cut(state.mapInArrow(settle, "id long, key long, window long, place int, open boolean"))
+    buckets = state.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"), F.count("*").alias("all")).where("last > least")
     done = pairs.select(F.col("id").alias("last"), F.col("head").alias("least"), F.lit(True).alias("done"))
-    held = scratch.cut(buckets.join(done, ["last", "least"], "left").where("not (all = 2 and done is not null)").select("key", "last"))
-    return state.join(held, "key").where("id <= last").drop("last")
+    held = scratch.cut(buckets.join(done, ["last", "least"], "left").where("not (all = 2 and done is not null)").select("key", "last", "all"))
+    rows = scratch.cut(state.join(held, "key").where("id <= last").drop("last"))
+    scratch.drop(state)
+    return rows
 
 
 def mark(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
