@@ -43,3 +43,20 @@ def test_query_vectors_in_blocks(spark, small, monkeypatch):
     whole = sorted(map(tuple, dense.search(rows, asked, doc_id="vec_id").select("qid", "doc_id", "rank").collect()))
     monkeypatch.setattr(dense, "QUERY_BYTES", 1500)
     assert sorted(map(tuple, dense.search(rows, asked, doc_id="vec_id").select("qid", "doc_id", "rank").collect())) == whole
+
+
+def test_few_lists_of_clustered_vectors_recall_well(spark, small):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from quillwork.operators import dense
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    held = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = spark.createDataFrame([(r.vec_id, (np.array(r.embedding) / np.linalg.norm(r.embedding) * 4 + centres[r.vec_id % 40]).tolist()) for r in held], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    exact = {(r.qid, r.doc_id) for r in dense.search(rows, asked, 10, doc_id="vec_id").collect()}
+    index, centroids = dense.coarse_index(rows, 40, doc_id="vec_id")
+    some = {(r.qid, r.doc_id) for r in dense.probe(index, centroids, asked, 10, probes=4).collect()}
+    assert len(some & exact) >= 0.9 * len(exact)
+    assert index.count() == rows.count()
