@@ -27,9 +27,9 @@ from .heads import against_heads, slices
 from .minhash import _blocks
 from .storage import Scratch, holding, split
 
-#: Runs that overlap by 0.8 agree in one of eight functions with probability 0.999997: so often they share a bucket. Two must
+#: Runs that overlap by 0.8 agree in one of eight functions with probability 0.999997: so often they share a bucket. Four must
 #: agree for a first look at the bucket's first document; what that leaves unmarked is compared with the rest of the bucket.
-WIDTH, HASHES, AGREE, WORDS, SIMILARITY = 5, 8, 2, 50, 0.8
+WIDTH, HASHES, AGREE, WORDS, SIMILARITY = 5, 8, 4, 50, 0.8
 #: Bits of the filter that keeps most windows without a partner out of the shuffle, 4 MB whatever the input.
 KEY_BITS = 25
 #: Members of a bucket that one task compares pair by pair; some 2 MB of tokens.
@@ -63,16 +63,12 @@ def next_smaller(keys: np.ndarray, alone: np.ndarray) -> np.ndarray:
     return to
 
 
-def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """l, p and the end r + 1 of all windows of ``least`` tokens or more; ``first`` bounds the texts in ``values``.
-
-    Only the least tokens of stretches of ``least`` tokens have such windows, and the tokens that bound a window, its
-    parents in the Cartesian tree, have one themselves or end the text: so the trees are built over these few. The
-    leftmost of equal tokens is the least.
-    """
+def least_tokens(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the least tokens of all stretches of ``least`` tokens, and ``values`` made different by place; ``first`` bounds
+    the texts in ``values``. The leftmost of equal tokens is the least."""
     n = len(values)
     if n < least:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), values
     low = np.uint64((1 << n.bit_length()) - 1)
     keyed = values & ~low | np.arange(n, dtype=np.uint64)
     least_of = least_of_stretches(keyed, least)
@@ -85,9 +81,18 @@ def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[
     new[1:] = least_of[1:] != least_of[:-1]
     new[first[long]] = True
     new &= np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
-    at = (least_of[new] & low).astype(np.int64)  # a least token stands nowhere before that of an earlier stretch
+    return (least_of[new] & low).astype(np.int64), keyed  # a least token stands nowhere before that of an earlier stretch
+
+
+def compact_windows(values: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """l, p and the end r + 1 of all windows of ``least`` tokens or more.
+
+    Only the least tokens of stretches of ``least`` tokens have such windows, and the tokens that bound a window, its
+    parents in the Cartesian tree, have one themselves or end the text: so the trees are built over these few.
+    """
+    at, keyed = least_tokens(values, first, least)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3
+        return at, at, at
     text = np.searchsorted(first, at, side="right") - 1
     keys, starts = keyed[at], np.concatenate([[True], text[1:] != text[:-1]])
     before = next_smaller(keys, starts)
@@ -107,8 +112,8 @@ def keys_of(own: np.ndarray, fn: np.ndarray | int) -> np.ndarray:
     return mix(own + np.asarray(fn).astype(np.uint64)).view(np.int64)
 
 
-def windows(docs: DataFrame, width: int, hashes: int, tokens: int) -> DataFrame:
-    """id, key, window and place of the compact windows of ``docs`` (id, text).
+def windows(docs: DataFrame, width: int, hashes: int, tokens: int, bounds: bool = True) -> DataFrame:
+    """id, key, window and place of the compact windows of ``docs`` (id, text); without ``bounds``, id and key alone.
 
     ``window`` packs the start (28 bits), the length (28) and the hash function (7); ``key`` also tells functions apart;
     ``place`` is where the least token stands.
@@ -124,12 +129,16 @@ def windows(docs: DataFrame, width: int, hashes: int, tokens: int) -> DataFrame:
                 first = np.searchsorted(doc, np.arange(len(g) + 1))
                 for fn in range(hashes):
                     own = hashed(values, fn)
+                    if not bounds:
+                        p, _ = least_tokens(own, first, tokens)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[start + doc[p]]), pa.array(keys_of(own[p], fn))], names=["id", "key"])
+                        continue
                     l, p, r = compact_windows(own, first, tokens)
                     d = doc[p]
                     window = (l - first[d]) << 35 | (r - l) << 7 | fn
                     yield pa.RecordBatch.from_arrays([pa.array(ids[start + d]), pa.array(keys_of(own[p], fn)), pa.array(window), pa.array((p - first[d]).astype(np.int32))], names=["id", "key", "window", "place"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, key long, window long, place int")
+    return docs.select("id", "text").mapInArrow(run, "id long, key long, window long, place int" if bounds else "id long, key long")
 
 
 def share_stretch(pair: np.ndarray, window: np.ndarray, hashes: int, agree: int, tokens: int) -> np.ndarray:
@@ -168,7 +177,9 @@ def agreeing(links: DataFrame, hashes: int, agree: int, tokens: int) -> DataFram
 def passages(own: np.ndarray, other: np.ndarray, width: int, words: int, least: float, gap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Word spans of ``own`` tokens that occur in ``other``, over gaps of up to ``gap`` tokens as long as ``least`` of the span
     occurs; and the runs of tokens without a gap among them that are as long as a passage."""
-    found = np.concatenate([[False], np.isin(own, other), [False]])
+    found = np.zeros(len(own) + 2, bool)  # ``other`` is sorted
+    if len(other):
+        found[1:-1] = other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
     starts, ends = np.flatnonzero(found[1:] & ~found[:-1]), np.flatnonzero(found[:-1] & ~found[1:])
     out: list[list[int]] = []
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -431,20 +442,22 @@ def _found(scratch: Scratch, docs: DataFrame, words: int, width: int, hashes: in
     """id, row and spans of passages in ``docs`` (row, id, text), all of them different texts."""
     tokens, cut = words - width + 1, scratch.cut
     cuts = windows(docs, width, hashes, tokens)
-    heads = cut(cuts.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head"))
+    heads = cut(windows(docs, width, hashes, tokens, bounds=False).groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("key", "head"))
     shared = cut(holding(cuts, "key", heads, "key", KEY_BITS).join(heads, "key"))
     scratch.drop(heads)
     pairs = cut(agreeing(shared.where("id <> head"), hashes, agree, tokens))
 
     def compare(own, other):
-        spans, exact = passages(own[0], other[0], width, words, least, gap)
+        if len(other) == 1:  # a head, sorted when it is first compared
+            other.append(np.unique(other[0]))
+        spans, exact = passages(own[0], other[1], width, words, least, gap)
         runs = lambda found: [{"start": s, "end": e} for s, e in found]
         return {"spans": runs(spans), "exact": runs(exact)} if spans else None
 
     def prepare(texts):
         g = grid(texts)
         values, at = shingles(g.words(), g.doc, width)
-        return slices(g.doc[at], len(texts), values)
+        return [list(x) for x in slices(g.doc[at], len(texts), values)]
 
     def verify(some):
         return against_heads(scratch, some, docs, prepare, compare, ["spans", "exact"])
@@ -475,28 +488,35 @@ def unsettled(scratch: Scratch, shared: DataFrame, known: DataFrame, pairs: Data
     Buckets of two documents that were compared are left out.
     """
 
-    def within(lists: pa.ListArray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Which of the ranges lie in a run of their row's list."""
-        n, flat = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), lists.flatten()
-        owner = np.repeat(np.arange(len(lists)), n)
-        start, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
-        return np.bincount(owner[(start <= low[owner]) & (end >= high[owner])], minlength=len(lists)) > 0
+    def within(lists: pa.ListArray, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which of the ranges lie in a run of their document's list: how far do the runs reach that start before it?"""
+        flat = lists.flatten()
+        owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).astype(np.int64) << 32
+        if not len(owner):
+            return np.zeros(len(low), bool)
+        start, end = (owner + flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+        by = np.argsort(start, kind="stable")
+        reach = np.maximum.accumulate(end[by])
+        at = np.searchsorted(start[by], (doc << 32) + low, side="right") - 1
+        return (at >= 0) & (reach[at] >= (doc << 32) + high)
 
     def settle(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                window, place = part.column(2).to_numpy(), part.column(3).to_numpy().astype(np.int64)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                lists = part.column(1)
+                doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()).astype(np.int64)
+                key, window, place = (lists.flatten().field(k).to_numpy() for k in range(3))
                 start = window >> 35
-                low = np.maximum(start, place - tokens + 1)
-                high = np.minimum(start + (window >> 7 & ((1 << 28) - 1)), place + tokens)
-                rows = np.arange(len(window))
-                left = ~within(part.column(5), rows, low, high)
-                open_ = ~within(part.column(4), rows, low, high + width - 1)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(open_)], names=["id", "key", "window", "place", "open"]).filter(pa.array(left))
-
-    state = shared.select("id", "key", "window", "place").join(known, "id", "left").select("id", "key", "window", "place", "spans", "exact")
-    state = scratch.cut(state.mapInArrow(settle, "id long, key long, window long, place int, open boolean"))
+                low = np.maximum(start, place.astype(np.int64) - tokens + 1)
+                high = np.minimum(start + (window >> 7 & ((1 << 28) - 1)), place.astype(np.int64) + tokens)
+                left = np.flatnonzero(~within(part.column(3), doc, low, high))
+                open_ = ~within(part.column(2), doc[left], low[left], high[left] + width - 1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[left])), *(pa.array(x[left]) for x in (key, window, place)), pa.array(open_)], names=["id", "key", "window", "place", "open"])
+
+    # a document's windows and runs come together once, however many windows it has
+    listed = shared.groupBy("id").agg(F.collect_list(F.struct("key", "window", "place")).alias("windows")).join(known, "id", "left")
+    state = scratch.cut(listed.select("id", "windows", "spans", "exact").mapInArrow(settle, "id long, key long, window long, place int, open boolean"))
     buckets = state.groupBy("key").agg(F.min("id").alias("least"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"), F.count("*").alias("all")).where("last > least")
     done = pairs.select(F.col("id").alias("last"), F.col("head").alias("least"), F.lit(True).alias("done"))
     held = scratch.cut(buckets.join(done, ["last", "least"], "left").where("not (all = 2 and done is not null)").select("key", "last", "all"))
