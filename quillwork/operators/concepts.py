@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import casefold, concept_form, mentions
+from ..functions.text import casefold, concept_form, concept_name, json_object, mentions
 from ..sources.tables import Versions
 from .stats import cooccurrence
 
@@ -94,17 +94,17 @@ def parse_response(raw: DataFrame, column: str = "raw", ids: str = "ids") -> Dat
     Unknown papers, unnamed or overlong concepts and repeats by case folding are left out, types outside ``TYPES`` become
     "other", and a paper keeps its first ``PER_PAPER`` concepts. Concepts may be objects or plain strings.
     """
-    body = F.from_json(F.regexp_extract(column, r"(?s)\{.*\}", 0), "struct<papers:array<struct<arxiv_id:string,concepts:array<string>>>>")
+    body = json_object(F.col(column), "struct<papers:array<struct<arxiv_id:string,concepts:array<string>>>>")
     papers = raw.select(F.col(ids).alias("ids"), F.explode(body["papers"]).alias("p")).where(F.array_contains("ids", F.col("p.arxiv_id")))
     known = papers.select(F.col("p.arxiv_id").alias("paper_id"), F.col("p.concepts").alias("cs"))
 
     def concept(c):
         parsed = F.from_json(c, "struct<name:string,type:string>")
-        name = F.trim(F.regexp_replace(F.coalesce(parsed["name"], F.when(~F.startswith(F.trim(c), F.lit("{")), c)), r"(?U)\s+", " "))
+        name = concept_name(F.coalesce(parsed["name"], F.when(~F.startswith(F.trim(c), F.lit("{")), c)))
         kind = F.lower(parsed["type"])
         return F.struct(name.alias("name"), F.when(kind.isin(*TYPES), kind).otherwise("other").alias("type"))
 
-    named = known.select("paper_id", F.filter(F.transform("cs", concept), lambda c: c["name"].isNotNull() & (c["name"] != "") & (F.length(c["name"]) <= 80)).alias("cs"))
+    named = known.select("paper_id", F.filter(F.transform("cs", concept), lambda c: c["name"].isNotNull()).alias("cs"))
     folded = named.select("paper_id", F.posexplode("cs").alias("at", "c")).withColumn("key", casefold(F.col("c.name")))
     first = folded.groupBy("paper_id", "key").agg(F.min(F.struct("at", "c")).alias("f")).groupBy("paper_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
     kept = first.select("paper_id", F.slice(F.transform("fs", lambda f: f["c"]), 1, PER_PAPER).alias("concepts"))

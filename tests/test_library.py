@@ -15,7 +15,7 @@ import urllib.error
 import pytest
 from pyspark.sql import functions as F
 from quillwork.functions import dates, text
-from quillwork.operators import bm25, concepts, evaluation, fusion, stats, upsert
+from quillwork.operators import bm25, concepts, evaluation, fusion, sampling, stats, upsert
 from quillwork.plans import indexing, ingest, retrieval
 from quillwork.schemas import AUTHORS, CATEGORIES, PAPER_AUTHORS, PAPER_CATEGORIES, PAPERS, RAW_PAPERS, RUNS, cascade, check_dimension
 from quillwork.sources import atom, tables
@@ -86,6 +86,23 @@ def test_bands_and_fusion(spark):
     assert found[0].rrf == pytest.approx(1 / 62 + 1 / 61)
 
 
+def test_even_sample_with_a_cap(spark):
+    rows = spark.createDataFrame([(w, c, k) for w in (1, 2) for c in ("a", "b") for k in range(5)], "w int, c string, k int")
+    got = lambda *x: [(r.w, r.c, r.k) for r in sampling.even_sample(rows, ["w", "c"], ["k"], *x).orderBy("w", "c", "k").collect()]
+    assert got(2) == [(w, c, k) for w in (1, 2) for c in ("a", "b") for k in (0, 1)]
+    assert got(2, 5) == got(2)[:5] and got(2, 0) == [] and sampling.quota(5, 2, 2) == 2
+    with pytest.raises(ValueError):
+        sampling.even_sample(rows, ["w"], ["k"], 0)
+
+
+def test_small_columns(spark):
+    assert value(spark, text.abstract_url(F.lit("2601.1"))) == "https://arxiv.org/abs/2601.1"
+    assert value(spark, dates.elapsed_seconds(F.lit(dt.datetime(2026, 1, 1)), F.lit(dt.datetime(2026, 1, 1, 0, 1)))) == 60
+    assert value(spark, text.concept_name(F.lit(" a \n b "))) == "a b" and value(spark, text.concept_name(F.lit("x" * 81))) is None
+    assert value(spark, text.json_object(F.lit('so: {"a": 1}.'), "a int")).a == 1
+    assert value(spark, text.strip(F.lit("\u2003\n x \t\u00a0"))) == "x"
+
+
 def test_limits_are_checked():
     with pytest.raises(ValueError):
         stats._limit(0, 100)
