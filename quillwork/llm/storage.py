@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows (Spark bounds them by bytes besides) for what runs meanwhile; then the session is
+    as it was. A smaller setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(held)) if int(held) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 class Scratch:
     """Tables that cut the lineage of a job of many steps, so that a lost executor costs one step.
 
@@ -34,7 +49,8 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         """``df``, written as Parquet and read again."""
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -1,5 +1,6 @@
 """Quality rules, near-duplicates, passages and decontamination against plain versions."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -294,6 +295,26 @@ def test_decontamination(spark, documents):
     assert not decontaminate.decontaminate(frame(spark, rows), bench.limit(0)).where("contaminated").count()
 
 
+def test_groups_stay_whole():
+    keys = [1] * 3 + [2] * 9 + [3] + [4] * 2 + [5] * 6
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array([0] * (b - a)), pa.array([0] * (b - a)), pa.array(range(a, b))], names=["key", "i", "j", "n"]) for a, b in ((0, 2), (2, 2), (2, 7), (7, 12), (12, 21))]
+    for rows in (1, 2, 5, 100):
+        tables = list(substrings._whole_keys(iter(batches), rows))
+        assert [n for t in tables for n in t["n"].to_pylist()] == list(range(21))
+        assert all(a["key"][-1] != b["key"][0] for a, b in zip(tables[:-1], tables[1:], strict=True))
+    assert list(substrings._whole_keys(iter([]))) == []
+
+
+def test_scratch_leaves_the_session_and_deletes(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with Scratch(spark) as scratch:
+        a, b = scratch.cut(spark.range(3)), scratch.cut(spark.range(4))
+        scratch.keep(b)
+        gone = a.inputFiles()[0].removeprefix("file://")
+    assert spark.conf.get(key) == before and b.count() == 4 and not os.path.exists(gone)
+
+
 def test_grid_takes_sliced_and_null_texts():
     texts = pa.array(["skip", "a  b", None, "", " c\n"]).slice(1)
     g = grid(texts)
