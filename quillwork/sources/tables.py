@@ -56,13 +56,6 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def replace_table(df: DataFrame, root: str, version: int) -> str:
-    """Writes a version of a table beside the older ones; readers move to it when the caller stores the path."""
-    path = f"{root}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
 class Versions:
     """Tables that belong together, in versions under a root, for one writer and any readers.
 

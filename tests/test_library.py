@@ -329,6 +329,9 @@ def test_samples_and_missing_tables(spark, tmp_path):
     got = tables.samples(spark, f"{tmp_path}/s.jsonl").orderBy("qid").collect()
     assert [(r.question, r.golds, r.gold_citations) for r in got] == [("q", ["a"], ["x"]), ("p", ["b", "c"], [])]
     assert tables.read_or_empty(spark, f"{tmp_path}/none", "a int").count() == 0
+    tables.write_json(spark.createDataFrame([(1, ["x"])], "a int, b array<string>"), f"{tmp_path}/out")
+    tables.write_json(spark.createDataFrame([(2, ["y", None])], "a int, b array<string>"), f"{tmp_path}/out")
+    assert [tuple(r) for r in spark.read.schema("a int, b array<string>").json(f"{tmp_path}/out").collect()] == [(2, ["y", None])]
 
 
 def embedder(dim):
