@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, links, minhash, oracles, packing, prefix_counts, quality, sharding, substrings
+from . import bpe, chat, decontaminate, links, minhash, oracles, packing, prefix_counts, quality, runs, sharding, substrings
 
 #: The contract's rules, host and path to verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -75,8 +75,28 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """The contract's texts: in a tenth of the documents, the words from a place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    listed = docs.withColumn("h", h).withColumn("words", F.filter(F.split(F.when(F.col("h") % 10 == 0, F.col("text")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    n = F.size("words")
+    sized = listed.withColumn("n", n).withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.nullif("n", F.lit(0))).cast("int")))
+    rest = F.col("n") - F.col("a")
+    period = (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, period), F.ceil(rest / period).cast("int"))), 1, rest)
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", 1, F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_planted(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ahead = lambda a, b: F.when(a["length"] * b["period"] > b["length"] * a["period"], -1).when(a["length"] * b["period"] < b["length"] * a["period"], 1).when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["period"] - b["period"]).cast("int"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.get(F.array_sort("runs", ahead), 0).alias("best"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_shard, op3_chat, op4_prefix_counts, op5_decontaminate, op6_substrings, op7_quality, op8_links, op9_pack, op10_bpe)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_shard, op3_chat, op4_prefix_counts, op5_decontaminate, op6_substrings, op7_quality, op8_links, op9_pack, op10_bpe, op11_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
