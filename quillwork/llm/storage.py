@@ -60,6 +60,12 @@ class Scratch:
         self.paths.pop(id(df))
         return df
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df``, computed and held as a checkpoint, which reads no table of this scratch. Spark's cleaner deletes checkpoints that
+        nothing refers to if the session asks for that (spark.cleaner.referenceTracking.cleanCheckpoints). Without a
+        checkpoint folder it is a written table that stays."""
+        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else self.keep(self.cut(df))
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         self._delete(*(self.paths.pop(id(t)) for t in tables))
