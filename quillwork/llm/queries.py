@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, links, minhash, oracles, packing, prefix_counts, quality, runs, sharding, substrings, vector_tree
+from . import bpe, chat, decontaminate, links, minhash, negatives, oracles, packing, prefix_counts, quality, runs, sharding, substrings, vector_tree
 
 #: The contract's rules, host and path to verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -95,14 +95,20 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vector_tree.search(rows, rows.where("vec_id % 20 = 0"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_shard, op3_chat, op4_prefix_counts, op5_decontaminate, op6_substrings, op7_quality, op8_links, op9_pack, op10_bpe, op11_runs, op13_vector_tree)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_shard, op3_chat, op4_prefix_counts, op5_decontaminate, op6_substrings, op7_quality, op8_links, op9_pack, op10_bpe, op11_runs, op12_negatives, op13_vector_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": oracles.CHAT, "op7_quality": oracles.QUALITY, "op8_links": oracles.url_filter(RULES)}
+    return {"op3_chat": oracles.CHAT, "op7_quality": oracles.QUALITY, "op8_links": oracles.url_filter(RULES), "op12_negatives": oracles.NEGATIVES}
