@@ -49,8 +49,9 @@ def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order:
     return target.unionByName(new.join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
-def with_ids(target: DataFrame, source: DataFrame, key: str, name: str, order: list[str], id_: str = "id") -> DataFrame:
+def with_ids(target: DataFrame, source: DataFrame, key: str, name: str, order: list[str], id_: str = "id", above: int | None = None) -> DataFrame:
     """``target`` (id, name, key) with new keys of ``source`` under the next free ids, in key order; the first spelling stays.
+    ``above``: the highest id given so far, where ``target`` is only a part of the table.
 
     Ids come from counts per hash range of the new keys and a rank within each, so no task ranks all of them.
     """
@@ -58,7 +59,8 @@ def with_ids(target: DataFrame, source: DataFrame, key: str, name: str, order: l
     new = first.join(target.select(key), key, "left_anti").withColumn("_part", F.pmod(F.xxhash64(key), F.lit(1024)))
     counts = new.groupBy("_part").count()
     bases = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))  # 1024 rows at most
-    top = target.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("_top"))
+    highest = F.coalesce(F.max(id_), F.lit(0)) if above is None else F.lit(above)
+    top = target.agg(highest.cast("long").alias("_top"))
     ranked = new.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
     given = ranked.join(F.broadcast(bases), "_part").crossJoin(F.broadcast(top))
     return target.unionByName(given.select((F.col("_top") + F.col("_base") + F.col("_rank")).cast("long").alias(id_), name, key))

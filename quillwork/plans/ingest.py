@@ -7,11 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.dates import parse, windows
 from ..functions.text import clean_abstract, normalize_author, primary_category
 from ..operators import upsert
 from ..operators.sampling import quota
-from ..sources.tables import Versions
+from ..sources.tables import Draft, Versions
 from ..streaming.incremental import complete, progress, resume_offset, window_key
 from .indexing import finish, run_stages
 
@@ -47,6 +48,49 @@ def ingest(tables: dict[str, DataFrame], raw: DataFrame, now=None) -> dict[str,
     }
 
 
+#: The star model's keyed tables: schema and the key whose hash deals rows to buckets.
+KEYED = {
+    "categories": (schemas.CATEGORIES, ["code"]),
+    "papers": (schemas.PAPERS, ["arxiv_id"]),
+    "authors": (schemas.AUTHORS, ["name_normalized"]),
+    "paper_authors": (schemas.PAPER_AUTHORS, ["paper_id"]),
+    "paper_categories": (schemas.PAPER_CATEGORIES, ["paper_id"]),
+}
+
+
+def create(store: Versions, bucket_rows: int = 100_000) -> int:
+    """The star model's empty tables as a version: keyed tables in buckets, the log of runs as one."""
+    with store.begin() as draft:
+        for name, (schema, keys) in KEYED.items():
+            draft.create(name, schema, keys, bucket_rows)
+        draft.put("runs", store.spark.createDataFrame([], schemas.RUNS))
+        return draft.publish()
+
+
+def merge(draft: Draft, raw: DataFrame, now=None) -> dict[str, int]:
+    """``ingest`` of a batch into a draft's tables, and how many papers were inserted, updated and unchanged.
+
+    Only buckets that the batch's keys fall into are read and written. New links are checked: a paper or an author that they
+    name and the draft lacks is an error.
+    """
+    now = F.current_timestamp() if now is None else now
+    raw = raw.where("arxiv_id is not null and arxiv_id <> ''")
+    new = papers_from(raw, now)
+    codes = raw.select(F.explode("categories").alias("code")).unionAll(new.select(F.col("primary_category_code").alias("code"))).select("code", F.lit(None).cast("string").alias("display_name"))
+    draft.merge("categories", codes, lambda old, batch: upsert.insert_ignore(old, batch, ["code"], ["code"]))
+    named = raw.select("arxiv_id", F.posexplode("authors").alias("position", "name")).withColumn("name_normalized", normalize_author(F.col("name")))
+    top = draft.notes("authors").get("top")
+    authors = draft.merge("authors", named, lambda old, batch: upsert.with_ids(old, batch, "name_normalized", "name", ["arxiv_id", "position"], above=top))
+    highest = authors.agg(F.max("id").alias("top")).first().top
+    draft.notes("authors")["top"] = max(top or 0, highest or 0)
+    papers = draft.merge("papers", new, lambda old, batch: upsert.upsert(old, batch, ["arxiv_id"], "updated_date", ("published_date", "created_at")))
+    links = upsert.author_links(raw, authors, normalize_author)
+    draft.merge("paper_authors", links, lambda old, batch: upsert.insert_ignore(old, batch, ["paper_id", "author_id"], ["position"]))
+    draft.merge("paper_categories", upsert.category_links(raw), lambda old, batch: upsert.insert_ignore(old, batch, ["paper_id", "category_code"], ["is_primary"]))
+    draft.check(orphans=schemas.orphans(links, papers, "paper_id", "arxiv_id"), repeated=schemas.duplicate_keys(papers, "arxiv_id"))
+    return draft.counts("papers")
+
+
 def start_run(runs: DataFrame, run_id: int, categories: list[str], first: str, last: str, now=None) -> DataFrame:
     """The log (``schemas.RUNS``) with a new running run; a run that is there goes on from its checkpoint."""
     now = F.current_timestamp() if now is None else now
@@ -82,7 +126,7 @@ def run(
 
     ``fetch(category, win_start, win_end, offset, size)`` gives rows of ``schemas.RAW_PAPERS``, in feed order. Every category
     of every week has the same quota, so that ``max_papers``, the most rows fetched in a run, samples the whole range.
-    After every page the tables, the counters and the checkpoint are one new version of ``store``: whatever fails,
+    A page reads and writes the buckets that its keys fall into (tables of ``create``). After every page the tables, the counters and the checkpoint are one new version of ``store``: whatever fails,
     the next call with the same ``run_id`` goes on at that offset, and no page counts twice. A failed fetch ends the run as
     failed. ``stages`` run at the end; their failures are warnings in the log.
     """
@@ -91,20 +135,22 @@ def run(
     weeks = [(str(w.win_start), str(w.win_end)) for w in windows(span).orderBy("win_start").collect()]  # the weeks of a range
     quota_ = quota(max_papers, len(weeks), len(categories))
 
-    def save(change: Callable[[DataFrame], DataFrame], **tables: DataFrame) -> dict[str, DataFrame]:
-        store.write(keep=2, **tables, runs=change(store.read()["runs"]))
-        return store.read()
+    def save(change: Callable[[DataFrame], DataFrame], draft: Draft | None = None) -> DataFrame:
+        with draft or store.begin() as draft:
+            runs = draft.put("runs", change(draft.read("runs")))
+            draft.publish(keep=2)
+        return runs
 
     def mark(column, **more: int) -> Callable[[DataFrame], DataFrame]:
         mine = F.col("id") == run_id
         return lambda runs: counted(runs, run_id, **more).withColumn("last_checkpoint", F.when(mine, column).otherwise(F.col("last_checkpoint")))
 
-    tables = save(lambda runs: start_run(runs, run_id, categories, first, last, now))
+    runs = save(lambda runs: start_run(runs, run_id, categories, first, last, now))
     for win_start, win_end in weeks:
         for category in categories:
             cell = F.lit(category), F.lit(win_start)
             point = F.col("last_checkpoint")
-            at = tables["runs"].where(F.col("id") == run_id).select(
+            at = runs.where(F.col("id") == run_id).select(
                 F.array_contains(F.coalesce(point["done"], F.array().cast("array<string>")), window_key(*cell)).alias("done"), resume_offset(point, *cell).alias("offset"), F.coalesce("papers_fetched", F.lit(0)).alias("fetched")
             ).first()
             offset, fetched = at.offset, at.fetched
@@ -121,17 +167,17 @@ def run(
                 n = raw.count()
                 if not n:
                     break
-                new = ingest({k: v for k, v in tables.items() if k != "runs"}, raw, now)
-                done = {r.action: r.n_rows for r in upsert.actions(new["papers"]).collect()}
-                new["papers"] = new["papers"].drop("action")
-                offset, fetched = offset + n, fetched + n
-                tables = save(mark(progress(point, *cell, F.lit(offset)), papers_fetched=n, papers_inserted=done.get("insert", 0), papers_updated=done.get("update", 0)), **new)
+                with store.begin() as draft:
+                    done = merge(draft, raw, now)
+                    offset, fetched = offset + n, fetched + n
+                    runs = save(mark(progress(point, *cell, F.lit(offset)), papers_fetched=n, papers_inserted=done.get("insert", 0), papers_updated=done.get("update", 0)), draft)
+                store.fs.delete(store._path("landed", str(run_id), category, win_start, str(offset - n)), True)
                 if n < size:
                     break
-            tables = save(mark(complete(point, *cell)))
+            runs = save(mark(complete(point, *cell)))
     warnings = run_stages(list(stages))
-    tables = save(lambda runs: finish(runs, run_id, "completed", warnings, stamp))
-    return tables["runs"].where(F.col("id") == run_id)
+    runs = save(lambda runs: finish(runs, run_id, "completed", warnings, stamp))
+    return runs.where(F.col("id") == run_id)
 
 
 def reset(tables: dict[str, DataFrame], token: str, expected: str, running: bool = False) -> dict[str, DataFrame]:
@@ -141,3 +187,22 @@ def reset(tables: dict[str, DataFrame], token: str, expected: str, running: bool
     if running:
         raise RuntimeError("a run is in progress")
     return {name: df.where("display_name is not null") if name == "categories" else df.limit(0) for name, df in tables.items()}
+
+
+def reset_store(store: Versions, token: str, expected: str, indexes: Sequence[Versions] = ()) -> int:
+    """``reset`` of a stored star model as a new version; the stored sparse index and concept graph (``indexes``) go."""
+    held = store.latest() or {}
+    running = "runs" in held and store.rows(held["runs"]).where("status = 'running'").limit(1).count() > 0
+    left = reset({name: store.rows(entry) for name, entry in held.items()}, token, expected, running)
+    with store.begin() as draft:
+        for name, entry in held.items():
+            if isinstance(entry, str):
+                draft.put(name, left[name])
+                continue
+            draft.held[name] = {**entry, "buckets": {}, "notes": {}}
+            if name == "categories":
+                draft.merge(name, left[name], lambda old, batch: batch)
+        number = draft.publish(keep=1)
+    for index in indexes:
+        index.delete()
+    return number

@@ -17,7 +17,7 @@ from .functions import dates, text, vectors
 from .operators import bm25, concepts, dense, evaluation, fusion, sampling, stats, upsert
 from .plans import indexing, retrieval
 from .schemas import duplicate_keys, orphans
-from .sources.tables import shared_folder
+from .sources.tables import Versions, kept, scratch, shared_folder
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,22 @@ def upsert_actions(spark, sf_dir):
     return upsert.actions(_upserted(spark, sf_dir))
 
 
+@query(UPSERT_SQL + "SELECT l_orderkey, l_linenumber, CASE action WHEN 'unchanged' THEN t_part ELSE s_part END AS l_partkey, CASE action WHEN 'insert' THEN s_supp ELSE t_supp END AS l_suppkey FROM merged")
+def upsert_buckets(spark, sf_dir):
+    """The same upsert into a stored table in hash buckets: first the old rows, then the new ones."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    keys, ties = ["l_orderkey", "l_linenumber"], ("l_partkey", "l_suppkey", "l_extendedprice")
+    with scratch(spark, "buckets") as root:
+        store = Versions(spark, root)
+        for old in (True, False):
+            with store.begin() as draft:
+                if old:
+                    draft.create("lines", lines.drop("l_returnflag").schema.simpleString()[7:-1].replace(":", " "), keys)
+                draft.merge("lines", lines.where(f"l_returnflag {'<>' if old else '='} 'N'").drop("l_returnflag"), lambda held, batch: upsert.upsert(held, batch, keys, "l_shipdate", ("l_suppkey",), ties))
+                draft.publish(keep=1)
+        return kept(store.read()["lines"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
 @query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN ts::TIMESTAMP END AS v, event_type FROM events WHERE event_id % 2 = 0 OR event_id % 5 = 0),
 s AS (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN ts::TIMESTAMP + INTERVAL 1 DAY END AS v, 'new' AS event_type FROM events WHERE event_id % 2 = 1 OR event_id % 7 = 0)
 SELECT coalesce(t.event_id, s.event_id) AS event_id, CASE WHEN t.event_id IS NULL THEN 'insert' WHEN t.v < s.v THEN 'update' ELSE 'unchanged' END AS action,
