@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import casefold, concept_form, concept_name, json_object, mentions
-from ..sources.tables import Versions
+from ..functions.text import casefold, concept_form, concept_name, json_object
+from ..sources.tables import Versions, kept
 from .stats import cooccurrence
 
 # What a concept can be.
 TYPES = ("method", "model", "dataset", "task", "other")
 PER_PAPER, NEIGHBOURS, MIN_OVERLAP = 8, 3, 2
+#: Names go to the tasks in blocks of at most about so many bytes.
+NAME_BYTES = 2 << 20
 
 
 def nodes(rows: DataFrame) -> DataFrame:
@@ -59,17 +66,45 @@ def graph(rows: DataFrame) -> Graph:
     return Graph(links(rows), edges(rows))
 
 
-def mentioned(links_: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid and key of the concepts whose names the texts of a query (qid, text) mention.
+def mentioned(links_: DataFrame, queries: DataFrame, block_bytes: int = NAME_BYTES) -> DataFrame:
+    """qid and key of the concepts whose names the texts of a query (qid, text) mention, on word borders.
 
-    A name is looked for only in the places where its first word stands: names and texts meet by an equi-join on
-    words, never name by name.
+    Names go to the tasks in blocks of at most about ``block_bytes``; an automaton of all names of a block finds them in one
+    pass over a text, so the work is linear in the texts, whatever they mention and however often.
     """
-    names = links_.select("key", concept_form(F.col("name")).alias("form")).distinct().where(F.length("form") >= 2)
+    names = links_.select("key", concept_form(F.col("name")).alias("form")).where(F.length("form") >= 2).distinct()
     asked = queries.select("qid", concept_form(F.col("text")).alias("hay")).where("hay <> ''")
-    words = asked.select("qid", "hay", F.explode(F.array_distinct(F.split("hay", " "))).alias("word"))
-    met = words.join(names.withColumn("word", F.split("form", " ")[0]), "word")
-    return met.where(mentions(F.col("hay"), F.col("form"))).select("qid", "key").distinct()
+    size = names.agg(F.sum(F.octet_length("key") + F.octet_length("form") + 16).alias("n")).first().n or 0
+    blocks = max(1, -(-size * 5 // (4 * block_bytes)))
+    if blocks > 1:
+        names = kept(names)
+    schema = T.StructType([asked.schema["qid"], T.StructField("key", T.StringType())])
+    found = None
+    for block in range(blocks):
+        table = (names if blocks == 1 else names.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == block)).toArrow()  # block_bytes
+        part = asked.mapInArrow(_finder(queries.sparkSession.sparkContext.broadcast(list(zip(table["form"].to_pylist(), table["key"].to_pylist(), strict=True)))), schema)
+        found = part if found is None else found.unionAll(part)
+    return found.distinct()
+
+
+def _finder(names: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[str, list[str]] = {}
+        for form, key in names.value:
+            keys.setdefault(f" {form} ", []).append(key)
+        words = ahocorasick.Automaton()
+        for form, own in keys.items():
+            words.add_word(form, own)
+        words.make_automaton()
+        for batch in batches:
+            rows, said = [], []
+            for k, hay in enumerate(batch.column(1).to_pylist() if keys else ()):
+                met = {key for _, own in words.iter(f" {hay} ") for key in own}
+                rows += [k] * len(met)
+                said += met
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(said, pa.string())], names=["qid", "key"])
+
+    return find
 
 
 def traverse(links_: DataFrame, edges_: DataFrame, queries: DataFrame, top_n: int = 10, min_overlap: int = MIN_OVERLAP, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -78,7 +113,7 @@ def traverse(links_: DataFrame, edges_: DataFrame, queries: DataFrame, top_n: in
     Concepts that a query mentions, in any of its texts, and the strongest ``neighbours`` of each are looked up; papers
     with at least ``min_overlap`` of them are ranked by mentioned ones, then all.
     """
-    direct = mentioned(links_, queries)
+    direct = kept(mentioned(links_, queries))
     both = edges_.select(F.col("src").alias("key"), F.col("dst").alias("next"), "weight").unionAll(edges_.select(F.col("dst").alias("key"), F.col("src").alias("next"), "weight"))
     order = Window.partitionBy("qid", "key").orderBy(F.desc("weight"), "next")
     around = direct.join(both, "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= neighbours).select("qid", F.col("next").alias("key"))
@@ -88,11 +123,11 @@ def traverse(links_: DataFrame, edges_: DataFrame, queries: DataFrame, top_n: in
     return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
 
 
-def parse_response(raw: DataFrame, column: str = "raw", ids: str = "ids") -> DataFrame:
+def parse_response(raw: DataFrame, column: str = "raw", ids: str = "ids", per_paper: int | None = PER_PAPER) -> DataFrame:
     """paper_id and concepts from model answers, each with the ``ids`` it was asked for: a JSON object, maybe with text around it.
 
     Unknown papers, unnamed or overlong concepts and repeats by case folding are left out, types outside ``TYPES`` become
-    "other", and a paper keeps its first ``PER_PAPER`` concepts. Concepts may be objects or plain strings.
+    "other", and a paper keeps its first ``per_paper`` concepts (None: all). Concepts may be objects or plain strings.
     """
     body = json_object(F.col(column), "struct<papers:array<struct<arxiv_id:string,concepts:array<string>>>>")
     papers = raw.select(F.col(ids).alias("ids"), F.explode(body["papers"]).alias("p")).where(F.array_contains("ids", F.col("p.arxiv_id")))
@@ -107,5 +142,6 @@ def parse_response(raw: DataFrame, column: str = "raw", ids: str = "ids") -> Dat
     named = known.select("paper_id", F.filter(F.transform("cs", concept), lambda c: c["name"].isNotNull()).alias("cs"))
     folded = named.select("paper_id", F.posexplode("cs").alias("at", "c")).withColumn("key", casefold(F.col("c.name")))
     first = folded.groupBy("paper_id", "key").agg(F.min(F.struct("at", "c")).alias("f")).groupBy("paper_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    kept = first.select("paper_id", F.slice(F.transform("fs", lambda f: f["c"]), 1, PER_PAPER).alias("concepts"))
+    every = F.transform("fs", lambda f: f["c"])
+    kept = first.select("paper_id", (every if per_paper is None else F.slice(every, 1, per_paper)).alias("concepts"))
     return known.select("paper_id").distinct().join(kept, "paper_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<struct<name:string,type:string>>")))

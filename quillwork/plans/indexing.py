@@ -80,7 +80,7 @@ def extract_concepts(papers: DataFrame, done: DataFrame, complete: Callable[[lis
     ``complete`` gets ``batch`` pairs of an id and at most ``size`` characters and answers with JSON, as
     ``concepts.parse_response`` reads it. Longer texts come in overlapping pieces, whose answers are united in order, so
     names of up to ``overlap`` characters are seen wherever they stand; with ``limit``, only so many characters are
-    read. Papers without an answer come with an empty list, so that they are not asked for again.
+    read. A paper keeps its first ``concepts.PER_PAPER`` concepts. Papers without an answer come with an empty list, so that they are not asked for again.
     """
     whole = F.col(text) if limit is None else F.substring(text, 1, limit)
     todo = papers.where(F.col(text) != "").join(done.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias(key), F.posexplode(pieces(whole, size, overlap)).alias("piece", "text"))
@@ -93,10 +93,10 @@ def extract_concepts(papers: DataFrame, done: DataFrame, complete: Callable[[lis
                 yield pd.DataFrame({"raw": [complete(list(zip(ids, part["text"], strict=True)))], "ids": [ids]})
 
     asked = todo.mapInPandas(run, "raw string, ids array<string>")
-    answers = concepts.parse_response(asked)
+    answers = concepts.parse_response(asked, per_paper=None)
     named = answers.select(F.regexp_replace("paper_id", "#\\d+$", "").alias("paper_id"), F.regexp_extract("paper_id", "#(\\d+)$", 1).cast("int").alias("piece"), F.posexplode("concepts").alias("n", "c"))
     first = named.withColumn("key", casefold(F.col("c.name"))).groupBy("paper_id", "key").agg(F.min(F.struct("piece", "n", "c")).alias("f"))
-    united = first.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["c"]).alias("concepts"))
+    united = first.groupBy("paper_id").agg(F.slice(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["c"]), 1, concepts.PER_PAPER).alias("concepts"))
     every = papers.where(F.col(text) != "").join(done.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias("paper_id")).distinct()
     return every.join(united, "paper_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<struct<name:string,type:string>>")))
 

@@ -12,7 +12,7 @@ from ..functions.dates import parse, windows
 from ..functions.text import clean_abstract, normalize_author, primary_category
 from ..operators import upsert
 from ..operators.sampling import quota
-from ..sources.tables import Draft, Versions
+from ..sources.tables import Draft, Versions, in_buckets
 from ..streaming.incremental import complete, progress, resume_offset, window_key
 from .indexing import finish, run_stages
 
@@ -196,7 +196,7 @@ def reset_store(store: Versions, token: str, expected: str, indexes: Sequence[Ve
     left = reset({name: store.rows(entry) for name, entry in held.items()}, token, expected, running)
     with store.begin() as draft:
         for name, entry in held.items():
-            if isinstance(entry, str):
+            if not in_buckets(entry):
                 draft.put(name, left[name])
                 continue
             draft.held[name] = {**entry, "buckets": {}, "notes": {}}

@@ -16,7 +16,6 @@ from ..operators import bm25, concepts, dense, fusion
 
 NO_MATCH = "No sufficiently similar documents were found."
 LEG = "qid string, leg string, leg_order int, doc_id string, rank int"
-MAX_QUERY = 2000
 
 
 @dataclass
@@ -34,13 +33,15 @@ def _leg(found: DataFrame, leg: str, order: int, doc_id: str = "doc_id") -> Data
     return found.select(F.col("qid").cast("string").alias("qid"), F.lit(leg).alias("leg"), F.lit(order).alias("leg_order"), F.col(doc_id).cast("string").alias("doc_id"), "rank")
 
 
-def hybrid(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None, per_leg: int = 20, graph_top: int = 10, top_n: int = 20) -> DataFrame:
+def hybrid(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None, per_leg: int = 20, graph_top: int = 10, top_n: int = 20, max_query: int | None = None) -> DataFrame:
     """qid, doc_id, rrf, source, rank, sim and overlap for queries given as texts (qid, query) and vectors (qid, embedding).
 
-    A query may have several texts and vectors (its variants, the first of each leads); a document's best score counts.
+    A query may have several texts and vectors (its variants); a document's best score counts. ``sim`` is the similarity to the
+    leading vector: the one with the least ``variant``, a column of ``vectors``; without that column, or on ties, the least
+    vector. With ``max_query`` only so many characters of a text are searched for.
     Without vectors, index or concept graph the other legs carry on. Ids first, attributes later: no text goes through the ranking.
     """
-    texts = texts.select("qid", F.substring("query", 1, MAX_QUERY).alias("query"))
+    texts = texts.select("qid", "query" if max_query is None else F.substring("query", 1, max_query).alias("query"))
     spark = texts.sparkSession
     legs = spark.createDataFrame([], LEG)
     if corpus.sparse is not None:
@@ -49,7 +50,7 @@ def hybrid(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None, per_leg:
         legs = legs.unionByName(_leg(bm25.best_of_variants(sparse, per_leg), "sparse", 1))
     sims = None
     if vectors is not None:
-        many = vectors.withColumn("variant", F.concat_ws("\x1f", F.col("qid").cast("string"), F.xxhash64("embedding").cast("string")))
+        many = vectors.select("qid", "embedding").withColumn("variant", F.concat_ws("\x1f", F.col("qid").cast("string"), F.xxhash64("embedding").cast("string")))
         near = dense.search(corpus.vectors, many, per_leg, query_id="variant").select(F.split("qid", "\x1f")[0].alias("qid"), "doc_id", "score")
         legs = legs.unionByName(_leg(bm25.best_of_variants(near, per_leg), "dense", 0))
     overlap = None
@@ -59,8 +60,9 @@ def hybrid(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None, per_leg:
         overlap = walked.select(F.col("qid").cast("string").alias("qid"), F.col("paper_id").cast("string").alias("doc_id"), F.col("total").alias("overlap"))
     fused = fusion.rrf(legs, top_n)
     if vectors is not None:
-        # similarity of the few fused documents to the first vector of their query
-        first = vectors.groupBy(F.col("qid").cast("string").alias("qid")).agg(F.first("embedding").alias("q"))
+        # similarity of the few fused documents to the leading vector of their query
+        order = F.struct("variant", "embedding") if "variant" in vectors.columns else F.col("embedding")
+        first = vectors.where("embedding is not null").groupBy(F.col("qid").cast("string").alias("qid")).agg(F.min_by("embedding", order).alias("q"))
         own = corpus.vectors.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("embedding").alias("v"))
         sims = fused.select("qid", "doc_id").join(first, "qid").join(own, "doc_id").select("qid", "doc_id", cosine(F.col("v"), F.col("q")).alias("sim"))
     out = fused.join(sims, ["qid", "doc_id"], "left") if sims is not None else fused.withColumn("sim", F.lit(None).cast("double"))
@@ -75,11 +77,11 @@ def hydrate(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.join(own.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id")
 
 
-def search(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None = None, top_k: int = 10) -> DataFrame:
+def search(corpus: Corpus, texts: DataFrame, vectors: DataFrame | None = None, top_k: int = 10, max_query: int | None = None) -> DataFrame:
     """Retrieval alone: the ``top_k`` documents of each query with their attributes, ranked anew from 1 without gaps."""
     if top_k < 1:
         raise ValueError("top_k must be 1 or more")
-    found = hydrate(hybrid(corpus, texts, vectors), corpus.docs)
+    found = hydrate(hybrid(corpus, texts, vectors, max_query=max_query), corpus.docs)
     order = Window.partitionBy("qid").orderBy("rank")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 

@@ -7,8 +7,8 @@ and their labels, embeddings, events, pages and the benchmark serve the text, ve
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from .functions import dates, text, vectors
 from .operators import bm25, concepts, dense, evaluation, fusion, sampling, stats, upsert
 from .plans import indexing, retrieval
 from .schemas import duplicate_keys, orphans
-from .sources.tables import Versions, kept, scratch, shared_folder
+from .sources.tables import Versions, kept, scratch
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,7 +317,8 @@ def bm25_tokenize(spark, sf_dir):
 
 @query("WITH " + WORDS_SQL + " SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_term_stats(spark, sf_dir):
-    return _stored(spark, table(spark, sf_dir, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    with _stored(spark, table(spark, sf_dir, "documents")) as index:
+        return kept(index.terms.select("term", "df", F.round("idf", 6).alias("idf")))
 
 
 SEARCH_SQL = """, asked AS (SELECT item_id AS qid, term, count(*) AS times FROM (SELECT item_id, unnest([w FOR w IN regexp_extract_all(lower(text), '[a-z0-9]+') IF NOT list_contains([{stop}], w)]) AS term FROM benchmark) GROUP BY 1, 2),
@@ -325,9 +326,11 @@ scored AS (SELECT qid, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::D
 sparse AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 20)""".format(stop=", ".join(f"'{w}'" for w in text.STOPWORDS))
 
 
+@contextmanager
 def _stored(spark, docs):
-    """An index of ``docs`` in a new place of the shared folder."""
-    return bm25.store(docs, f"{shared_folder(spark)}/quillwork-bm25-{uuid.uuid4().hex}")
+    """An index of ``docs`` in the shared folder, for a while."""
+    with scratch(spark, "bm25") as root:
+        yield bm25.store(docs, root)
 
 
 def _asked(spark, sf_dir):
@@ -336,15 +339,17 @@ def _asked(spark, sf_dir):
 
 @query("WITH " + WORDS_SQL + SEARCH_SQL + " SELECT qid, doc_id, round(score, 6) AS score FROM sparse WHERE score > 0")
 def bm25_search(spark, sf_dir):
-    found = bm25.search(_stored(spark, table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
-    return found.select("qid", "doc_id", F.round("score", 6).alias("score"))
+    with _stored(spark, table(spark, sf_dir, "documents")) as index:
+        found = bm25.search(index, _asked(spark, sf_dir))
+        return kept(found.select("qid", "doc_id", F.round("score", 6).alias("score")))
 
 
 @query("WITH " + WORDS_SQL + SEARCH_SQL + " SELECT g AS qid, doc_id, round(best, 6) AS score FROM (SELECT qid % 10 AS g, doc_id, max(score) AS best, row_number() OVER (PARTITION BY qid % 10 ORDER BY round(max(score), 9) DESC, doc_id) AS r FROM sparse WHERE score > 0 GROUP BY 1, 2) WHERE r <= 20")
 def bm25_multi_query(spark, sf_dir):
-    found = bm25.search(_stored(spark, table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
-    best = bm25.best_of_variants(found.select((F.col("qid") % 10).alias("qid"), "doc_id", "score"))
-    return best.select("qid", "doc_id", F.round("score", 6).alias("score"))
+    with _stored(spark, table(spark, sf_dir, "documents")) as index:
+        found = bm25.search(index, _asked(spark, sf_dir))
+        best = bm25.best_of_variants(found.select((F.col("qid") % 10).alias("qid"), "doc_id", "score"))
+        return kept(best.select("qid", "doc_id", F.round("score", 6).alias("score")))
 
 
 DENSE_SQL = """dense AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
@@ -377,14 +382,28 @@ def ann_probe(spark, sf_dir):
     return dense.probe(index, centroids, asked).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def ann_quantised(spark, sf_dir):
+    """From codes of all lists, with the vectors of a tenth of the rows at sf0.1."""
+    rows = table(spark, sf_dir, "embeddings")
+    index, centroids = dense.coarse_index(rows, max(1, round(rows.count() ** 0.5)), doc_id="vec_id")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    with scratch(spark, "codes") as root:
+        codes = dense.quantise(index, centroids)
+        Versions(spark, root).write(rows=codes.rows)
+        stored = dense.Codes(Versions(spark, root).read()["rows"], codes.books, codes.centroids)
+        return kept(dense.search_codes(stored, asked).select("qid", "doc_id", F.round("score", 6).alias("score")))
+
+
 FUSED_SQL = "WITH " + WORDS_SQL + SEARCH_SQL + ", " + DENSE_SQL + """, legs AS (SELECT qid, 'sparse' AS leg, 1 AS leg_order, doc_id, rank FROM sparse WHERE score > 0 UNION ALL SELECT qid, 'dense', 0, doc_id, rank FROM dense),
 fused AS (SELECT qid, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, arg_min(leg, rank * 10 + leg_order) AS source FROM legs GROUP BY 1, 2)"""
 
 
 def _fused(spark, sf_dir):
-    sparse = bm25.search(_stored(spark, table(spark, sf_dir, "documents")), _asked(spark, sf_dir))
     leg = lambda found, name, order: found.select(F.col("qid").cast("long").alias("qid"), F.lit(name).alias("leg"), F.lit(order).alias("leg_order"), "doc_id", "rank")
-    return fusion.rrf(leg(sparse, "sparse", 1).unionByName(leg(_near(spark, sf_dir), "dense", 0)))
+    with _stored(spark, table(spark, sf_dir, "documents")) as index:
+        sparse = bm25.search(index, _asked(spark, sf_dir))
+        return kept(fusion.rrf(leg(sparse, "sparse", 1).unionByName(leg(_near(spark, sf_dir), "dense", 0))))
 
 
 @query(FUSED_SQL + " SELECT qid, doc_id, round(rrf, 6) AS rrf, source FROM fused QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, doc_id) <= 20")
@@ -452,25 +471,28 @@ FROM best b LEFT JOIN embeddings e ON e.vec_id = b.doc_id LEFT JOIN embeddings q
 )
 
 
+@contextmanager
 def _corpus(spark, sf_dir):
     """The corpus with frequent terms as concepts, and the queries: every twentieth benchmark item."""
     docs, rows = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     asked = _asked(spark, sf_dir).where("qid % 20 = 0")
     near = asked.join(rows.withColumnRenamed("doc_id", "qid"), "qid").select("qid", "embedding")
     terms = indexing.frequent_terms(docs, 5, 8).select("paper_id", F.xxhash64("term").alias("concept_id"), F.col("term").alias("name"), F.lit("other").alias("concept_type"))
-    root = f"{shared_folder(spark)}/quillwork-graph-{uuid.uuid4().hex}"
-    concepts.graph(terms).write(root)
-    return retrieval.Corpus(docs, rows, _stored(spark, docs), concepts.Graph.read(spark, root)), asked, near
+    with scratch(spark, "graph") as root, _stored(spark, docs) as index:
+        concepts.graph(terms).write(root)
+        yield retrieval.Corpus(docs, rows, index, concepts.Graph.read(spark, root)), asked, near
 
 
 @query(HYBRID_SQL + " SELECT qid, doc_id, rrf, source, sim, overlap FROM full_")
 def hybrid_search(spark, sf_dir):
-    return retrieval.hybrid(*_corpus(spark, sf_dir)).select("qid", "doc_id", F.round("rrf", 6).alias("rrf"), "source", F.round("sim", 6).alias("sim"), "overlap")
+    with _corpus(spark, sf_dir) as corpus:
+        return kept(retrieval.hybrid(*corpus).select("qid", "doc_id", F.round("rrf", 6).alias("rrf"), "source", F.round("sim", 6).alias("sim"), "overlap"))
 
 
 @query(HYBRID_SQL + " SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY full_.rank) AS rank, source, lang, n_chars FROM full_ JOIN documents d ON d.doc_id::VARCHAR = full_.doc_id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY full_.rank) <= 10".replace("SELECT qid, doc_id", "SELECT qid, full_.doc_id AS doc_id").replace("source, lang", "full_.source AS source, lang"))
 def search(spark, sf_dir):
-    return retrieval.search(*_corpus(spark, sf_dir)).select("qid", "doc_id", "rank", "source", "lang", "n_chars")
+    with _corpus(spark, sf_dir) as corpus:
+        return kept(retrieval.search(*corpus).select("qid", "doc_id", "rank", "source", "lang", "n_chars"))
 
 
 PAIRS_SQL = """WITH pairs AS (SELECT u.conv_id * 1000 + u.turn AS qid, a.text AS predicted, u.text AS gold FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
@@ -549,15 +571,19 @@ def embed_documents(spark, sf_dir):
     return made.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ", "), F.lit("]")).alias("vector"))
 
 
-#: Names that the stand-in for a model finds; as many as a paper keeps.
-NAMES = ("the", "und", "les", "que", "estion", "license", "ein", "con")
+#: Names that the stand-in for a model finds, more than the eight that a paper keeps.
+NAMES = ("the", "und", "les", "que", "estion", "license", "ein", "con", "er", "ma", "in", "so")
 
 
 def _named(rows: list[tuple[str, str]]) -> str:
     return json.dumps({"papers": [{"arxiv_id": i, "concepts": [n for n in NAMES if n in t.lower()]} for i, t in rows]})
 
 
-@query("SELECT doc_id::VARCHAR AS paper_id, array_to_string(list_sort([w FOR w IN " + str(list(NAMES)) + " IF contains(lower(text), w)]), ',') AS names FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("""WITH d AS (SELECT doc_id, text FROM documents d WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
+pieces AS (SELECT doc_id, s // 1000 AS piece, lower(substr(text, s + 1, 1200)) AS t FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 201, 0), 1000)) AS s FROM d)),
+met AS (SELECT doc_id, n, w, min(piece) AS piece FROM pieces JOIN (SELECT unnest(range(""" + str(len(NAMES)) + ")) AS n, unnest(" + str(list(NAMES)) + """) AS w) ON contains(t, w) GROUP BY 1, 2, 3),
+first AS (SELECT doc_id, string_agg(w, ',' ORDER BY w) AS names FROM (SELECT doc_id, w FROM met QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY piece, n) <= 8) GROUP BY 1)
+SELECT doc_id::VARCHAR AS paper_id, coalesce(names, '') AS names FROM d LEFT JOIN first USING (doc_id)""")
 def concept_extraction(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("abstract"))
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"))

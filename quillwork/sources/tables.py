@@ -129,6 +129,8 @@ class Versions:
         """A table of a manifest; of one in buckets, those in ``codes``."""
         if isinstance(entry, str):
             return self.spark.read.parquet(f"{self.root}/{entry}")
+        if "path" in entry:
+            return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(f"{self.root}/{entry['path']}")
         held = [folder for code, (folder, _) in entry["buckets"].items() if folder and (codes is None or int(code) in codes)]
         schema = T.StructType.fromJson(entry["schema"])
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in held]) if held else self.spark.createDataFrame([], schema)
@@ -139,8 +141,13 @@ class Versions:
         return None if held is None else {name: self.rows(entry) for name, entry in held.items()}
 
 
+def in_buckets(entry: str | dict) -> bool:
+    return isinstance(entry, dict) and "buckets" in entry
+
+
 def folders(manifest: dict) -> set[str]:
-    return {f for e in manifest.values() for f in ([e] if isinstance(e, str) else [folder for folder, _ in e["buckets"].values() if folder])}
+    buckets = {folder for e in manifest.values() if in_buckets(e) for folder, _ in e["buckets"].values() if folder}
+    return buckets | {e if isinstance(e, str) else e["path"] for e in manifest.values() if not in_buckets(e)}
 
 
 def depth(code: int) -> int:
@@ -179,12 +186,16 @@ class Draft:
         self.written.append(f"{name}/{self.number}-{uuid.uuid4().hex}")
         return self.written[-1]
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """A whole table in one folder."""
+    def put(self, name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """A whole table in one folder; ``by``: below it in folders by the first of these columns, in files sorted by all."""
         path = self._folder(name)
-        df.write.parquet(f"{self.store.root}/{path}")
-        self.held[name] = path
-        return self.store.rows(path)
+        if by:
+            df.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy(by[0]).parquet(f"{self.store.root}/{path}")
+            self.held[name] = {"path": path, "schema": df.schema.jsonValue()}
+        else:
+            df.write.parquet(f"{self.store.root}/{path}")
+            self.held[name] = path
+        return self.read(name)
 
     def create(self, name: str, schema: str, keys: list[str], bucket_rows: int = 100_000) -> None:
         """An empty table in buckets of at most about ``bucket_rows`` rows, by the hash of ``keys``."""
@@ -193,7 +204,7 @@ class Draft:
     def notes(self, name: str) -> dict:
         """Small facts that are kept with a table in buckets; writing into it changes the draft only."""
         entry = self.held[name]
-        if isinstance(entry, str):
+        if not in_buckets(entry):
             return {}
         self.held[name] = entry = {**entry, "notes": dict(entry["notes"])}
         return entry["notes"]
@@ -206,7 +217,7 @@ class Draft:
         table in one folder, all is read and written.
         """
         entry = self.held[name]
-        if isinstance(entry, str):
+        if not in_buckets(entry):
             new = change(self.store.rows(entry), batch)
             if "action" in new.columns:
                 self._counts[name] = {r["action"]: r["count"] for r in new.groupBy("action").count().collect()}
@@ -281,13 +292,11 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
 def kept(df: DataFrame) -> DataFrame:
     """``df``, computed now and held as a checkpoint, so that the tables it reads can be deleted. Spark's cleaner deletes the
     checkpoint when nothing refers to it any more, if the session asks for that
-    (spark.cleaner.referenceTracking.cleanCheckpoints). Without a checkpoint folder a written table stays instead."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    path = f"{shared_folder(spark)}/quillwork-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    (spark.cleaner.referenceTracking.cleanCheckpoints). A session without a checkpoint folder gets one in its warehouse."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/quillwork-checkpoints")
+    return df.checkpoint()
 
 
 def write_json(df: DataFrame, path: str) -> None:
