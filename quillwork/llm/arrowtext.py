@@ -6,8 +6,10 @@ buffers, a bounded number of bytes at a time, so a task holds a few tens of MB w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +96,28 @@ def grid(texts: pa.Array, space: np.ndarray = SPACE) -> Grid:
     return Grid(data, offsets, starts, ends, doc, first, sums)
 
 
-def chunks(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def release() -> None:
+    """Gives memory that is free back to the system."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and memory given back when its task ends: Spark keeps idle workers for a while."""
+
+    @wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return held
+
+
+def chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes, or of one row."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import chunks
+from .arrowtext import chunks, tidy
 
 #: Entries that a worker remembers; beyond it starts afresh, so memory is bounded and results stay the same.
 MEMORY = 200_000
@@ -80,6 +80,11 @@ class Codec:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drops what was learnt, so that a worker between tasks is small."""
+        self.pieces.clear()
+        self.words.clear()
+
     def _cut(self, text: str) -> list[str]:
         """Cut before single spaces, where the pattern always starts a new match."""
         if self.loose.search(text):
@@ -142,16 +147,20 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", *, ids: s
     source = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"`{c}` binary" for c in new)])
 
+    @tidy
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            column = batch.column(kept.index(text))
-            for start, stop in chunks(column):
-                coded = own.encode(pc.fill_null(column.slice(start, stop - start), "").to_pylist())
-                out = [pa.array(coded, pa.binary())]
-                if decoded:
-                    out.append(pa.array([own.decode(x) for x in coded], pa.binary()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns), *out], names=[*kept, *new])
+        try:
+            for batch in batches:
+                column = batch.column(kept.index(text))
+                for start, stop in chunks(column):
+                    coded = own.encode(pc.fill_null(column.slice(start, stop - start), "").to_pylist())
+                    out = [pa.array(coded, pa.binary())]
+                    if decoded:
+                        out.append(pa.array([own.decode(x) for x in coded], pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns), *out], names=[*kept, *new])
+        finally:
+            own.forget()
 
     return source.mapInArrow(run, schema)
 
@@ -162,6 +171,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", *, decoded:
     source = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), f"`{decoded}` binary"])
 
+    @tidy
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import SPACE, Grid, chunks, fresh, grid, shingles
+from .arrowtext import SPACE, Grid, chunks, fresh, grid, shingles, tidy
 from .storage import Scratch, split
 
 #: White space and ASCII punctuation stand between words; letter case is folded.
@@ -171,6 +171,7 @@ def _pass(df: DataFrame, text: str, items: DataFrame, width: int, threshold: flo
     index = Index(held["id"].to_pylist(), held["text"].combine_chunks() if held.num_rows else pa.array([], pa.string()), width)
     shared = df.sparkSession.sparkContext.broadcast(index)
 
+    @tidy
     def run(batches):
         index = shared.value
         for batch in batches:

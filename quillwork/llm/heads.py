@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import chunks
+from .arrowtext import chunks, tidy
 from .storage import Scratch, holding
 
 
@@ -34,6 +34,7 @@ def against_heads(
     dealt = holding(docs, "id", wanted, "id").join(wanted, "id").select("head", "block", "member", "id", "row", "text")
     schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("head", pa.int64()), *((c, TYPES[c][1]) for c in columns)])
 
+    @tidy
     def run(batches):
         at, own = None, []
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Grid, chunks, grid, mix, shingles
+from .arrowtext import Grid, chunks, grid, mix, shingles, tidy
 from .graph import components
 from .heads import against_heads, slices
 from .storage import Scratch, holding
@@ -89,6 +89,7 @@ def sketch(df: DataFrame, doc_id: str, text: str, width: int, bands: int, rows:
     """
     size = bands * rows
 
+    @tidy
     def run(batches):
         for batch in batches:
             for start, stop in chunks(batch.column(1)):
@@ -209,7 +210,7 @@ def likely(rows: DataFrame, bands: int, per_band: int, least: float, block: int
             found[k] |= len(rest) > 0
         return table.select(["key", "rep"]).filter(pa.array(found)).combine_chunks().to_batches()[0] if found.any() else pa.RecordBatch.from_pylist([], pa.schema([("key", pa.int64()), ("rep", pa.int64())]))
 
-    return across(rows, ["band", "rep", "n", "comp", "sig"], block).mapInArrow(lambda batches: _by_key(batches, compare), "key long, rep long").distinct()
+    return across(rows, ["band", "rep", "n", "comp", "sig"], block).mapInArrow(tidy(lambda batches: _by_key(batches, compare)), "key long, rep long").distinct()
 
 
 def overlaps(rows: DataFrame, least: float, block: int = 256, strip: int = 64) -> DataFrame:
@@ -255,12 +256,13 @@ def overlaps(rows: DataFrame, least: float, block: int = 256, strip: int = 64) -
                     out.append((rep[own[r]], rep[right[q]]))
         return pa.RecordBatch.from_arrays([pa.array([x[z] for x in out], pa.int64()) for z in (0, 1)], names=["a", "b"])
 
-    return across(rows, ["rep", "n", "comp", "bag"], block).mapInArrow(lambda batches: _by_key(batches, compare), "a long, b long").distinct()
+    return across(rows, ["rep", "n", "comp", "bag"], block).mapInArrow(tidy(lambda batches: _by_key(batches, compare)), "a long, b long").distinct()
 
 
 def whole_bags(docs: DataFrame, width: int) -> DataFrame:
     """rep and bag of ``docs`` (id, text)."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for start, stop in chunks(batch.column(1)):

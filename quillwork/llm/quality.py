@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Grid, chunks, grid, mix
+from .arrowtext import Grid, chunks, grid, mix, tidy
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUED = (np.arange(256) & 0xC0) == 0x80
@@ -125,6 +125,7 @@ def quality(
     source = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), *(f"{c} long" for c in FIELDS)])
 
+    @tidy
     def run(batches):
         for batch in batches:
             column = batch.column(kept.index(text))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Grid, chunks, grid, mix, shingles
+from .arrowtext import Grid, chunks, grid, mix, shingles, tidy
 
 RUNS = "array<struct<start:long,length:long,period:long>>"
 _ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
@@ -213,6 +213,7 @@ def find_runs(df: DataFrame, text: str = "text", *, least: int = 6, exponent: in
         raise ValueError("the text column cannot be named like an output")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), f"runs {RUNS}", "collapsed string"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(kept.index(text))

@@ -62,9 +62,12 @@ class Scratch:
 
     def result(self, df: DataFrame) -> DataFrame:
         """``df``, computed and held as a checkpoint, which reads no table of this scratch. Spark's cleaner deletes checkpoints that
-        nothing refers to if the session asks for that (spark.cleaner.referenceTracking.cleanCheckpoints). Without a
-        checkpoint folder it is a written table that stays."""
-        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else self.keep(self.cut(df))
+        nothing refers to if the session asks for that (spark.cleaner.referenceTracking.cleanCheckpoints). A session
+        without a checkpoint folder gets one in its warehouse."""
+        context = self.spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(f"{shared_folder(self.spark)}/quillwork-checkpoints")
+        return df.checkpoint()
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import chunks, fresh, grid, mix, shingles
+from .arrowtext import chunks, fresh, grid, mix, shingles, tidy
 from .heads import against_heads, slices
 from .minhash import _blocks
 from .storage import Scratch, holding, split
@@ -119,6 +119,7 @@ def windows(docs: DataFrame, width: int, hashes: int, tokens: int, bounds: bool
     ``place`` is where the least token stands.
     """
 
+    @tidy
     def run(batches):
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy()
@@ -163,6 +164,7 @@ def agreeing(links: DataFrame, hashes: int, agree: int, tokens: int) -> DataFram
     seen = F.expr("bit_count(bit_or(shiftleft(1, cast(window & 127 as int))))")
     pairs = links.groupBy("id", "head").agg(seen.alias("fns"), F.collect_list("window").alias("windows")).where(F.col("fns") >= agree)
 
+    @tidy
     def run(batches):
         for batch in batches:
             lists = batch.column(2)
@@ -201,6 +203,7 @@ def around(wanted: DataFrame, known: DataFrame, docs: DataFrame, width: int, rea
     listed = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "window", "place", "open", "all")).alias("windows")).join(known.select("id", "spans"), "id", "left")
     texts = holding(docs, "id", wanted.select("id"), "id").select("id", "text").join(listed, "id").select("id", "text", "spans", "windows")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for start, stop in chunks(batch.column(1)):
@@ -240,6 +243,7 @@ def sharing(scratch: Scratch, rows: DataFrame, need: int) -> DataFrame:
     brings nobody together. An open window may repeat a token; as often as one can be repeated (``most``) may a token of the others count."""
     rows = scratch.cut(rows.select("key", "rep", "open", "bag").withColumn("no", F.xxhash64("key", "rep", "bag")))
 
+    @tidy
     def tokens(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -257,6 +261,7 @@ def sharing(scratch: Scratch, rows: DataFrame, need: int) -> DataFrame:
     most = scratch.cut(left.where("open").groupBy("key").agg(F.max(F.size("held") - F.col("n") + 1).alias("most")))
     left = left.join(most, "key").where(F.col("open") | (F.col("n") * F.col("most") >= need))
 
+    @tidy
     def packed(batches):
         for batch in batches:
             held = [np.array(x, np.int64).astype(np.uint32).tobytes() for x in batch.column(3).to_pylist()]
@@ -299,6 +304,7 @@ def meeting(rows: DataFrame, need: int, block: int = BLOCK, strip: int = 64) ->
         np.maximum.at(most, group[seeking], (many - different)[seeking] + 1)
         return group, seeking | (different * most[group] >= need), seeking, owner, flat
 
+    @tidy
     def compare(batches):
         for table in _whole_keys(batches):
             group, enough, seeking, owner, flat = promising(table)
@@ -500,6 +506,7 @@ def unsettled(scratch: Scratch, shared: DataFrame, known: DataFrame, pairs: Data
         at = np.searchsorted(start[by], (doc << 32) + low, side="right") - 1
         return (at >= 0) & (reach[at] >= (doc << 32) + high)
 
+    @tidy
     def settle(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -541,6 +548,7 @@ def remove(marked: DataFrame, text: str = "text") -> DataFrame:
     """``marked`` with the words of ``spans`` cut out of the text, each with the white space up to the next word."""
     names = marked.columns
 
+    @tidy
     def run(batches):
         for batch in batches:
             for start, stop in chunks(batch.column(names.index(text))):
