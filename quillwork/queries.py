@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, text, vectors
 from .operators import bm25, concepts, dense, evaluation, fusion, sampling, stats, upsert
-from .plans import indexing, retrieval
+from .plans import indexing, questions, retrieval
 from .schemas import duplicate_keys, orphans
 from .sources.tables import Versions, kept, scratch
 from .streaming import incremental
@@ -495,6 +495,39 @@ def search(spark, sf_dir):
         return kept(retrieval.search(*corpus).select("qid", "doc_id", "rank", "source", "lang", "n_chars"))
 
 
+ASKED_SQL = """WITH sims AS (SELECT q.vec_id AS q, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id SEMI JOIN documents d ON d.doc_id = e.vec_id WHERE q.vec_id % 20 < 2),
+found AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, doc_id) AS rank FROM sims QUALIFY rank <= 20), best AS (SELECT q, max(sim) AS best FROM found GROUP BY 1),
+asked AS (SELECT v.vec_id AS qid, CASE WHEN coalesce(a.best, -1) < 0.4 AND v.vec_id + 1 IN (SELECT vec_id FROM embeddings) THEN v.vec_id + 1 ELSE v.vec_id END AS q, CASE WHEN coalesce(a.best, -1) < 0.4 THEN 2 ELSE 1 END AS iterations FROM embeddings v LEFT JOIN best a ON a.q = v.vec_id WHERE v.vec_id % 20 = 0),
+near AS (SELECT qid, doc_id, sim, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM asked JOIN found USING (q) WHERE sim >= 0.4 QUALIFY n <= 5),
+told AS (SELECT qid, max(sim) AS top, string_agg(substr(text, 1, 20), '|' ORDER BY n) AS answer, string_agg(near.doc_id::VARCHAR, ',' ORDER BY n) AS cited FROM near JOIN documents d ON d.doc_id = near.doc_id GROUP BY 1)
+"""
+
+
+@query(ASKED_SQL + "SELECT qid::VARCHAR AS qid, iterations, CASE WHEN top >= 0.6 THEN 'high' WHEN top >= 0.45 THEN 'medium' WHEN top IS NOT NULL THEN 'low' ELSE 'none' END AS confidence, coalesce(trim(answer), '" + retrieval.NO_MATCH + "') AS answer, coalesce(cited, '') AS cited FROM asked LEFT JOIN told USING (qid)")
+def ask_batch(spark, sf_dir):
+    """Every twentieth vector as a question, by its number; where nothing is near, the next number is asked for. The stand-in for a
+    model quotes what it reads."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.lit("").alias("title"), "text")
+    own = rows.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+
+    def search(asked):
+        queries_ = asked.select("qid", F.col("query").cast("long").alias("vec_id")).join(rows, "vec_id")
+        near = dense.search(own, queries_, questions.FOUND + 1, doc_id="vec_id").join(queries_.select("qid", "vec_id"), "qid").where("doc_id <> vec_id")
+        ranked = bm25.rank(near, questions.FOUND)
+        return ranked.join(docs, "doc_id").select("qid", "doc_id", F.col("score").alias("sim"), "rank", "title", "text")
+
+    def quote(pairs):
+        blocks = [[b.split("\n", 1)[1] for b in ("\n\n" + p).split("\n\n[")[1:]] for _, p in pairs]
+        return ["|".join(b) for b in blocks]
+
+    held = questions.ask_batch(
+        rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("vec_id").cast("string").alias("question")),
+        [questions.retrieve(search), questions.rewrite(lambda pairs: [str(int(q) + 1) for q, _ in pairs], search, 0.4), questions.gate(0.4), questions.shorten(20), questions.generate(quote)],
+    )
+    return held.select("qid", "iterations", "confidence", "answer", F.array_join(F.transform("docs", lambda d: d["doc_id"]), ",").alias("cited"))
+
+
 PAIRS_SQL = """WITH pairs AS (SELECT u.conv_id * 1000 + u.turn AS qid, a.text AS predicted, u.text AS gold FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
 words AS (SELECT qid, predicted, gold, regexp_extract_all(lower(predicted), '[\\p{L}\\p{N}_]+') AS pt, regexp_extract_all(lower(gold), '[\\p{L}\\p{N}_]+') AS gt FROM pairs),
 common AS (SELECT qid, sum(least(p, g)) AS n FROM (SELECT qid, token, sum(p) AS p, sum(g) AS g FROM (SELECT qid, unnest(pt) AS token, 1 AS p, 0 AS g FROM words UNION ALL SELECT qid, unnest(gt), 0, 1 FROM words) GROUP BY 1, 2) GROUP BY 1),
