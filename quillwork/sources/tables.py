@@ -250,6 +250,11 @@ class Draft:
         """Rows of the last merge by action."""
         return self._counts.get(name, {})
 
+    def forget(self, name: str) -> None:
+        """Leaves a table out of the version; its folder goes too if this draft has written it."""
+        for path in folders({name: self.held.pop(name)}) & set(self.written):
+            self.store.fs.delete(self.store._path(path), True)
+
     def check(self, **violations: DataFrame) -> None:
         """Raises if any of these frames has a row, naming the first ones: the draft is then not published."""
         for name, df in violations.items():

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from quillwork import queries
-from quillwork.operators import bm25, concepts, dense
+from quillwork.operators import bm25, concepts, dense, segments
 from quillwork.plans import indexing, retrieval
 
 WORDS = [f"w{k}" for k in range(60)]
@@ -111,3 +111,28 @@ def test_eight_concepts_a_paper_over_all_pieces(spark):
     answer = lambda rows: '{"papers": [' + ", ".join(f'{{"arxiv_id": "{i}", "concepts": [' + ", ".join(f'"name{k}"' for k in range(12) if f" name{k} " in t) + "]}" for i, t in rows) + "]}"
     (found,) = indexing.extract_concepts(papers, spark.createDataFrame([], "paper_id string"), answer).collect()
     assert [c.name for c in found.concepts] == [f"name{k}" for k in range(8)]
+
+
+def test_increments_score_like_an_index_built_afresh(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choices(WORDS, [1 / (j + 1) for j in range(60)], k=n))
+    index = segments.Segments(spark, f"{tmp_path}/s", parts=4, block_docs=8, bucket_rows=30)
+    assert index.read() is None and not index.merge()
+    asked = spark.createDataFrame([(1, "w59 w58"), (2, "w0 w0 w1"), (3, "w57 w3 w2 w1 w0"), (4, "unknown")], "qid long, query string")
+    held: dict = {}
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "doc_id long, text string")
+    steps = [({k: text(20) for k in range(90)}, []), ({k: text(9) for k in (3, 4, 200)}, [5, 6, 777]), ({201: None, 7: "", 3: text(12)}, []), ({5: "w59 w58 w59"}, [200])]
+    for n, (new, removed) in enumerate(steps):
+        index.add(frame(new), spark.createDataFrame([(k,) for k in removed], "doc_id long") if removed else None)
+        held = {k: v for k, v in held.items() if k not in removed} | new
+        if n == 2:
+            assert index.merge(2) and len(index.store.latest()["docs"]["notes"]["segments"]) == 2
+        plain, now = bm25.build(frame(held)), index.read()
+        assert sorted((r.term, r.df, round(r.idf, 9)) for r in now.terms.collect()) == sorted((r.term, r.df, round(r.idf, 9)) for r in plain.terms.collect())
+        assert now.corpus.first()[:2] == pytest.approx(plain.corpus.first()[:2])
+        assert top(bm25.search(now, asked, 7)) == top(bm25.search(plain, asked, 7))
+        assert now.postings.count() == plain.postings.count()
+    before = index.store.numbers()
+    with pytest.raises(ValueError, match="repeated"):
+        index.add(frame({1: "x"}).unionAll(frame({1: "y"})))
+    assert index.store.numbers() == before
