@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions.text import ordered_categories, strip, strip_version
 
+# Which answers are tried again, how often, and the longest wait in seconds.
 RETRIED, ATTEMPTS, LONGEST_WAIT = {429, 503}, 5, 120.0
 ENTRY = "struct<id:string,title:string,summary:string,published:string,updated:string,author:array<struct<name:string>>,primary_category:struct<_term:string>,category:array<struct<_term:string>>,doi:string,journal_ref:string>"
 FEED = f"struct<totalResults:string,startIndex:string,itemsPerPage:string,entry:array<{ENTRY}>>"
@@ -82,9 +83,48 @@ class FeedReader(DataSourceReader):
                 start += size
 
 
+class FeedStreamReader(SimpleDataSourceStreamReader):
+    """The same pages in the same order, one a micro-batch, fetched on the driver: the gap between requests and the quota of a
+    window hold for the whole stream. An offset is a window's place and the entry to go on at, so a stopped stream
+    goes on from its checkpoint, and a batch that was planned but not done is fetched again as it was."""
+
+    def __init__(self, options: dict):
+        self.feed, self.last = FeedReader(options), None
+
+    def initialOffset(self) -> dict:
+        return {"window": 0, "start": 0}
+
+    def _page(self, offset: dict) -> tuple[list[tuple], dict]:
+        feed = self.feed
+        if offset["window"] >= len(feed.windows):
+            return [], offset
+        w, start = feed.windows[offset["window"]], offset["start"]
+        size = min(feed.size, feed.quota - start)
+        if self.last is not None:
+            time.sleep(max(0.0, self.last + feed.gap - time.monotonic()))
+        body = fetch(page_url(feed.base, w.category, w.first, w.last, start, size), feed.gap).decode()
+        self.last = time.monotonic()
+        more = body.count("<entry") == size and start + size < feed.quota
+        after = {"window": offset["window"], "start": start + size} if more else {"window": offset["window"] + 1, "start": 0}
+        return [(w.category, w.first, w.last, start, body)], after
+
+    def read(self, start: dict):
+        rows, after = self._page(start)
+        return iter(rows), after
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        while start != end:
+            rows, after = self._page(start)
+            if not rows:
+                return
+            yield from rows
+            # what the feed has got meanwhile belongs to later batches
+            start = end if (after["window"], after["start"]) > (end["window"], end["start"]) else after
+
+
 class FeedSource(DataSource):
-    """``spark.dataSource.register(FeedSource)``, then ``spark.read.format("atom-feed")`` with url, categories and
-    windows ("2026-01-01:2026-01-07,...")."""
+    """``spark.dataSource.register(FeedSource)``, then ``spark.read.format("atom-feed")``, or ``spark.readStream``, with url,
+    categories and windows ("2026-01-01:2026-01-07,...")."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,6 +136,9 @@ class FeedSource(DataSource):
     def reader(self, schema):
         return FeedReader(self.options)
 
+    def simpleStreamReader(self, schema):
+        return FeedStreamReader(self.options)
+
 
 def parse(pages: DataFrame, body: str = "body") -> DataFrame:
     """A row per entry of the feeds in column ``body``; a feed that is not XML stops the job.

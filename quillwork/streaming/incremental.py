@@ -58,3 +58,12 @@ def resume_offset(checkpoint: Column, category: Column, start: Column) -> Column
 def into_tables(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs ``apply`` on every micro-batch of what is there, then stops. Applying a batch twice must change nothing."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def until_idle(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """As ``into_tables``, for sources that cannot tell in advance what is there: batch by batch until nothing new comes."""
+    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
