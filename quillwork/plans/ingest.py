@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.dates import parse, windows
 from ..functions.text import clean_abstract, normalize_author, primary_category
-from ..operators import upsert
+from ..operators import cubes, upsert
 from ..operators.sampling import quota
 from ..sources.tables import Draft, Versions, in_buckets
 from ..streaming.incremental import complete, progress, resume_offset, window_key
@@ -58,11 +58,14 @@ KEYED = {
 }
 
 
-def create(store: Versions, bucket_rows: int = 100_000) -> int:
-    """The star model's empty tables as a version: keyed tables in buckets, the log of runs as one."""
+def create(store: Versions, bucket_rows: int = 100_000, statistics: bool = True) -> int:
+    """The star model's empty tables as a version: keyed tables in buckets, the log of runs as one, and with ``statistics`` the cubes
+    that every merge then keeps up to date."""
     with store.begin() as draft:
         for name, (schema, keys) in KEYED.items():
             draft.create(name, schema, keys, bucket_rows)
+        if statistics:
+            cubes.create(draft, bucket_rows)
         draft.put("runs", store.spark.createDataFrame([], schemas.RUNS))
         return draft.publish()
 
@@ -76,6 +79,17 @@ def merge(draft: Draft, raw: DataFrame, now=None) -> dict[str, int]:
     now = F.current_timestamp() if now is None else now
     raw = raw.where("arxiv_id is not null and arxiv_id <> ''")
     new = papers_from(raw, now)
+    before: dict[str, DataFrame] = {}
+
+    def seen(name: str, change: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+        """``change``, which notes the rows that it replaces."""
+
+        def noted(old: DataFrame, batch: DataFrame) -> DataFrame:
+            before[name] = old
+            return change(old, batch)
+
+        return noted
+
     codes = raw.select(F.explode("categories").alias("code")).unionAll(new.select(F.col("primary_category_code").alias("code"))).select("code", F.lit(None).cast("string").alias("display_name"))
     draft.merge("categories", codes, lambda old, batch: upsert.insert_ignore(old, batch, ["code"], ["code"]))
     named = raw.select("arxiv_id", F.posexplode("authors").alias("position", "name")).withColumn("name_normalized", normalize_author(F.col("name")))
@@ -83,14 +97,25 @@ def merge(draft: Draft, raw: DataFrame, now=None) -> dict[str, int]:
     authors = draft.merge("authors", named, lambda old, batch: upsert.with_ids(old, batch, "name_normalized", "name", ["arxiv_id", "position"], above=top))
     highest = authors.agg(F.max("id").alias("top")).first().top
     draft.notes("authors")["top"] = max(top or 0, highest or 0)
-    papers = draft.merge("papers", new, lambda old, batch: upsert.upsert(old, batch, ["arxiv_id"], "updated_date", ("published_date", "created_at")))
+    papers = draft.merge("papers", new, seen("papers", lambda old, batch: upsert.upsert(old, batch, ["arxiv_id"], "updated_date", ("published_date", "created_at"))))
     links = upsert.author_links(raw, authors, normalize_author)
-    draft.merge("paper_authors", links, lambda old, batch: upsert.insert_ignore(old, batch, ["paper_id", "author_id"], ["position"]))
-    draft.merge("paper_categories", upsert.category_links(raw), lambda old, batch: upsert.insert_ignore(old, batch, ["paper_id", "category_code"], ["is_primary"]))
+    after = {"papers": papers}
+    # by paper, also of papers without links, so that all links of the batch's papers are at hand
+    after["paper_authors"] = draft.merge("paper_authors", _of_papers(raw, links), seen("paper_authors", lambda old, batch: upsert.insert_ignore(old, batch.where("author_id is not null"), ["paper_id", "author_id"], ["position"])))
+    after["paper_categories"] = draft.merge("paper_categories", _of_papers(raw, upsert.category_links(raw)), seen("paper_categories", lambda old, batch: upsert.insert_ignore(old, batch.where("category_code is not null"), ["paper_id", "category_code"], ["is_primary"])))
     draft.check(orphans=schemas.orphans(links, papers, "paper_id", "arxiv_id"), repeated=schemas.duplicate_keys(papers, "arxiv_id"))
+    if "cube_days" in draft.held and before:
+        ids = raw.select("arxiv_id").distinct()
+        mine = lambda t: {k: v.join(ids if k == "papers" else ids.withColumnRenamed("arxiv_id", "paper_id"), "arxiv_id" if k == "papers" else "paper_id", "left_semi") for k, v in t.items()}
+        cubes.change(draft, cubes.contributions(**mine(before)), cubes.contributions(**mine(after)))
     return draft.counts("papers")
 
 
+def _of_papers(raw: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` and a row without a link for every paper of ``raw``."""
+    return links.unionByName(raw.select(F.col("arxiv_id").alias("paper_id")).distinct(), allowMissingColumns=True)
+
+
 def start_run(runs: DataFrame, run_id: int, categories: list[str], first: str, last: str, now=None) -> DataFrame:
     """The log (``schemas.RUNS``) with a new running run; a run that is there goes on from its checkpoint."""
     now = F.current_timestamp() if now is None else now

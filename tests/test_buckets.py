@@ -6,7 +6,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
-from quillwork.operators import bm25, upsert
+from quillwork.operators import bm25, cubes, stats, upsert
 from quillwork.plans import ingest
 from quillwork.schemas import RAW_PAPERS
 from quillwork.sources import tables
@@ -119,8 +119,8 @@ def test_batches_into_buckets_equal_whole_tables(spark, tmp_path):
     stamp = F.lit(dt.datetime(2026, 2, 1))
     store = tables.Versions(spark, f"{tmp_path}/b")
     ingest.create(store, bucket_rows=20)
-    held = {k: v for k, v in store.read().items() if k != "runs"}
-    batches = [papers(spark, [f"p{k}" for k in range(60)], "2026-01-01"), papers(spark, ["p3", "p70", "p3"], "2026-01-02", ("ada b", "New One")), papers(spark, ["p4"], "2025-01-01")]
+    held = {k: v for k, v in store.read().items() if k in ingest.KEYED}
+    batches = [papers(spark, [f"p{k}" for k in range(60)], "2026-01-01"), papers(spark, ["p3", "p70", "p3"], "2026-01-02", ("ada b", "New One")), papers(spark, ["p4", "p80"], "2025-01-01")]
     seen = []
     for batch in batches:
         with store.begin() as draft:
@@ -128,7 +128,18 @@ def test_batches_into_buckets_equal_whole_tables(spark, tmp_path):
             draft.publish(keep=1)
         new = ingest.ingest(held, batch, stamp)
         held = {k: (v.drop("action") if k == "papers" else v).checkpoint() for k, v in new.items()}
-    got = {k: sorted(map(str, v.collect())) for k, v in store.read().items() if k != "runs"}
+    tables_ = store.read()
+    got = {k: sorted(map(str, v.collect())) for k, v in tables_.items() if k in ingest.KEYED}
+    same = lambda a, b: list(map(tuple, a.collect())) == list(map(tuple, b.collect())) and a.count()
+    star = [tables_[k] for k in ("papers", "paper_categories", "paper_authors", "categories", "authors")]
+    papers_, codes, links, categories, authors = star
+    for span in ({}, {"first": "2026-01-02"}, {"last": "2025-12-31"}):
+        assert same(cubes.top_categories(tables_, categories, **span), stats.top_categories(papers_, categories, codes, **span))
+        assert same(cubes.category_total(tables_, categories, **span), stats.category_total(papers_, categories, codes, **span))
+        assert same(cubes.top_authors(tables_, authors, **span), stats.top_authors(papers_, authors, links, **span))
+        assert same(cubes.velocity(tables_, "month", **span), stats.velocity(papers_, "month", **span))
+        assert same(cubes.categories_over_time(tables_, "week", **span), stats.categories_over_time(papers_, codes, "week", **span))
+    assert same(cubes.cooccurrence(tables_), stats.cooccurrence(codes))
     assert got == {k: sorted(map(str, v.collect())) for k, v in held.items()}
     assert seen[0] == {"insert": 60} and seen[1].get("insert") == 1 and seen[1].get("update") == 1 and "update" not in seen[2]
     assert store.latest()["authors"]["notes"] == {"top": 3}
@@ -160,5 +171,5 @@ def test_a_run_in_buckets_goes_on_and_reset_removes_indexes(spark, tmp_path):
     with pytest.raises(ValueError):
         ingest.reset_store(store, "no", "yes")
     ingest.reset_store(store, "yes", "yes", [tables.Versions(spark, f"{tmp_path}/index")])
-    assert {k: v.count() for k, v in store.read().items()} == {"categories": 1, "papers": 0, "authors": 0, "paper_authors": 0, "paper_categories": 0, "runs": 0}
+    assert {k: v.count() for k, v in store.read().items() if "cube" not in k or v.count()} == {"categories": 1, "papers": 0, "authors": 0, "paper_authors": 0, "paper_categories": 0, "runs": 0}
     assert bm25.Index.read(spark, f"{tmp_path}/index") is None
