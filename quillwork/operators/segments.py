@@ -126,8 +126,8 @@ class Segments:
         dead = get("tombstones").select((F.col("segment").cast("long")).alias("segment"), "doc_id")
         entries = blocks.select("term", "block", F.explode("entries").alias("e")).select("term", F.shiftright("block", 32).alias("segment"), "e.*")
         postings = entries.join(dead, ["segment", "doc_id"], "left_anti").select("doc_id", "length", "term", "tf")
-        corpus = self.store.spark.createDataFrame([(n_docs, notes["total"] / n_docs if n_docs else None, self.parts)], "n_docs long, avg_length double, parts int")
-        return Index(postings, terms, corpus, blocks, dead)
+        corpus = self.store.spark.createDataFrame([(n_docs, notes["total"] / n_docs if n_docs else None)], "n_docs long, avg_length double")
+        return Index(postings, terms, corpus, blocks, dead, self.parts)
 
     def merge(self, most: int = 8) -> bool:
         """With more than ``most`` segments, merges the smallest half of them into one, without what is dead; whether it did."""
