@@ -19,16 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows (Spark bounds them by bytes besides) for what runs meanwhile; then the session is
-    as it was. A smaller setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(held)) if int(held) > 0 else rows))
+def step(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What holds while a table between two steps is written; then the session is as it was.
+
+    Arrow batches have at most ``rows`` rows (Spark bounds them by bytes besides; a smaller setting of the user's stays), and the
+    write's shuffle files go when it ends: nothing reads them again.
+    """
+    batch, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = {key: spark.conf.get(key) for key in (batch, clean)}
+    most = int(held[batch])
+    spark.conf.set(batch, str(min(rows, most) if most > 0 else rows))
+    spark.conf.set(clean, "true")
     try:
         yield
     finally:
-        spark.conf.set(key, held)
+        for key, value in held.items():
+            spark.conf.set(key, value)
 
 
 class Scratch:
@@ -49,7 +55,7 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         """``df``, written as Parquet and read again."""
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        with small_batches(self.spark):
+        with step(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path

@@ -476,12 +476,14 @@ def _found(scratch: Scratch, docs: DataFrame, words: int, width: int, hashes: in
     rest = unsettled(scratch, shared, known, pairs, width, tokens)
     scratch.drop(shared)
     near = cut(around(rest, known, docs, width, tokens - 1))
-    scratch.drop(rest)
+    scratch.drop(rest, known)
     need = int(least * tokens)
     hot = cut(sharing(scratch, near.where(F.col("all") > block).drop("all"), need))
     again = cut(hot.groupBy("key").agg(F.count("*").alias("all")))
     more = meeting(near.where(F.col("all") <= block), need, block).unionAll(meeting(hot.join(again, "key"), need, block)).distinct()
-    second = cut(verify(cut(more.join(pairs, ["id", "head"], "left_anti"))))
+    more = cut(more.join(pairs, ["id", "head"], "left_anti"))
+    scratch.drop(near, hot, again, pairs)
+    second = cut(verify(more))
     return first.unionAll(second).select("id", "row", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("head").alias("source"))).alias("spans"))
 
 
