@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def step(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def step(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """What holds while a table between two steps is written; then the session is as it was.
 
     Arrow batches have at most ``rows`` rows (Spark bounds them by bytes besides; a smaller setting of the user's stays), and the
