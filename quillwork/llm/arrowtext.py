@@ -1,7 +1,7 @@
 """Vectorised words of an Arrow text column: the common first step of the text operators.
 
 A word is a run of bytes outside ``\\x20 \\x09-\\x0D``. Everything works on numpy views of the Arrow
-buffers, a bounded number of bytes at a time, so a task holds a few tens of MB whatever it reads.
+buffers, a bounded number of bytes at a time, so a task holds a few tens of MB besides its Arrow batch.
 """
 
 from __future__ import annotations
@@ -33,9 +33,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))  # a copy, so what follows may change it
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +95,10 @@ def grid(texts: pa.Array, space: np.ndarray = SPACE) -> Grid:
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+        sums[1:] = data
+        sums[1:] += np.uint64(1)
+        sums[1:] *= _powers(len(data) + 1)[0][: len(data)]
+        np.cumsum(sums[1:], out=sums[1:])
     return Grid(data, offsets, starts, ends, doc, first, sums)
 
 
@@ -117,8 +123,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return held
 
 
-def chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most ``limit`` bytes, or of one row."""
+def chunks(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``limit`` bytes, or of one row. Operators hold some hundred bytes for each byte of a range."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(size):

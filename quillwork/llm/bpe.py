@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .arrowtext import chunks, tidy
 
 #: Entries that a worker remembers; beyond it starts afresh, so memory is bounded and results stay the same.
-MEMORY = 200_000
+MEMORY = 50_000
 
 
 def byte_characters() -> list[str]:

@@ -128,16 +128,18 @@ def windows(docs: DataFrame, width: int, hashes: int, tokens: int, bounds: bool
                 values, at = shingles(g.words(), g.doc, width)
                 doc = g.doc[at]
                 first = np.searchsorted(doc, np.arange(len(g) + 1))
+                made = []
                 for fn in range(hashes):
                     own = hashed(values, fn)
                     if not bounds:
                         p, _ = least_tokens(own, first, tokens)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[start + doc[p]]), pa.array(keys_of(own[p], fn))], names=["id", "key"])
+                        made.append((ids[start + doc[p]], keys_of(own[p], fn)))
                         continue
                     l, p, r = compact_windows(own, first, tokens)
                     d = doc[p]
-                    window = (l - first[d]) << 35 | (r - l) << 7 | fn
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[start + d]), pa.array(keys_of(own[p], fn)), pa.array(window), pa.array((p - first[d]).astype(np.int32))], names=["id", "key", "window", "place"])
+                    made.append((ids[start + d], keys_of(own[p], fn), (l - first[d]) << 35 | (r - l) << 7 | fn, (p - first[d]).astype(np.int32)))
+                columns = [pa.array(np.concatenate(x)) for x in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "window", "place"][: len(columns)])
 
     return docs.select("id", "text").mapInArrow(run, "id long, key long, window long, place int" if bounds else "id long, key long")
 
