@@ -1,9 +1,11 @@
 """What larger tables need: work that is bounded and distributed, with the rows of the SQL."""
 
+import random
+
 import numpy as np
 import pytest
 from quillwork import queries
-from quillwork.operators import bm25, dense
+from quillwork.operators import best, bm25, dense
 
 
 def plan(df):
@@ -27,7 +29,7 @@ def ranked(df):
 
 @pytest.mark.parametrize("cells,most", [(1 << 20, 500_000), (640, 70)])
 def test_exact_search_takes_products_of_matrices(spark, monkeypatch, cells, most):
-    monkeypatch.setattr(dense, "CELLS", cells)
+    monkeypatch.setattr(best, "CELLS", cells)
     monkeypatch.setattr(dense, "BEST_ROWS", most)
     rng = np.random.default_rng(5)
     held = [(f"d{k:04}", rng.normal(size=8).tolist()) for k in range(600)]
@@ -59,3 +61,36 @@ def test_probing_compares_what_is_in_the_lists(spark):
 def test_scores_equal_to_nine_digits_go_by_document(spark):
     scored = spark.createDataFrame([(1, 5, 0.9999999999999998), (1, 7, 1.0), (1, 3, 0.5)], "qid int, doc_id int, score double")
     assert ranked(bm25.rank(scored, 2)) == {1: [5, 7]}
+
+
+def long_corpus(spark, n=500):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(rng.choices(words, [1 / (j + 1) for j in range(80)], k=rng.randint(0, 40)))) for k in range(n)]
+    rows += [(1000 + k, " ".join(rng.sample(rows[7][1].split(), len(rows[7][1].split())))) for k in range(30)]  # equal scores, sums in any order
+    asked = [(q, " ".join(rng.choices(words, k=25))) for q in range(12)] + [(12, rows[7][1]), (13, "the"), (14, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "qid long, query string")
+
+
+def test_many_queries_shuffle_no_row_for_each_document(spark, tmp_path, monkeypatch):
+    docs, asked = long_corpus(spark)
+    want = bm25.search(bm25.build(docs), asked, 9)
+    want = sorted((r.qid, r.rank, r.doc_id, round(r.score, 9)) for r in want.collect())
+    stored = bm25.store(docs, f"{tmp_path}/i", block_docs=16, parts=4)
+    for rows, cells, bytes_ in ((20_000, 1 << 20, 8 << 20), (50, 100, 4000)):
+        monkeypatch.setattr(bm25, "ROWS", rows)
+        monkeypatch.setattr(bm25, "CELLS", cells)
+        monkeypatch.setattr(bm25, "QUERY_BYTES", bytes_)
+        found = bm25.search(stored, asked, 9)
+        assert "Generate" not in plan(found) and "MapInArrow" in plan(found)
+        assert sorted((r.qid, r.rank, r.doc_id, round(r.score, 9)) for r in found.collect()) == want
+
+
+def test_an_index_is_stored_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch):
+    from quillwork.sources import tables
+
+    seen, put = {}, tables.Draft.put
+    monkeypatch.setattr(tables.Draft, "put", lambda self, name, df, *a, **b: (seen.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), put(self, name, df, *a, **b))[1])
+    docs, _ = long_corpus(spark, 100)
+    bm25.store(docs.coalesce(1), f"{tmp_path}/i")
+    assert seen["blocks"].split("RoundRobinPartitioning")[0].count("Exchange") <= 1 and "collect_list" not in seen["blocks"]
