@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from quillwork import queries
-from quillwork.operators import best, bm25, dense
+from quillwork.operators import best, bm25, concepts, dense
 
 
 def plan(df):
@@ -94,3 +94,22 @@ def test_an_index_is_stored_without_a_shuffle_of_postings(spark, tmp_path, monke
     docs, _ = long_corpus(spark, 100)
     bm25.store(docs.coalesce(1), f"{tmp_path}/i")
     assert seen["blocks"].split("RoundRobinPartitioning")[0].count("Exchange") <= 1 and "collect_list" not in seen["blocks"]
+
+
+def test_traversal_looks_up_a_set_of_concepts_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(p, n, f"name {n}", "other") for p in range(200) for n in rng.sample(range(12), 3)]
+    graph = concepts.store(spark.createDataFrame(rows, "paper_id long, concept_id long, name string, concept_type string"), f"{tmp_path}/g")
+    said = [(q, f"about name {q % 5} and name {q % 3}") for q in range(90)] + [(90, "nothing")]
+    asked = spark.createDataFrame(said, "qid long, text string")
+    whole = concepts.traverse(graph.links, graph.edges, asked)
+    got = {}
+    for r in whole.collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.paper_id, r.total, r.direct))
+    for q in range(90):  # as its first query alone
+        assert sorted(got[q]) == sorted(got[min(k for k in range(90) if {k % 5, k % 3} == {q % 5, q % 3})]) and len(got[q]) == 10
+    alone = concepts.traverse(graph.links, graph.edges, asked.where("qid = 44"))
+    assert sorted((r["rank"], r.paper_id, r.total, r.direct) for r in alone.collect()) == sorted(got[44]) and 90 not in got
+    monkeypatch.setattr(concepts, "LOOKED_BYTES", 200)
+    blocks = concepts.traverse(graph.links, graph.edges, asked)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
