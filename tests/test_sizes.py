@@ -113,3 +113,15 @@ def test_traversal_looks_up_a_set_of_concepts_once(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(concepts, "LOOKED_BYTES", 200)
     blocks = concepts.traverse(graph.links, graph.edges, asked)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_answers_keep_line_ends_as_sql_does(spark, tmp_path):
+    from oracle import compare
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=4)
+    vectors = [(k, (base + 0.1 * rng.normal(size=4)).astype(float).tolist()) for k in range(61)]
+    texts = [f" \nfirst {k}\n\n[note {k}] and more" if k % 2 else f"\tone, {'x' * 12}\n\n and more" for k in range(61)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert compare(queries.ask_batch(spark, str(tmp_path)), queries.SQL["ask_batch"], str(tmp_path)) == ""
